@@ -156,7 +156,8 @@ def average_day_range(bars: DataFrame, days: int) -> DataFrame:
     kept = F.slice(F.filter("_p", lambda x: x["span"] * 2 >= longest), 1, days)
     d = d.withColumn("_k", kept)
     total = F.aggregate("_k", F.lit(0.0), lambda a, x: a + x["range"])
-    return d.select("series", "day", F.when(F.size("_k") == days, total / days).alias("avg_range"))
+    mean = total / F.size("_k")
+    return d.select("series", "day", F.when((F.size("_k") >= min(days, 5)) & (mean > 0), mean).alias("avg_range"))
 
 
 def fingerprint(bars: DataFrame, since=None, until=None) -> DataFrame:
