@@ -20,13 +20,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def quotes(spark, sf) -> DataFrame:
     e = table(spark, sf, "events")
-    return e.select(F.col("event_type").alias("series"), F.col("ts").alias("time"), F.col("value").alias("bid"),
+    return e.select(F.col("event_type").alias("series"), F.col("ts").cast("timestamp").alias("time"), F.col("value").alias("bid"),
                     (F.col("value") + 0.01 * (1 + F.col("user_id") % 10)).alias("ask"), "event_id")
 
 
 def ticks(spark, sf) -> DataFrame:
     e = table(spark, sf, "events")
-    return e.select(F.col("event_type").alias("series"), F.col("ts").alias("time"), F.col("value").alias("price"),
+    return e.select(F.col("event_type").alias("series"), F.col("ts").cast("timestamp").alias("time"), F.col("value").alias("price"),
                     F.col("event_id").alias("seq"))
 
 
@@ -42,7 +42,7 @@ def bars(spark, sf, step_ms: int = HOUR) -> DataFrame:
 
 def calendar(spark, sf) -> DataFrame:
     e = table(spark, sf, "events").filter((F.col("event_type") == "error") & (F.col("value") >= 100))
-    return e.select(F.col("ts").alias("time"),
+    return e.select(F.col("ts").cast("timestamp").alias("time"),
                     F.element_at(F.array(F.lit("USD"), F.lit("EUR"), F.lit("All")),
                                  (F.col("user_id") % 3 + 1).cast("int")).alias("currency"),
                     F.concat(F.lit("event-"), F.col("event_id")).alias("name"),
@@ -56,7 +56,7 @@ def prints(spark, sf) -> DataFrame:
     d = j.select(
         F.lit("main").alias("market"),
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"),
-        F.col("l_shipdate").alias("timestamp"), F.col("p_brand").alias("symbol"),
+        F.col("l_shipdate").cast("timestamp").alias("timestamp"), F.col("p_brand").alias("symbol"),
         F.expr("timestamp'2001-12-31'").alias("_end"), brand.alias("_b"),
         F.col("p_size").cast("double").alias("strike"),
         F.when(F.col("l_linestatus") == "O", "CALL").otherwise("PUT").alias("option_type"),
