@@ -12,7 +12,7 @@ HOUR, DAY = 3_600_000, 86_400_000
 cte("raw_bars", """SELECT event_type AS series, date_trunc('hour', ts) AS ts, arg_min(value, ts) AS open, max(value) AS high,
  min(value) AS low, arg_max(value, ts) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY ALL""")
 cte("bars", "SELECT *, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY series ORDER BY ts) - 1 AS idx, (high+low+close)/3.0 AS hlc3 FROM raw_bars", "raw_bars")
-cte("moves", """SELECT *, coalesce(greatest(high-low, abs(high-pc), abs(low-pc)), high-low) AS tr, greatest(close-pc, 0) AS gain, greatest(pc-close, 0) AS loss,
+cte("moves", """SELECT *, coalesce(greatest(high-low, abs(high-pc), abs(low-pc)), high-low) AS tr, CASE WHEN pc IS NOT NULL THEN greatest(close-pc, 0) END AS gain, CASE WHEN pc IS NOT NULL THEN greatest(pc-close, 0) END AS loss,
  CASE WHEN high-ph > pl-low AND high-ph > 0 THEN high-ph WHEN ph IS NOT NULL THEN 0 END AS pdm, CASE WHEN pl-low > high-ph AND pl-low > 0 THEN pl-low WHEN ph IS NOT NULL THEN 0 END AS mdm
  FROM (SELECT *, lag(close) OVER w AS pc, lag(high) OVER w AS ph, lag(low) OVER w AS pl FROM bars WINDOW w AS (PARTITION BY series ORDER BY idx))""", "bars")
 
@@ -79,8 +79,10 @@ def resample_session_day(spark, sf):
     return B.resample(_bars(spark, sf), DAY, 3 * HOUR).select("series", T(), *OHLCV, "n")
 
 
-@query("resample_broker_4h", sql(f"""WITH k AS (SELECT series, ((t+2*3600000)//3600000)//4 AS bucket, min(t) AS mt, {RS} FROM bars GROUP BY ALL)
-SELECT series, bucket, mt AS t, open, high, low, close, volume, n FROM k JOIN (SELECT series, min(bucket) AS lo, max(bucket) AS hi FROM k WHERE n >= 4 GROUP BY series) USING (series) WHERE bucket BETWEEN lo AND hi""", "bars"))
+cte("brk4", f"SELECT series, ((t+2*3600000)//3600000)//4 AS bucket, min(t) AS mt, {RS} FROM bars GROUP BY ALL", "bars")
+
+
+@query("resample_broker_4h", sql("""SELECT series, bucket, mt AS t, open, high, low, close, volume, n FROM brk4 JOIN (SELECT series, min(bucket) AS lo, max(bucket) AS hi FROM brk4 WHERE n >= 4 GROUP BY series) USING (series) WHERE bucket BETWEEN lo AND hi""", "brk4"))
 def resample_broker(spark, sf):
     return B.resample_broker(_bars(spark, sf), 4, 4).select("series", "bucket", T(), *OHLCV, "n")
 

@@ -264,7 +264,14 @@ def fsm(df: DataFrame, keys: list[str], run, init: list[float], out: T.StructTyp
         return res
 
     start = F.array(*[F.lit(float(v)) for v in init])
-    states = materialize(data.withColumn("_s0", start).groupBy(*keys, "_blk").applyInPandas(fold, state_schema), "state")
+
+    def folded(d: DataFrame) -> DataFrame:
+        # Arrow hands NaN inside lists back as NULL; restore it so that states compare equal.
+        r = d.groupBy(*keys, "_blk").applyInPandas(fold, state_schema)
+        nan = F.lit(float("nan"))
+        return r.select(*keys, "_blk", *[F.transform(c, lambda x: F.coalesce(x, nan)).alias(c) for c in ("_s0", "_s1")])
+
+    states = materialize(folded(data.withColumn("_s0", start)), "state")
     w = Window.partitionBy(*keys).orderBy("_blk")
     while True:
         wanted = states.select(*keys, "_blk", "_s0", "_s1",
@@ -272,8 +279,7 @@ def fsm(df: DataFrame, keys: list[str], run, init: list[float], out: T.StructTyp
         stale = wanted.filter(~F.col("_in").eqNullSafe(F.col("_s0")))
         if stale.isEmpty():
             break
-        redo = (data.join(stale.select(*keys, "_blk", F.col("_in").alias("_s0")), [*keys, "_blk"])
-                .groupBy(*keys, "_blk").applyInPandas(fold, state_schema))
+        redo = folded(data.join(stale.select(*keys, "_blk", F.col("_in").alias("_s0")), [*keys, "_blk"]))
         states = materialize(states.join(stale.select(*keys, "_blk"), [*keys, "_blk"], "left_anti")
                              .unionByName(redo), "state")
     result = T.StructType([*key_fields, *out.fields])
