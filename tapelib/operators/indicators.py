@@ -185,7 +185,6 @@ def compute(bars: DataFrame, specs: list[dict], companion: DataFrame | None = No
                 return d.withColumn(k("d"), f.full(F.avg(k("k")), k("k"), -(sd_ - 1), 0)).drop("_hi", "_lo", "_raw")
             frames.append((n + sk + sd_ - 3, 0, sr))
         elif ind in ("supertrend", "zigzag"):
-            smooth("rma", "_tr", p["period"] if ind == "supertrend" else p["atrPeriod"])
             machines.append(s)
         elif ind in ("vwap", "avwap", "swing", "cmp"):
             machines.append(s)
@@ -213,18 +212,23 @@ def compute(bars: DataFrame, specs: list[dict], companion: DataFrame | None = No
                 x = fn(x, f)
             return x
         d = blocked(d, KEY, all_frames, back=back)
+    # Every state machine and swing starts from the bars again and joins on the row number: chaining them would
+    # repeat the whole plan under each one.
     for s in machines:
         p, k = s["params"], (lambda o=None, s=s: column_key(s, o))
         if s["id"] == "supertrend":
-            d = supertrend(d, f"_rma{p['period']}_tr", float(p["mult"]), k("supertrend"), k("direction"))
+            src_ = scan(bars, KEY, [("_atr", "_tr", "rma", int(p["period"]))], base_moves, 1, BASE_LEAD)
+            d = d.join(supertrend(src_, "_atr", float(p["mult"]), k("supertrend"), k("direction")), ["series", "idx"])
         elif s["id"] == "zigzag":
-            d = zigzag(d, f"_rma{p['atrPeriod']}_tr", float(p["k"]), k("zigzag"), k("direction"))
+            src_ = scan(bars, KEY, [("_atr", "_tr", "rma", int(p["atrPeriod"]))], base_moves, 1, BASE_LEAD)
+            d = d.join(zigzag(src_, "_atr", float(p["k"]), k("zigzag"), k("direction"), bars), ["series", "idx"])
         elif s["id"] == "vwap":
             d = vwap(d, int(p["sessionMs"]), k())
         elif s["id"] == "avwap":
             d = anchored_vwap(d, int(p["anchor"]), k())
         elif s["id"] == "swing":
-            d = swing(d, int(p["left"]), int(p["right"]), k("high"), k("low"), k("highAt"), k("lowAt"))
+            names = [k("high"), k("low"), k("highAt"), k("lowAt")]
+            d = d.join(swing(bars, int(p["left"]), int(p["right"]), *names).select("series", "idx", *names), ["series", "idx"])
         elif s["id"] == "cmp":
             names = [k("change"), k("atr"), k("close")]
             d = aligned_change(d, companion, int(p["period"]), int(p["atrPeriod"]), names)
@@ -341,7 +345,7 @@ def supertrend(d: DataFrame, atr: str, mult: float, line: str, direction: str) -
     r = fsm(d, KEY, _supertrend_fold(mult, atr, line, direction), [nan, nan, 1.0, nan], out,
             cols=["idx", "high", "low", "close", atr])
     r = r.select("series", "idx", S.finite(line).alias(line), S.finite(direction).alias(direction))
-    return d.join(r, ["series", "idx"])
+    return r
 
 
 PIVOTS = T.StructType([T.StructField("confirmed_idx", T.LongType()), T.StructField("pivot_idx", T.LongType()),
@@ -385,10 +389,10 @@ def zigzag_pivots(d: DataFrame, atr: str, k: float) -> DataFrame:
     return fsm(d, KEY, _zigzag_fold(k, atr), [nan, nan, 0.0], PIVOTS, cols=["idx", "high", "low", "close", atr])
 
 
-def zigzag(d: DataFrame, atr: str, k: float, line: str, direction: str) -> DataFrame:
+def zigzag(d: DataFrame, atr: str, k: float, line: str, direction: str, bars: DataFrame) -> DataFrame:
     p = zigzag_pivots(d, atr, k).select("series", F.col("confirmed_idx").alias("idx"), F.col("price").alias("_z"),
                                         F.when(F.col("is_high"), -1.0).otherwise(1.0).alias("_zd"))
-    j = d.join(p, ["series", "idx"], "left")
+    j = bars.select("series", "idx").join(p, ["series", "idx"], "left")
     return carry(j, KEY, {line: ("last", "_z"), direction: ("last", "_zd")}).drop("_z", "_zd")
 
 
