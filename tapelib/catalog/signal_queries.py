@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock, scalars as S
 from ..operators import bars as B, indicators as I, joins as J, metrics as M, outcomes as O, signals as G
-from ..plans.longseries import blocked
+from ..plans.longseries import blocked, materialize
 from ..sources import tables
 from . import bar_queries  # noqa: F401
 from .registry import R, Rs, cte, query, r6, r6s, sql
@@ -97,7 +97,8 @@ def _bars_atr(spark, sf):
 
 def _outcomes(spark, sf, rules=RULES, cells=CELL):
     b = tables.bars(spark, sf)
-    return O.first_touch(G.signals(b, cells), I.with_atr(b), rules)
+    # an outcome table is small next to the bars and every metric reads it several times
+    return materialize(O.first_touch(G.signals(b, cells), I.with_atr(b), rules), "outcomes")
 
 
 @query("signal_filters", sql("""SELECT series, count(*) AS n FROM il WHERE ((close > du) OR (close < dl)) AND atr IS NOT NULL AND idx >= 25 AND ((t-5*3600000)%86400000//60000) BETWEEN 480 AND 959 AND dayofweek(ts - INTERVAL 5 HOUR) IN (1,2,3,4,5)

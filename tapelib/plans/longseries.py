@@ -242,7 +242,8 @@ def fsm(df: DataFrame, keys: list[str], run, init: list[float], out: T.StructTyp
     incoming state differs from the one used run again.  When no state changes the result equals the
     row-by-row fold of the whole key."""
     cols = cols or [c for c in df.columns if c not in keys]
-    data = df.select(*keys, *cols).withColumn("_blk", F.floor(F.col(idx) / size).cast("long"))
+    # read once per round: write the narrow input first
+    data = materialize(df.select(*keys, *cols), "fsm").withColumn("_blk", F.floor(F.col(idx) / size).cast("long"))
     key_fields = [df.schema[k] for k in keys]
     state_t = T.ArrayType(T.DoubleType())
     state_schema = T.StructType([*key_fields, T.StructField("_blk", T.LongType()), T.StructField("_s0", state_t),
