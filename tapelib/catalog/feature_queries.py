@@ -66,7 +66,7 @@ def feature_dataset(spark, sf):
     return d.select(S.ms("t").alias("t"), *[r6(c) for c in d.columns if c.startswith("x_") or c.startswith("fwd_")])
 
 
-@query("close_atr", sql(f"""SELECT t, {R('(s + greatest(h-l, abs(h-pc), abs(l-pc)))/(n+1)')} AS atr FROM (SELECT d.*, w.pc, w.s, w.n FROM (SELECT t, t//{7*DAY} AS wk, max(c) OVER r AS h, min(c) OVER r AS l FROM (SELECT t, arg_max(underlying_price, sequence_id) AS c FROM prints GROUP BY t) WINDOW r AS (PARTITION BY t//{7*DAY} ORDER BY t)) d
+@query("close_atr", sql(f"""SELECT t, {R('CASE WHEN pc IS NOT NULL AND s + greatest(h-l, abs(h-pc), abs(l-pc)) > 0 THEN (s + greatest(h-l, abs(h-pc), abs(l-pc)))/(n+1) END')} AS atr FROM (SELECT d.*, w.pc, w.s, w.n FROM (SELECT t, t//{7*DAY} AS wk, max(c) OVER r AS h, min(c) OVER r AS l FROM (SELECT t, arg_max(underlying_price, sequence_id) AS c FROM prints GROUP BY t) WINDOW r AS (PARTITION BY t//{7*DAY} ORDER BY t)) d
  JOIN (SELECT wk, pc, coalesce(sum(tr) OVER f, 0) AS s, count(tr) OVER f AS n FROM (SELECT *, CASE WHEN pc IS NOT NULL THEN greatest(h-l, abs(h-pc), abs(l-pc)) END AS tr FROM (SELECT *, lag(c) OVER (ORDER BY wk) AS pc FROM (SELECT t//{7*DAY} AS wk, max(c) AS h, min(c) AS l, arg_max(c, t) AS c FROM (SELECT t, arg_max(underlying_price, sequence_id) AS c FROM prints GROUP BY t) GROUP BY ALL))) WINDOW f AS (ORDER BY wk ROWS BETWEEN 13 PRECEDING AND 1 PRECEDING)) w USING (wk))""", "prints"))
 def close_atr(spark, sf):
     return X.close_atr(stat_queries._daily(spark, sf), 7 * DAY, 14).select(S.ms("time").alias("t"), r6("atr"))

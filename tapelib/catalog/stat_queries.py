@@ -214,12 +214,19 @@ def window_drift(spark, sf):
     return X.window_drift(_bars(spark, sf), 480, 720).select("series", F.col("year").cast("long"), "days", *r6s("window_bp", "day_bp", "excess_bp"))
 
 
+_store: dict = {}
+
+
 def _daily(spark, sf):
     """Daily underlying prices of the tape as bars: a series long enough to hold month ends."""
     from ..operators.bars import bars_from_ticks
-    from ..plans.longseries import with_index
+    from ..plans.longseries import materialize, with_index
     p = tables.prints(spark, sf).select(F.lit("tape").alias("series"), F.col("timestamp").alias("time"), F.col("underlying_price").alias("price"), F.col("sequence_id").alias("seq"))
-    return with_index(bars_from_ticks(p, 86_400_000), ["series"], ["time"], F.floor(S.ms("time") / (86_400_000 * 4096)))
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _store:
+        b = with_index(bars_from_ticks(p, 86_400_000), ["series"], ["time"], F.floor(S.ms("time") / (86_400_000 * 4096)))
+        _store[key] = materialize(b, "daily")
+    return _store[key]
 
 
 @query("month_end_slope")

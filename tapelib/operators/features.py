@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalars as S
 from ..plans.asof import asof
-from ..plans.longseries import blocked, with_index
+from ..plans.longseries import blocked, materialize, with_index
 from . import bars as B
 
 # fixed values: feature columns in order
@@ -47,12 +47,13 @@ def price_context(points: DataFrame, bars: DataFrame, atr_bar_ms: int, period: i
     r = r.select("*", F.max("close").over(w).alias("day_high"), F.min("close").over(w).alias("day_low")).filter(F.floor(F.col("_t") / width) == F.col("_k"))
     r = r.select("series", F.col("time").alias("_bt"), F.col("close").alias("price"), "atr", "day_high", "day_low")
     # the day window is taken at t, not at the last bar: points are expected on the bar grid
-    p = asof(points, r, ["series"], "t", "_bt", ["price", "atr", "day_high", "day_low"], bucket_ms=width * 30).drop("matched")
+    # every as-of join reads its left side twice: the small grid is written between joins
+    p = materialize(asof(points, r, ["series"], "t", "_bt", ["price", "atr", "day_high", "day_low"], bucket_ms=width * 30).drop("matched"), "grid")
     first = bars.groupBy("series").agg(F.min_by("close", "time").alias("_first"))
     right = bars.select("series", F.col("time").alias("_bt"), F.col("close").alias("_c"))
     for name, back in (("close_15m", short_ms), ("close_60m", long_ms)):
         p = p.withColumn("_at", S.from_ms(S.ms("t") - back))
-        p = asof(p, right, ["series"], "_at", "_bt", ["_c"], bucket_ms=width * 30).drop("matched", "_at").withColumnRenamed("_c", name)
+        p = materialize(asof(p, right, ["series"], "_at", "_bt", ["_c"], bucket_ms=width * 30).drop("matched", "_at").withColumnRenamed("_c", name), "grid")
     p = p.join(first, "series", "left")
     return p.select(*[c for c in p.columns if c not in ("_first", "close_15m", "close_60m")], F.coalesce("close_15m", "_first").alias("close_15m"), F.coalesce("close_60m", "_first").alias("close_60m"))
 
@@ -87,13 +88,14 @@ def dataset(frames: DataFrame, bars: DataFrame, step_ms: int, warmup_ms: int, ho
     grid = span.select("market", name.alias("series"), F.explode(F.sequence(F.col("_a") + warmup_ms, F.col("_z"), F.lit(step_ms))).alias("_m")).withColumn("t", S.from_ms("_m")).drop("_m")
     cols = [c for c in frames.columns if c not in ("market", "t", "step")]
     d = asof(grid, frames.withColumnRenamed("t", "_ft"), ["market"], "t", "_ft", cols, bucket_ms=step_ms * 512).drop("matched").filter(F.col("spot").isNotNull())
+    d = materialize(d, "grid")
     d = extract(price_context(d, bars, atr_bar_ms, period, short_ms, long_ms, day_ms))
     last = bars.groupBy("series").agg(F.max(S.ms("time")).alias("_last"))
     d = d.join(last, "series").filter(S.ms("t") + max(horizons.values()) <= F.col("_last")).drop("_last")
     right = bars.select("series", F.col("time").alias("_bt"), F.col("close").alias("_c"))
     for n, h in horizons.items():
         d = d.withColumn("_at", S.from_ms(S.ms("t") + h))
-        d = asof(d, right, ["series"], "_at", "_bt", ["_c"], "forward", bucket_ms=step_ms * 512).drop("matched", "_at")
+        d = materialize(asof(d, right, ["series"], "_at", "_bt", ["_c"], "forward", bucket_ms=step_ms * 512).drop("matched", "_at"), "grid")
         d = d.withColumn(f"fwd_{n}", (F.col("_c") - F.col("spot_at")) / F.col("atr_at")).drop("_c")
     return d
 
