@@ -75,7 +75,7 @@ def parse_fed(text: DataFrame) -> DataFrame:
     range running backwards spills into the next month; unscheduled ones take the header's time or the date in
     the statement address at 14:00; cancelled entries are dropped."""
     d = _lines(text).filter(~F.lower(_cell(2)).contains("cancel") & (F.lower(_cell(3)) != "no statement"))
-    first, last = F.try_element_at(F.split(_cell(1), "-"), F.lit(1)).cast("int"), F.element_at(F.split(_cell(1), "-"), -1).cast("int")
+    first, last = F.try_element_at(F.split(_cell(1), "-"), F.lit(1)).try_cast("int"), F.element_at(F.split(_cell(1), "-"), -1).try_cast("int")
     month = F.month(F.try_to_timestamp(F.concat(F.lit("2000 "), F.substring(F.get(F.split(_cell(0), "/"), F.lit(0)), 1, 3), F.lit(" 1")), F.lit("yyyy MMM d")))
     day = F.make_date(F.col("year"), month, F.lit(1))
     day = F.date_add(F.when(last < first, F.add_months(day, 1)).otherwise(day), last - 1)
