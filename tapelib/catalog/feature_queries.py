@@ -20,7 +20,7 @@ _cache: dict = {}
 def _frames(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _cache:
-        _cache[key] = materialize(T.timeline(tables.prints(spark, sf), STEP, SET, 7 * DAY, 30 * DAY, 7 * DAY), "frames")
+        _cache[key] = materialize(T.timeline(tables.stored_prints(spark, sf), STEP, SET, 7 * DAY, 30 * DAY, 7 * DAY), "frames")
     return _cache[key]
 
 
@@ -34,13 +34,13 @@ cte("spain", "SELECT step, symbol, arg_min(strike, {'p': round(pay,6), 's': stri
 
 @query("timeline_contexts", sql(f"SELECT step, symbol, trades, {R('CASE WHEN bull+bear > 0 THEN bull/(bull+bear) ELSE 0.5 END')} AS bull_ratio, {Rs('call_be', 'put_be')}, max_pain FROM sflow JOIN spain USING (step, symbol)", "sflow", "spain"))
 def timeline_contexts(spark, sf):
-    d = T.step_contexts(tables.prints(spark, sf), STEP, SET)
+    d = T.step_contexts(tables.stored_prints(spark, sf), STEP, SET)
     return d.select("step", "symbol", F.col("trades").cast("long").alias("trades"), *r6s("bull_ratio", "call_be", "put_be"), "max_pain")
 
 
 @query("timeline_thresholds", sql(f"SELECT step, symbol, {R('quantile_cont(premium_usd, 0.95)')} AS threshold FROM (SELECT e.step, e.symbol, p.premium_usd, p.i, e.n FROM (SELECT step, symbol, max(i) AS n FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, sequence_id) AS i FROM stp) GROUP BY ALL) e JOIN (SELECT symbol, premium_usd, row_number() OVER (PARTITION BY symbol ORDER BY ts, sequence_id) AS i FROM stp) p ON p.symbol=e.symbol AND p.i <= e.n AND p.i > e.n - 2000) GROUP BY ALL", "stp"))
 def timeline_thresholds(spark, sf):
-    return T.step_thresholds(T.with_steps(tables.prints(spark, sf), STEP), T.SYM, SET.big).select("step", "symbol", r6("threshold"))
+    return T.step_thresholds(T.with_steps(tables.stored_prints(spark, sf), STEP), T.SYM, SET.big).select("step", "symbol", r6("threshold"))
 
 
 @query("timeline_frames", sql(f"""SELECT c.at_ms AS t, {R('(SELECT CASE WHEN sum(bull)+sum(bear) > 0 THEN sum(bull)/(sum(bull)+sum(bear)) ELSE 0.5 END FROM sflow f WHERE f.step=c.step)')} AS bull_ratio, (SELECT count(*) FROM sflow f WHERE f.step=c.step) AS n_contexts,

@@ -193,7 +193,7 @@ def inferred(spark, sf):
  FROM (SELECT symbol, h, row_number() OVER (PARTITION BY h ORDER BY sequence_id) AS n FROM (SELECT symbol, sequence_id, ts || '|' || symbol || '|' || strike || '|' || option_type || '|' || contracts || '|' || aggressor_side AS h FROM prints)) GROUP BY ALL""", "prints"))
 def content_ids(spark, sf):
     p = tables.prints(spark, sf)
-    d = flow.with_content_ids(p, ["timestamp", "symbol", "strike", "option_type", "contracts", "aggressor_side"], ["sequence_id"])
+    d = flow.with_content_ids(p, ["timestamp", "symbol", "strike", "option_type", "contracts", "aggressor_side"], ["sequence_id"], F.substring("sequence_id", 1, 9))
     return d.groupBy("symbol").agg(F.count(F.lit(1)).alias("prints"), F.countDistinct("content").alias("contents"),
                                    F.sum(F.when(F.col("content") != F.col("content_id"), 1).otherwise(0)).alias("repeats"))
 
@@ -364,17 +364,17 @@ CTX = ["max_pain", "poc", "vah", "val", "above_poc", "under_poc", "call_be", "pu
 
 @query("contexts", sql(f"SELECT symbol, {Rs(*CTX)}, trades, row_number() OVER (ORDER BY dte, symbol) AS dte_rank FROM contexts", "contexts"))
 def contexts(spark, sf):
-    return levels.contexts(tables.prints(spark, sf), SET).select("symbol", *r6s(*CTX), "trades", "dte_rank")
+    return levels.contexts(tables.stored_prints(spark, sf), SET).select("symbol", *r6s(*CTX), "trades", "dte_rank")
 
 
 @query("level_rows", sql(f"SELECT symbol, level_type, {Rs('price', 'weight', 'dte')}, experimental FROM lvl", "lvl"))
 def level_rows(spark, sf):
-    return levels.levels_from_contexts(levels.contexts(tables.prints(spark, sf), SET)).select(
+    return levels.levels_from_contexts(levels.contexts(tables.stored_prints(spark, sf), SET)).select(
         "symbol", "level_type", *r6s("price", "weight", "dte"), "experimental")
 
 
 def _clusters(spark, sf):
-    return levels.cluster_levels(levels.levels_from_contexts(levels.contexts(tables.prints(spark, sf), SET)), SET.cluster_floor)
+    return levels.cluster_levels(levels.levels_from_contexts(levels.contexts(tables.stored_prints(spark, sf), SET)), SET.cluster_floor)
 
 
 @query("level_clusters", sql(f"SELECT {Rs('low', 'high', 'center', 'score')}, distinct_types, distinct_expirations, n_levels, rank FROM clusters WHERE rank <= 12", "clusters"))
@@ -396,7 +396,7 @@ def nearest_cluster(spark, sf):
  (SELECT count(*) FROM prints p WHERE p.t >= epoch_ms(s.as_of) - 28800000) AS session_trades, 200 AS n_big
  FROM state s JOIN ({flow_sql('prints', 'market')}) f USING (market)""", "state", "contexts", "clusters"))
 def snapshot(spark, sf):
-    d = levels.snapshot(tables.prints(spark, sf), SET)
+    d = levels.snapshot(tables.stored_prints(spark, sf), SET)
     return d.select("market", S.ms("as_of").alias("as_of_ms"), r6("spot"), r6(F.col("flow_overall.bull_ratio"), "bull_ratio"),
                     F.size("contexts").cast("long").alias("n_contexts"), F.col("contexts")[0]["symbol"].alias("front"),
                     r6(F.col("clusters")[0]["score"], "best_score"), F.size("clusters").cast("long").alias("n_clusters"),

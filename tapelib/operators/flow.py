@@ -215,13 +215,13 @@ def inferred_aggressor(prints: DataFrame, keys: list[str] = CONTRACT) -> DataFra
     return d.withColumn("inferred", S.infer_aggressor("trade_price", "bid", "ask", "prev_price"))
 
 
-def with_content_ids(prints: DataFrame, cols: list[str], order: list[str]) -> DataFrame:
-    """Equal content gives an equal id; the n-th repeat gets ``-n`` appended."""
-    d = prints.withColumn("content", S.content_hash(*cols))
-    w = Window.partitionBy("content").orderBy(*order)
-    d = d.withColumn("_n", F.row_number().over(w))
-    return d.withColumn("content_id", F.when(F.col("_n") > 1, F.concat_ws("-", "content", F.col("_n") - 1))
-                        .otherwise(F.col("content"))).drop("_n")
+def with_content_ids(prints: DataFrame, cols: list[str], order: list[str], bucket: Column) -> DataFrame:
+    """Equal content gives an equal id; the n-th repeat gets ``-n`` appended.
+
+    ``bucket`` is a coarse monotone function of the order: repeats are numbered per bucket and shifted by the
+    counts of earlier buckets, so a content that makes up a third of the tape is not one task."""
+    d = with_index(prints.withColumn("content", S.content_hash(*cols)), ["content"], order, bucket, "_n")
+    return d.withColumn("content_id", F.when(F.col("_n") > 0, F.concat_ws("-", "content", F.col("_n"))).otherwise(F.col("content"))).drop("_n")
 
 
 def dedupe_prints(prints: DataFrame, order: list[str]) -> DataFrame:

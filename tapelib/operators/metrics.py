@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import scalars as S
 from .bars import resample
 from .indicators import with_atr
-from ..plans.longseries import with_index
+from ..plans.longseries import materialize, with_index
 
 
 def profit_factor(pnl) -> Column:
@@ -94,18 +94,37 @@ def rebate_totals(outcomes: DataFrame, keys: list[str], risk_usd: float) -> Data
                                        profit_factor("pnl").alias("pf_gross"), profit_factor("pnl_credited").alias("pf_credited"))
 
 
-def nearest_rank(values, q: float) -> Column:
-    """Aggregate: the value at index round(q (n - 1)) of the sorted sample."""
-    a = F.array_sort(F.collect_list(values))
-    return F.get(a, F.floor(F.lit(q) * (F.size(a) - 1) + 0.5).cast("int"))
+def ranked(df: DataFrame, keys: list[str], value: str, slices: int = 1024) -> DataFrame:
+    """Distinct values with the rows at or under them (``_hi``) and the key's row count ``n``.
+
+    Values are counted first and cut into equal-width slices of the key's range, so one key's values are
+    spread over many tasks; only slice totals are summed per key."""
+    c = materialize(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")), "counts")
+    lim = c.groupBy(*keys).agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"), F.sum("_c").alias("n"))
+    pos = F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("_mn"), F.col("_mx") - F.col("_mn")) * slices), F.lit(0))
+    c = c.join(lim, keys).withColumn("_bk", pos).drop("_mn", "_mx")
+    w = Window.partitionBy(*keys, "_bk").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    off = c.groupBy(*keys, "_bk").agg(F.sum("_c").alias("_t"))
+    wb = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    off = off.select(*keys, "_bk", F.coalesce(F.sum("_t").over(wb), F.lit(0)).alias("_off"))
+    return c.withColumn("_h", F.sum("_c").over(w)).join(off, [*keys, "_bk"]).withColumn("_hi", F.col("_h") + F.col("_off")).drop("_h", "_off", "_bk")
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """Interpolated quantiles of each key without gathering its values in one task."""
+    c = ranked(df, keys, value)
+    at = lambda pos: F.min(F.when(F.col("_hi") > pos, F.col(value)))
+    cols, out = [], []
+    for name, q in qs.items():
+        pos = F.lit(q) * (F.col("n") - 1)
+        cols += [at(F.floor(pos)).alias(f"_a_{name}"), at(F.ceil(pos)).alias(f"_b_{name}")]
+        out.append((F.col(f"_a_{name}") + (F.col(f"_b_{name}") - F.col(f"_a_{name}")) * (F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1)))).alias(name))
+    return c.groupBy(*keys).agg(F.max("n").alias("n"), *cols).select(*keys, "n", *out)
 
 
 def nearest_rank_by(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """Nearest-rank quantiles from counts of distinct values: partial counts first, then one short window per
-    key over its distinct values; no key's rows are collected."""
-    c = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    c = c.select("*", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_hi"), F.sum("_c").over(Window.partitionBy(*keys)).alias("n"))
+    """Quantiles at index round(q (n - 1)) of the sorted values."""
+    c = ranked(df, keys, value)
     pick = [F.min(F.when(F.col("_hi") > F.floor(F.lit(q) * (F.col("n") - 1) + 0.5), F.col(value))).alias(a) for a, q in qs.items()]
     return c.groupBy(*keys).agg(F.max("n").alias("n"), *pick)
 

@@ -225,9 +225,7 @@ def follow_through(bars: DataFrame, breaks: DataFrame, horizon_ms: int, toleranc
     f = f.select("series", "idx", ((F.col("fwd") - F.col("close")) / F.col(atr)).alias("m"))
     e = breaks.filter("kind <> 'NONE'").join(f, ["series", "idx"]).select("series", "kind", (F.col("side") * F.col("m")).alias("x"))
     a = e.unionByName(f.select("series", F.lit("ANY").alias("kind"), F.col("m").alias("x"))).withColumn("x", F.round("x", 9))
-    c = a.groupBy("series", "kind", "x").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy("series", "kind").orderBy("x")
-    c = c.select("*", F.sum("_c").over(w).alias("_hi"), F.sum("_c").over(Window.partitionBy("series", "kind")).alias("n"))
+    c = M.ranked(a, ["series", "kind"], "x")
     q = lambda p: F.min(F.when(F.col("_hi") > F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n"))), F.col("x")))
     return c.groupBy("series", "kind").agg(F.max("n").alias("n"), q(0.25).alias("p25"), q(0.75).alias("p75"))
 
@@ -558,14 +556,12 @@ def tick_gaps(quotes: DataFrame, session_gap_min: float) -> DataFrame:
     q = with_index(quotes, KEY, [c for c in ("time", "event_id") if c in quotes.columns], F.floor(S.ms("time") / 3_600_000))
     d = blocked(q, KEY, lambda x, f: x.withColumn("dt", (F.unix_micros("time") - F.unix_micros(f.lag("time"))) / 1e6), back=1)
     big = F.col("dt") > session_gap_min * 60.0
-    return d.groupBy("series").agg(F.count(F.lit(1)).alias("ticks"), F.sum(F.coalesce(big, F.lit(False)).cast("int")).alias("sessions"), F.percentile(F.when(~big, F.col("dt")), F.lit(0.5)).alias("median_gap"),
-                                   F.max(F.when(~big, F.col("dt"))).alias("max_gap"))
+    g = d.groupBy("series").agg(F.count(F.lit(1)).alias("ticks"), F.sum(F.coalesce(big, F.lit(False)).cast("int")).alias("sessions"), F.max(F.when(~big, F.col("dt"))).alias("max_gap"))
+    return g.join(M.percentiles(d.filter(~big), KEY, "dt", {"median_gap": 0.5}).drop("n"), KEY, "left")
 
 
 def spread_quantiles(quotes: DataFrame, keys: list[str], qs=(0.5, 0.9, 0.99)) -> DataFrame:
     """Spread quantiles by group: the value at index min(n - 1, int(q n))."""
-    c = quotes.withColumn("spread", F.round(F.col("ask") - F.col("bid"), 9)).groupBy(*keys, "spread").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys).orderBy("spread")
-    c = c.select("*", F.sum("_c").over(w).alias("_hi"), F.sum("_c").over(Window.partitionBy(*keys)).alias("n"))
+    c = M.ranked(quotes.withColumn("spread", F.round(F.col("ask") - F.col("bid"), 9)), keys, "spread")
     q = lambda p: F.min(F.when(F.col("_hi") > F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n"))), F.col("spread")))
     return c.groupBy(*keys).agg(F.max("n").alias("n"), *[q(p).alias(f"p{int(p * 100)}") for p in qs])

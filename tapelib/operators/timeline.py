@@ -15,6 +15,8 @@ from .levels import Settings
 
 SYM = ["market", "symbol"]
 AT = ["market", "symbol", "step"]
+NARROW = ["market", "symbol", "timestamp", "sequence_id", "expiration", "strike", "option_type", "trade_price", "contracts", "premium_usd", "aggressor_side",
+          "flow_class", "underlying_price", "step"]
 
 
 def with_steps(prints: DataFrame, step_ms: int) -> DataFrame:
@@ -79,7 +81,7 @@ def whale_steps(d: DataFrame, clock: DataFrame, cfg: flow.BigPrints) -> DataFram
     A step's threshold re-judges all earlier prints, so prints are summed into (strike, step, rank of the
     smallest thresholds they pass); a step then adds the cells at or over its own rank.  The cells are bounded
     by the grid, not by the number of prints."""
-    thr = step_thresholds(d, SYM, cfg).withColumn("eff", F.least("threshold", F.lit(cfg.min_premium)))
+    thr = materialize(step_thresholds(d, SYM, cfg).withColumn("eff", F.least("threshold", F.lit(cfg.min_premium))), "thresholds")
     first = thr.groupBy(*SYM).agg(F.min("step").alias("_f"), F.array_sort(F.collect_set("eff")).alias("_q"))
     steps = clock.groupBy("market").agg(F.array_sort(F.collect_list("step")).alias("_steps"))
     grid = first.join(steps, "market").select(*SYM, "_q", F.explode(F.filter("_steps", lambda s: s >= F.col("_f"))).alias("step"))
@@ -102,7 +104,8 @@ def whale_steps(d: DataFrame, clock: DataFrame, cfg: flow.BigPrints) -> DataFram
 
 def step_contexts(prints: DataFrame, step_ms: int, s: Settings = Settings()) -> DataFrame:
     """The contract contexts of every frame (premium-weighted break-evens, net-long large-print levels)."""
-    d = with_steps(prints, step_ms)
+    # read by every part below: one narrow copy instead of re-reading and re-joining the tape
+    d = materialize(with_steps(prints, step_ms).select(*NARROW), "steps")
     clock = step_clock(d)
     st = strike_states(d, clock, s.profile_mode)
     pos = st.select(*AT, "strike", F.col("c_qty").alias("call_oi_proxy"), F.col("p_qty").alias("put_oi_proxy"))

@@ -15,7 +15,7 @@ def read_bars(spark: SparkSession, root: str) -> DataFrame:
 
 def write_bars(bars: DataFrame, root: str) -> None:
     """Rewrite only the series present in ``bars``."""
-    d = assert_schema(bars, BARS).repartition("series", F.date_trunc("month", "time")).sortWithinPartitions("series", "time")
+    d = assert_schema(bars, BARS).hint("rebalance", "series").sortWithinPartitions("series", "time")
     d.write.option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy("series").mode("overwrite").parquet(root)
 
 

@@ -49,6 +49,14 @@ def calendar(spark, sf) -> DataFrame:
                     F.when(F.col("value") >= 150, 3).otherwise(2).alias("impact"), F.lit("table").alias("source"))
 
 
+def stored_prints(spark, sf) -> DataFrame:
+    """The tape as a stored table, for operators that read it several times."""
+    key = (spark.sparkContext.applicationId, sf, "prints")
+    if key not in _store:
+        _store[key] = materialize(prints(spark, sf), "prints")
+    return _store[key]
+
+
 def prints(spark, sf) -> DataFrame:
     line, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
     j = line.join(part.select("p_partkey", "p_brand", "p_size"), line.l_partkey == part.p_partkey)

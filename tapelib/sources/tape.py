@@ -26,14 +26,14 @@ def conform(prints: DataFrame) -> DataFrame:
     return prints.select(*[F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in PRINTS])
 
 
-def append_tape(prints: DataFrame, root: str, files_per_day: int = 1) -> None:
+def append_tape(prints: DataFrame, root: str) -> None:
     """Append to date=YYYY-MM-DD directories, time sorted in each file; an empty input writes nothing.
 
-    Rows of one day are spread over ``files_per_day`` files so that a heavy day is not one task."""
+    The rebalance gathers a day's rows and lets AQE split a heavy day over several tasks and files."""
     if prints.isEmpty():
         return
     d = assert_schema(prints, PRINTS).withColumn("date", F.to_date("timestamp"))
-    d = d.repartition("date", F.pmod(F.xxhash64("id"), F.lit(files_per_day))).sortWithinPartitions("date", "timestamp", "id")
+    d = d.hint("rebalance", "date").sortWithinPartitions("date", "timestamp", "id")
     d.write.option("compression", "zstd").partitionBy("date").mode("append").parquet(root)
 
 
