@@ -282,10 +282,11 @@ def fine_in_coarse(spark, sf):
     return d.select("series", F.col("seq").alias("event_id"), "coarse_open", "idx")
 
 
-@query("parameter_grid", sql("SELECT a.fast, b.slow, c.mode FROM (VALUES (8),(12)) a(fast), (VALUES (21),(26),(34)) b(slow), (VALUES ('x'),('y')) c(mode), (SELECT 1 FROM region LIMIT 1)"))
+@query("parameter_grid", sql("SELECT series, min_volume, min_body, count(*) AS n FROM bars, (VALUES (2), (4)) a(min_volume), (VALUES (50), (100), (200)) b(min_body) WHERE volume >= min_volume AND abs(close - open) >= min_body GROUP BY ALL", "bars"))
 def parameter_grid(spark, sf):
-    r = tables.table(spark, sf, "region").limit(1).select()
-    return J.grid(spark, {"fast": [8, 12], "slow": [21, 26, 34], "mode": ["x", "y"]}).crossJoin(r)
+    d = J.with_grid(_bars(spark, sf), {"min_volume": [2, 4], "min_body": [50, 100, 200]})
+    d = d.filter((F.col("volume") >= F.col("min_volume")) & (F.abs(F.col("close") - F.col("open")) >= F.col("min_body")))
+    return d.groupBy("series", "min_volume", "min_body").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("run_length_lookup", sql("SELECT b.series, b.idx, r.close AS level FROM bars b ASOF LEFT JOIN (SELECT series, idx AS start, close FROM bars WHERE volume >= 5) r ON b.series=r.series AND b.idx >= r.start", "bars"))

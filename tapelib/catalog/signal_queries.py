@@ -280,8 +280,7 @@ def limit_entry(spark, sf):
         ext = [agg(c).over(f.rows(1, n)).alias(f"{nm}{n}") for n in (2, 4) for nm, agg, c in (("lo", F.min, "low"), ("hi", F.max, "high"))]
         return x.select("*", f.lead("close", 6).alias("fwd"), *ext)
     d = blocked(_bars_atr(spark, sf), ["series"], look, ahead=6).filter(F.col("fwd").isNotNull() & F.col("atr").isNotNull())
-    g = J.grid(spark, {"side": [1, -1], "atr_offset": [0.1, 0.3], "wait": [2, 4]})
-    d = d.crossJoin(F.broadcast(g))  # eight fixed rows
+    d = J.with_grid(d, {"side": [1, -1], "atr_offset": [0.1, 0.3], "wait": [2, 4]})
     px = F.col("close") - F.col("side") * F.col("atr_offset") * F.col("atr")
     fill = F.when(F.col("side") == 1, F.when(F.col("wait") == 2, F.col("lo2")).otherwise(F.col("lo4")) <= px).otherwise(F.when(F.col("wait") == 2, F.col("hi2")).otherwise(F.col("hi4")) >= px)
     return d.groupBy("series", "side", "atr_offset", "wait").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(fill.cast("double")), "fill_rate"), r6(F.avg(F.when(fill, F.col("side") * (F.col("fwd") - px))), "mean_gain"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.scalars import ms
 from ..plans.asof import asof
 
-__all__ = ["asof", "open_at", "at_horizon", "pair", "blackout", "fine_in_coarse", "grid", "step_lookup"]
+__all__ = ["asof", "open_at", "at_horizon", "pair", "blackout", "fine_in_coarse", "with_grid", "grid", "step_lookup"]
 
 
 def open_at(left: DataFrame, bars: DataFrame, tolerance_ms: int, time: str = "time") -> DataFrame:
@@ -55,12 +55,16 @@ def fine_in_coarse(fine: DataFrame, coarse: DataFrame, step_ms: int) -> DataFram
     return f.join(c, ["series", "coarse_time"])
 
 
+def with_grid(df: DataFrame, axes: dict[str, list]) -> DataFrame:
+    """Every row once per parameter combination; the values are literals, so nothing is joined."""
+    for name, values in axes.items():
+        df = df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return df
+
+
 def grid(spark: SparkSession, axes: dict[str, list]) -> DataFrame:
     """Every combination of the parameter values, one row per cell."""
-    d = spark.range(1).select()
-    for name, values in axes.items():
-        d = d.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
-    return d
+    return with_grid(spark.range(1).select(), axes)
 
 
 def step_lookup(rows: DataFrame, steps: DataFrame, keys: list[str], index: str, start: str, value: str) -> DataFrame:

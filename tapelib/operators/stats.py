@@ -354,7 +354,8 @@ def event_moves(events: DataFrame, bars: DataFrame, windows: dict[str, tuple[int
     cols = [c for c in ("series",) if c in events.columns]
     e = events.select(*cols, F.col("time").alias("event_time"), *keep, F.inline(w))
     if not cols:
-        e = e.crossJoin(F.broadcast(bars.select("series").distinct()))  # instruments, not rows
+        names = bars.agg(F.collect_set("series").alias("_all"))  # one row: the instruments
+        e = e.crossJoin(names).withColumn("series", F.explode("_all")).drop("_all")
     e = e.withColumn("t0", S.from_ms(S.ms("event_time") + F.col("_a"))).withColumn("t1", S.from_ms(S.ms("event_time") + F.col("_b")))
     right = bars.select("series", F.col("time").alias("_bt"), F.col("open"))
     e = asof(e, right.withColumnRenamed("open", "o0"), KEY, "t0", "_bt", ["o0"], "forward", tolerance_ms=tolerance_ms).drop("matched")
