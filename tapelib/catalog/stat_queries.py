@@ -83,7 +83,7 @@ def _labels(spark, sf):
     return ST._fractal_label(b, 2, "high", "low", "label")
 
 
-TURN_REC = """tn AS (SELECT series, idx, idx AS pos, close AS px, CASE WHEN high-close > 2*atr THEN 1 WHEN close-low > 2*atr THEN -1 ELSE 0 END AS way, NULL::BIGINT AS pv, NULL::INT AS pw FROM ba14 WHERE idx = 13
+TURN_REC = """tn AS (SELECT series, idx, idx AS pos, CASE WHEN high-close > 2*atr THEN high WHEN close-low > 2*atr THEN low ELSE close END AS px, CASE WHEN high-close > 2*atr THEN 1 WHEN close-low > 2*atr THEN -1 ELSE 0 END AS way, NULL::BIGINT AS pv, NULL::INT AS pw FROM ba14 WHERE idx = 13
  UNION ALL SELECT series, idx, CASE WHEN way = 0 THEN CASE WHEN high-px > 2*atr OR px-low > 2*atr THEN idx ELSE pos END WHEN ext OR turn THEN idx ELSE pos END, CASE WHEN way = 0 THEN CASE WHEN high-px > 2*atr THEN high WHEN px-low > 2*atr THEN low ELSE px END WHEN ext THEN CASE WHEN way > 0 THEN high ELSE low END WHEN turn THEN CASE WHEN way > 0 THEN low ELSE high END ELSE px END,
   CASE WHEN way = 0 THEN CASE WHEN high-px > 2*atr THEN 1 WHEN px-low > 2*atr THEN -1 ELSE 0 END WHEN turn AND NOT ext THEN -way ELSE way END, CASE WHEN way <> 0 AND turn AND NOT ext THEN pos END, CASE WHEN way <> 0 AND turn AND NOT ext THEN -way END
  FROM (SELECT b.series, b.idx, b.high, b.low, b.atr, t.pos, t.px, t.way, CASE WHEN t.way > 0 THEN b.high > t.px ELSE b.low < t.px END AS ext, CASE WHEN t.way > 0 THEN t.px - b.low > 2*b.atr ELSE b.high - t.px > 2*b.atr END AS turn FROM tn t JOIN ba14 b ON b.series=t.series AND b.idx=t.idx+1))"""
