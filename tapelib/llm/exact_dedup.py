@@ -30,8 +30,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = df.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("digest", digest(F.col("text")))
     rows = stored(docs.groupBy("id", "digest", F.sha2("text", 256).alias("sha256")).agg(F.count(F.lit(1)).alias("copies")), "exact-rows")
     sums = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("members"), F.sum("copies").alias("group_size"), pick("id").alias("keep_id"))
-    placed = stored(rows.join(sums, "digest"), "exact-placed")
-    texts = _member_texts(docs, placed)
+    placed = stored(rows.join(stored(sums, "exact-sums"), "digest"), "exact-placed")  # two plain exchanges: a hot digest can be split
+    texts = stored(_member_texts(docs, placed), "exact-members")
     heads = texts.filter(F.col("id").eqNullSafe(F.col("keep_id"))).select("digest", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("text").alias("head"))
     heads = heads.groupBy("digest", "share").agg(F.max("head").alias("head"))
     odd = stored(texts.join(heads, ["digest", "share"]).filter(F.col("text") != F.col("head")).select("id", "digest", "text").distinct(), "exact-collisions")
