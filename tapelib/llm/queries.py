@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelib.llm import exact_dedup
+from tapelib.llm import exact_dedup, packing, token_files
+from tapelib.llm.store import new_path, stored
+
+#: Names of vocabulary files in the folder of public tokenizers.
+WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -24,6 +28,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op3_pattern_packing")
+def op3(spark, sf):
+    """One row per piece of a document: its place in sequences of at most 4,096 tokens."""
+    pieces = stored(packing.token_pieces(table(spark, sf, "documents"), vocabulary(WORD_BPE), spaced=False, end_id=1, capacity=4096), "pieces")
+    return packing.pack(pieces, 4096).withColumnRenamed("id", "doc_id")
+
+
 @query("op4_exact_dedup", """
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
     SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
@@ -33,3 +49,13 @@ def op4(spark, sf):
     g = exact_dedup.exact_groups(table(spark, sf, "documents"), keep="max")
     each = g.withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
     return each.select(F.col("id").alias("doc_id"), "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha256").alias("text_sha256"))
+
+
+@query("op6_token_files")
+def op6(spark, sf):
+    """One row per document, read back from the token files through their index."""
+    docs, folder = table(spark, sf, "documents"), new_path(spark, "token-files")
+    index = token_files.write_token_files(docs, folder, vocabulary(BYTE_BPE), spaced=True, end_id=0)
+    keys = docs.groupBy(F.col("doc_id").alias("id")).count().select("id", F.explode(F.expr("sequence(0, cast(count - 1 AS int))")).alias("copy"))
+    read = token_files.read_tokens(token_files.find_tokens(keys, folder, max(1, index.count())), folder, with_ids=False)
+    return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
