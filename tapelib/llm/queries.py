@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelib.llm import exact_dedup, packing, token_files
+from tapelib.llm import decontamination, exact_dedup, packing, token_files
 from tapelib.llm.store import new_path, stored
 
 #: Names of vocabulary files in the folder of public tokenizers.
@@ -59,3 +59,26 @@ def op6(spark, sf):
     keys = docs.groupBy(F.col("doc_id").alias("id")).count().select("id", F.explode(F.expr("sequence(0, cast(count - 1 AS int))")).alias("copy"))
     read = token_files.read_tokens(token_files.find_tokens(keys, folder, max(1, index.count())), folder, with_ids=False)
     return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+_WORDS = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op8_decontamination", f"""
+    WITH d AS (SELECT doc_id, coalesce({_WORDS.format('text')}, []::VARCHAR[]) AS w FROM documents),
+    i AS (SELECT cast(item_id AS VARCHAR) AS item, {_WORDS.format('text')} AS w FROM benchmark WHERE text IS NOT NULL),
+    p AS (SELECT DISTINCT item, array_to_string(w[k:k + 12], ' ') AS phrase, least(len(w), 13) AS n
+          FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+    sizes AS (SELECT DISTINCT n FROM p),
+    g AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS phrase
+          FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)),
+    o AS (SELECT doc_id, item, k, g.n FROM g JOIN p USING (phrase) WHERE g.n = p.n),
+    h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS pos FROM o) GROUP BY doc_id),
+    t AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM o GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""")
+def op8(spark, sf):
+    """One row per document: words inside benchmark phrases, and the items they come from."""
+    found = decontamination.find_phrases(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
+    return found.select("doc.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontamination.sha256_of_items().alias("items_sha256"), decontamination.contaminated().alias("contaminated"))
