@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelib.llm import decontamination, exact_dedup, packing, token_files
+from tapelib.llm import decontamination, exact_dedup, packing, token_files, toxicity
 from tapelib.llm.store import new_path, stored
 
 #: Names of vocabulary files in the folder of public tokenizers.
@@ -51,6 +51,20 @@ def op4(spark, sf):
     return each.select(F.col("id").alias("doc_id"), "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha256").alias("text_sha256"))
 
 
+def remainder(id_col: str, by: int):
+    """crc32 of the id as text, modulo ``by``."""
+    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(by))
+
+
+@query("op5_toxicity")
+def op5(spark, sf):
+    """One row per document: a score of toxicity, learnt from labels outside the held-out rows."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf, "labels"), remainder("id", 4) != 2)
+    scored = toxicity.score(docs, model).select("doc.doc_id", "score")
+    return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query("op6_token_files")
 def op6(spark, sf):
     """One row per document, read back from the token files through their index."""
