@@ -49,25 +49,28 @@ class Encoder:
         if len(self.recent) > CACHE_PIECES:
             self.older, self.recent = self.recent, {}
         recent, older, long, words, rest, joined = self.recent, self.older, {}, {}, [], []
-        for p in pieces:
-            if p in recent:
-                continue
-            if p in older:
-                recent[p] = older[p]
-            elif len(p) > LONGEST or not (m := _SIMPLE.fullmatch(p)):
+        new = pieces.difference(recent)
+        again = {p for p in new if p in older}
+        recent.update((p, older[p]) for p in again)
+        for p in new.difference(again):
+            m = _SIMPLE.fullmatch(p) if len(p) <= LONGEST else None
+            if not m:
                 rest.append(p)
-            else:
-                word, marks = self.fold(m[1]), m[2]
-                if word not in recent:
-                    if word in older:
-                        recent[word] = older[word]
-                    else:
-                        words[word] = None
-                if marks not in self.marks:
-                    self.marks[marks] = self._ids([marks])[0]
-                if word != p:
-                    joined.append((p, word, marks))
-        plain = ["".join(map(self.letters.__getitem__, (self.before + w).encode())) for w in words]
+                continue
+            word, marks = self.fold(m[1]), m[2]
+            if word == p:
+                words[p] = None
+                continue
+            joined.append((p, word, marks))
+            if word not in recent:
+                if word in older:
+                    recent[word] = older[word]
+                else:
+                    words[word] = None
+            if marks not in self.marks:
+                self.marks[marks] = self._ids([marks])[0]
+        space = self.letters[0x20] if self.before else ""
+        plain = [space + w if w.isascii() else "".join(map(self.letters.__getitem__, (self.before + w).encode())) for w in words]
         recent.update(zip(words, self._ids(plain, self.merges), strict=True))
         for p, word, marks in joined:
             recent[p] = recent[word] + self.marks[marks]
