@@ -17,8 +17,9 @@ from tapelib.llm.text import LETTERS, Chunk, chunks, gram_hashes
 #: Labelled documents of each class that the models are learnt from: the smallest by a hash of the id.  The bound keeps
 #: the join with the documents a broadcast (24 bytes a row); labels beyond it only count in the share of each class.
 LABELLED = 20_000
-#: Expressions with fewer occurrences in both classes together are left to the shared counts.
-RARE = 3
+#: Words and pairs with fewer occurrences in both classes together are left to the shared counts.  Pairs are many more,
+#: so that chance alone makes some of them lean.
+RARE, RARE_PAIR = 3, 50
 DISCOUNT = 0.75
 #: One labelled document in so many is kept from the counts and fits the score instead.
 FOLDS = 4
@@ -89,8 +90,8 @@ def _ratios(counts: DataFrame) -> Model:
     totals = words.agg(*[F.coalesce(f, F.lit(0)).cast("double").alias(n) for n, f in (("kt", F.sum("toxic")), ("kp", F.sum("plain")), ("tt", seen("toxic")), ("tp", seen("plain")))]).first()
     w = words.filter(F.col("toxic") + F.col("plain") >= RARE).toPandas()
     words.unpersist()
-    before = counts.groupBy("before").agg(F.sum("toxic").alias("ct"), F.sum("plain").alias("cp"), seen("toxic").alias("nt"), seen("plain").alias("np")).filter(F.col("ct") + F.col("cp") >= RARE).toPandas()
-    pairs = counts.filter(F.col("toxic") + F.col("plain") >= RARE).toPandas()
+    before = counts.groupBy("before").agg(F.sum("toxic").alias("ct"), F.sum("plain").alias("cp"), seen("toxic").alias("nt"), seen("plain").alias("np")).filter(F.col("ct") + F.col("cp") >= RARE_PAIR).toPandas()
+    pairs = counts.filter(F.col("toxic") + F.col("plain") >= RARE_PAIR).toPandas()
     if not totals.kt or not totals.kp:
         return Model(*(np.empty(0, dtype=x) for x in (np.uint64, float, np.uint64, float)))
     shared = (w.toxic + w.plain) / (totals.kt + totals.kp)
