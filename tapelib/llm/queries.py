@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelib.llm import decontamination, exact_dedup, packing, token_files, toxicity
+from tapelib.llm import decontamination, exact_dedup, hmm, packing, token_files, toxicity
 from tapelib.llm.store import new_path, stored
 
 #: Names of vocabulary files in the folder of public tokenizers.
@@ -96,3 +96,10 @@ def op8(spark, sf):
     """One row per document: words inside benchmark phrases, and the items they come from."""
     found = decontamination.find_phrases(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
     return found.select("doc.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontamination.sha256_of_items().alias("items_sha256"), decontamination.contaminated().alias("contaminated"))
+
+
+@query("op10_hmm_scores")
+def op10(spark, sf):
+    """One row per document: unigram and hidden Markov log10 probabilities, learnt from nine tenths of the documents."""
+    scored = hmm.score(table(spark, sf, "documents"), remainder("id", 10) != 0)
+    return scored.select(F.col("id").alias("doc_id"), (remainder("id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
