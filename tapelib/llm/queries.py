@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelib.llm import decontamination, exact_dedup, hmm, packing, token_files, toxicity
+from tapelib.llm import decontamination, exact_dedup, hmm, near_dedup, packing, token_files, toxicity
 from tapelib.llm.store import new_path, stored
 
 #: Names of vocabulary files in the folder of public tokenizers.
@@ -33,6 +33,22 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op2_hyperminhash", r"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]) END) AS g FROM d WHERE len(w) > 0),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+    e AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
+    u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+    r(doc_id, low) AS (SELECT doc_id, doc_id FROM d UNION SELECT u.y, r.low FROM r JOIN u ON u.x = r.doc_id WHERE r.low < u.y),
+    m AS (SELECT doc_id, min(low) AS component_id FROM r GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)""")
+def op2(spark, sf):
+    """One row per document: its group of near duplicates over two-word shingles."""
+    groups = near_dedup.near_groups(table(spark, sf, "documents"), k=2)
+    return groups.withColumnRenamed("id", "doc_id")
+
+
 @query("op3_pattern_packing")
 def op3(spark, sf):
     """One row per piece of a document: its place in sequences of at most 4,096 tokens."""
