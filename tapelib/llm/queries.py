@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelib.llm import decontamination, exact_dedup, hmm, near_dedup, packing, token_files, toxicity
+from tapelib.llm import decontamination, exact_dedup, hmm, near_dedup, packing, substring_dedup, token_files, toxicity
 from tapelib.llm.store import new_path, stored
 
 #: Names of vocabulary files in the folder of public tokenizers.
@@ -33,6 +33,21 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_substring_dedup", r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    g AS (SELECT doc_id, k, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13)),
+    f AS (SELECT g, min(doc_id) AS low FROM g GROUP BY g),
+    r AS (SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS pos FROM g JOIN f USING (g) WHERE low < doc_id),
+    n AS (SELECT doc_id, count(*) AS n_removed, list(pos) AS gone FROM r GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed,
+           sha256(coalesce(array_to_string(list_filter(w, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' '), '')) AS kept_sha256
+    FROM d LEFT JOIN n USING (doc_id)""")
+def op1(spark, sf):
+    """One row per document: words left after repeated passages were removed."""
+    left = substring_dedup.remove_repeats(table(spark, sf, "documents"))
+    return left.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 @query("op2_hyperminhash", r"""
     WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
     s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]) END) AS g FROM d WHERE len(w) > 0),
