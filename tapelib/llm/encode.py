@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import Split
 
 #: A single space before a character that no definition counts as white space: a byte-level tokenizer always cuts there.
 _CUT = re.compile(r" (?=[^\s\x1c-\x1f\x85])")
 #: Letters that every definition counts as letters and that no normalisation changes but for case, then ASCII marks
 #: without the apostrophe: both tokenizers cut between the two, so that "word," need not be learnt beside "word".
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: A line break between two such words is a piece of its own for a byte-level tokenizer.
+_WORD = r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)"
+_SIMPLE = re.compile(rf"{_WORD}(?:\n{_WORD})?")
 #: Pieces kept; when as many new ones have come, those not used since are dropped.  Only speed depends on it.
 CACHE_PIECES = 400_000
 #: Longer pieces are encoded anew each time.
@@ -36,13 +38,31 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # byte-level alphabets: these stand for themselves
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+        # words are given to the model in one text, kept apart by the line break, which no word holds
+        self.gap = self.letters[0x0A]
+        self.merges.pre_tokenizer = Split(self.gap, "isolated")
+        self.gap_id, = self.merges.encode(self.gap, add_special_tokens=False).ids
+        self.line = self._ids(["\n"])[0]
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
 
-    def _ids(self, pieces: list[str], tokenizer: Tokenizer | None = None) -> list[bytes]:
-        code = {"<u2": "H", "<u4": "I"}[self.kind.str]
-        return [array(code, e.ids).tobytes() for e in (tokenizer or self.tokenizer).encode_batch_fast(pieces, add_special_tokens=False)]
+    def _letters(self, word: str) -> str:
+        return word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        if not words:
+            return []
+        one, = self.merges.encode_batch_fast([self.gap.join(words) + self.gap], add_special_tokens=False)
+        ids, width = np.array(one.ids, dtype=self.kind), self.kind.itemsize
+        ends, raw, start, out = (np.flatnonzero(ids == self.gap_id) * width).tolist(), ids.tobytes(), 0, []
+        for end in ends:
+            out.append(raw[start:end])
+            start = end + width
+        return out
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Add the pieces to the cache; return those that are too long for it."""
@@ -57,23 +77,27 @@ class Encoder:
             if not m:
                 rest.append(p)
                 continue
-            word, marks = self.fold(m[1]), m[2]
+            word, marks, next_word, next_marks = m.groups()
+            word = self.fold(word)
             if word == p:
                 words[p] = None
                 continue
-            joined.append((p, word, marks))
-            if word not in recent:
-                if word in older:
-                    recent[word] = older[word]
-                else:
-                    words[word] = None
-            if marks not in self.marks:
-                self.marks[marks] = self._ids([marks])[0]
+            need = (word, "\n" + next_word) if next_word else (word,)
+            joined.append((p, word, marks, next_word, next_marks))
+            for w in need:
+                if w not in recent:
+                    if w in older:
+                        recent[w] = older[w]
+                    else:
+                        words[w] = None
+            for x in (marks, next_marks):
+                if x and x not in self.marks:
+                    self.marks[x] = self._ids([x])[0]
         space = self.letters[0x20] if self.before else ""
-        plain = [space + w if w.isascii() else "".join(map(self.letters.__getitem__, (self.before + w).encode())) for w in words]
-        recent.update(zip(words, self._ids(plain, self.merges), strict=True))
-        for p, word, marks in joined:
-            recent[p] = recent[word] + self.marks[marks]
+        plain = [self._letters(w[1:]) if w[0] == "\n" else space + self._letters(w) for w in words]  # after a line break there is no space
+        recent.update(zip(words, self._word_ids(plain), strict=True))
+        for p, word, marks, next_word, next_marks in joined:
+            recent[p] = recent[word] + self.marks[marks] + (self.line + recent["\n" + next_word] + self.marks[next_marks] if next_word else b"")
         for p, ids in zip(rest, self._ids([self.before + p for p in rest]), strict=True):
             (recent if len(p) <= LONGEST else long)[p] = ids
         return long
