@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelib.llm import decontamination, exact_dedup, hmm, near_dedup, packing, substring_dedup, token_files, toxicity
+from tapelib.llm import decontamination, exact_dedup, hmm, licences, near_dedup, packing, substring_dedup, token_files, toxicity, warc
 from tapelib.llm.store import new_path, stored
 
 #: Names of vocabulary files in the folder of public tokenizers.
@@ -134,3 +134,42 @@ def op10(spark, sf):
     """One row per document: unigram and hidden Markov log10 probabilities, learnt from nine tenths of the documents."""
     scored = hmm.score(table(spark, sf, "documents"), remainder("id", 10) != 0)
     return scored.select(F.col("id").alias("doc_id"), (remainder("id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op7_warc_audit", """
+    SELECT page_id, sha256(coalesce(html, '')) AS payload_sha256, strlen(coalesce(html, '')) AS payload_bytes, page_id % 50 = 0 AS damaged FROM pages""")
+def op7(spark, sf):
+    """One row per page: its payload as read back from the WARC shards, and whether an audit of a second replica, in which one
+    byte of every fiftieth page was changed on purpose, found its record damaged."""
+    ours, theirs = new_path(spark, "warc"), new_path(spark, "warc-replica")
+    manifest = warc.write_warc(table(spark, sf, "pages"), ours)
+    warc.copy_warc(manifest, ours, theirs, F.col("id") % 50 == 0).count()
+    bad = warc.audit(warc.merkle_tree(manifest), warc.merkle_tree(warc.read_records(manifest, theirs)))
+    pages = warc.read_records(manifest, ours, with_payload=True)
+    found = pages.join(bad.withColumn("bad", F.lit(True)), ["shard", "place"], "left")
+    return found.select(F.col("id").alias("page_id"), "payload_sha256", "payload_bytes", F.coalesce("bad", F.lit(False)).alias("damaged"))
+
+
+def _licence_sql() -> str:
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    known = ", ".join(f"({q(licences._plain(s))}, {q(k)})" for k, s in licences.SENTENCES.items())
+    rules = ", ".join(f"({q(name)}, {q(',' + ','.join(ids) + ',')})" for name, ids in licences.RULES)
+    within = ", ".join(f"({q(a)}, {q(b)})" for a, b in licences.WITHIN.items())
+    return rf"""
+    WITH known(s, id) AS (VALUES {known}), rules(licence, ids) AS (VALUES {rules}), within(less, more) AS (VALUES {within}),
+    d AS (SELECT doc_id, regexp_replace(translate(regexp_replace(coalesce(text, ''), '{licences.LINE}', E'
+
+\1', 'g'), '{licences.UPPER}', '{licences.LOW}'), '{licences.ENDS}', '|', 'g') AS t FROM documents),
+    s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(t, '{licences.OTHER}', ' ', 'g'), '|'), lambda x: trim(x)), lambda x: x <> '') AS s FROM d),
+    e AS (SELECT doc_id, generate_subscripts(s, 1) AS k, unnest(s) AS s FROM s),
+    i AS (SELECT doc_id, string_agg(id, ',' ORDER BY k) AS ids FROM e JOIN known USING (s) GROUP BY doc_id),
+    h AS (SELECT DISTINCT doc_id, licence FROM i JOIN rules ON contains(',' || i.ids || ',', rules.ids)),
+    l AS (SELECT doc_id, string_agg(licence, ',' ORDER BY licence) AS licences FROM h WHERE NOT EXISTS (SELECT 1 FROM within w JOIN h o ON o.licence = w.more AND o.doc_id = h.doc_id WHERE w.less = h.licence) GROUP BY doc_id)
+    SELECT doc_id, len(s) AS n_sentences, coalesce(i.ids, '') AS sentence_ids, coalesce(l.licences, '') AS licences FROM s LEFT JOIN i USING (doc_id) LEFT JOIN l USING (doc_id)"""
+
+
+@query("op9_licence_scan", _licence_sql())
+def op9(spark, sf):
+    """One row per document: its known licence sentences in order and the licences that they amount to."""
+    found = licences.scan(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc.doc_id", "n_sentences", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"))
