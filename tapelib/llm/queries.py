@@ -157,9 +157,7 @@ def _licence_sql() -> str:
     within = ", ".join(f"({q(a)}, {q(b)})" for a, b in licences.WITHIN.items())
     return rf"""
     WITH known(s, id) AS (VALUES {known}), rules(licence, ids) AS (VALUES {rules}), within(less, more) AS (VALUES {within}),
-    d AS (SELECT doc_id, regexp_replace(translate(regexp_replace(coalesce(text, ''), '{licences.LINE}', E'
-
-\1', 'g'), '{licences.UPPER}', '{licences.LOW}'), '{licences.ENDS}', '|', 'g') AS t FROM documents),
+    d AS (SELECT doc_id, regexp_replace(translate(regexp_replace(coalesce(text, ''), '{licences.LINE}', chr(10) || chr(10) || '\1', 'g'), '{licences.UPPER}', '{licences.LOW}'), '{licences.ENDS}', '|', 'g') AS t FROM documents),
     s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(t, '{licences.OTHER}', ' ', 'g'), '|'), lambda x: trim(x)), lambda x: x <> '') AS s FROM d),
     e AS (SELECT doc_id, generate_subscripts(s, 1) AS k, unnest(s) AS s FROM s),
     i AS (SELECT doc_id, string_agg(id, ',' ORDER BY k) AS ids FROM e JOIN known USING (s) GROUP BY doc_id),
