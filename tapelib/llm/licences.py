@@ -63,7 +63,7 @@ def sentences(text: Column) -> Column:
     """Normalised sentences of a text, in order."""
     lines = F.regexp_replace(F.coalesce(text, F.lit("")), LINE, "\n\n$1")
     marked = F.regexp_replace(F.translate(lines, UPPER, LOW), ENDS, "|")
-    return F.filter(F.transform(F.split(F.regexp_replace(marked, OTHER, " "), "[|]"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(marked, OTHER, " "), "[|]"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
