@@ -4,8 +4,8 @@ An edge is a window of 13 words.  Consecutive windows that share their minimizer
 window) form a path without branches inside a document; equal paths of different documents are compacted into one by a
 Spark aggregation.  Only paths whose seed occurs in two documents can hold a repeated window, and only one document of
 each compacted path is expanded into windows again, to find windows that different paths share (where copies begin, end or
-differ).  Every compacted path and window carries its source document and a second, independent digest taken there; words
-are removed only where the digest of the copy's own words agrees.
+differ).  Every compacted path and window carries its source document and two hashes taken there (of the path and its seed,
+or two of the window); words are removed only where both agree with those of the copy's own words.
 """
 
 from __future__ import annotations
@@ -29,21 +29,20 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass
 class Paths:
-    """Paths of a chunk: row, first word, number of windows, hash of the seed, two hashes of all words."""
+    """Paths of a chunk: row, first word, number of windows, hash of the seed, hash of all words."""
 
     row: np.ndarray
     first: np.ndarray
     windows: np.ndarray
     seed: np.ndarray
     path: np.ndarray
-    check: np.ndarray
 
 
 def paths(c: Chunk, words: np.ndarray) -> Paths:
     n = len(words) - WINDOW + 1
     if n <= 0:
         none = np.empty(0, dtype=np.int64)
-        return Paths(none, none, none, *[none.view(np.uint64)] * 3)
+        return Paths(none, none, none, *[none.view(np.uint64)] * 2)
     seeds = gram_hashes(words, SEED)
     least, at = seeds[:n].copy(), np.zeros(n, dtype=np.int64)
     for j in range(1, WINDOW - SEED + 1):
@@ -58,35 +57,31 @@ def paths(c: Chunk, words: np.ndarray) -> Paths:
     first = np.flatnonzero(head)
     number = np.cumsum(head) - 1
     windows = np.bincount(number[valid], minlength=len(first))
-    size = windows + WINDOW - 1
-
-    def digest(seed: int) -> np.ndarray:
-        m = len(words)
-        total = np.concatenate(([np.uint64(0)], np.cumsum(words * _power(seed, False, m))))
-        return mix((total[first + size] - total[first]) * _power(seed, True, m)[first] + size.astype(np.uint64) * _ODD)
-
-    return Paths(c.row[first], first, windows, least[first], digest(2), digest(3))
+    m, size = len(words), windows + WINDOW - 1
+    total = np.concatenate(([np.uint64(0)], np.cumsum(words * _power(2, False, m))))
+    path = mix((total[first + size] - total[first]) * _power(2, True, m)[first] + size.astype(np.uint64) * _ODD)
+    return Paths(c.row[first], first, windows, least[first], path)
 
 
 def _paths_of(df: DataFrame) -> DataFrame:
-    """Distinct paths of a batch with its smallest and largest document."""
+    """Distinct paths of a batch with its smallest document, and whether it has several."""
     def run(batches):
         for batch in batches:
             ids = batch.column("id").to_numpy()
             found = []
             for c in chunks(batch.column("text"), SPACED):
                 p = paths(c, c.hashes())
-                found.append((p.path, p.seed, p.check, ids[c.first + p.row]))
+                found.append((p.path, p.seed, ids[c.first + p.row]))
             if not found:
                 continue
-            path, seed, check, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+            path, seed, doc = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((doc, path))
-            path, doc, seed, check = path[order], doc[order], seed[order], check[order]
+            path, doc, seed = path[order], doc[order], seed[order]
             first = np.flatnonzero(np.concatenate(([True], path[1:] != path[:-1]))) if len(path) else np.empty(0, dtype=np.int64)
             last = np.concatenate((first[1:], [len(path)])) - 1 if len(path) else first
-            yield pa.RecordBatch.from_arrays([pa.array(seed[first].view(np.int64)), pa.array(path[first].view(np.int64)), pa.array(check[first].view(np.int64)), pa.array(doc[first]), pa.array(doc[last])], ["seed", "path", "check", "low", "high"])
+            yield pa.RecordBatch.from_arrays([pa.array(seed[first].view(np.int64)), pa.array(path[first].view(np.int64)), pa.array(doc[first]), pa.array(doc[first] < doc[last])], ["seed", "path", "low", "several"])
 
-    return df.mapInArrow(run, "seed long, path long, check long, low long, high long")
+    return df.mapInArrow(run, "seed long, path long, low long, several boolean")
 
 
 def _occurrences(df: DataFrame) -> DataFrame:
@@ -134,16 +129,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # compaction: equal paths become one row; those whose seed is in one document only are dropped
     seeds = _paths_of(real).repartition("seed")
     by_seed = Window.partitionBy("seed")
-    shared = seeds.withColumn("s_low", F.min("low").over(by_seed)).withColumn("s_high", F.max("high").over(by_seed)).filter("s_low < s_high")
-    compact = stored(shared.groupBy("seed", "path").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min_by("check", "low").alias("check")).select("path", "check", "low", "high"), "paths")
+    shared = seeds.withColumn("s_several", F.max("several").over(by_seed) | (F.min("low").over(by_seed) < F.max("low").over(by_seed))).filter("s_several")
+    compact = shared.groupBy("seed", "path").agg(F.min("low").alias("low"), (F.max("several") | (F.min("low") < F.max("low"))).alias("several"))
+    compact = stored(compact, "paths")
     # whole paths that a smaller document has
-    copied = _occurrences(real).join(compact.filter("low < high").select("path", "check", "low"), "path").filter("id > low").select("id", "path", "check")
-    whole = stored(copied.groupBy("id").agg(F.collect_set(F.struct("path", "check")).alias("whole")), "copied-paths")
+    copied = _occurrences(real).join(compact.filter("several").select("path", "seed", "low"), "path").filter("id > low").select("id", "path", "seed")
+    whole = stored(copied.groupBy("id").agg(F.collect_set(F.struct("path", "seed")).alias("whole")), "copied-paths")
     # windows of one document for each compacted path
     own = compact.groupBy(F.col("low").alias("o_id")).agg(F.collect_list("path").alias("own"))
     texts = docs.join(own.hint("shuffle_hash"), F.col("id") == F.col("o_id")).select("id", "text", "own")
     windows = _windows_of(texts)
-    first = windows.groupBy("window").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min_by("check", "id").alias("check")).filter("low < high").select("window", "check", "low")
+    first = windows.groupBy("window", "check").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("window", "check", "low")
     single = windows.select("window", "id").join(first, "window").filter("id > low").groupBy("id").agg(F.collect_set(F.struct("window", "check")).alias("windows"))
     removal = whole.join(single, "id", "full_outer").select(F.col("id").alias("r_id"), "whole", "windows")
     return _without(docs.join(removal.hint("shuffle_hash"), F.col("id") == F.col("r_id"), "left").select("id", "text", "whole", "windows"))
@@ -173,7 +169,7 @@ def _without(joined: DataFrame) -> DataFrame:
                     for r in touched:
                         if whole[c.first + r].is_valid:
                             k = np.arange(edge[r], edge[r + 1])
-                            k = k[_agree(p.path[k], p.check[k], whole[c.first + r].values)]
+                            k = k[_agree(p.path[k], p.seed[k], whole[c.first + r].values)]
                             np.add.at(hit, p.first[k], 1)
                             np.add.at(hit, p.first[k] + p.windows[k] + WINDOW - 1, -1)
                         if single[c.first + r].is_valid and bounds[r + 1] - bounds[r] >= WINDOW:
