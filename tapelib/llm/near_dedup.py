@@ -25,7 +25,7 @@ MANTISSA = 10
 #: Standard deviations of the estimate below the threshold at which a pair is dropped unconfirmed.
 SLACK = 5.0
 #: Nodes of a band compared at once in the second round: those outside its largest component with all.
-STRAYS, OTHERS = 256, 1024
+STRAYS, OTHERS = 128, 512
 _A = np.random.default_rng(11).integers(1, 2**62, size=REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(13).integers(0, 2**63, size=REGISTERS, dtype=np.uint64)
 _SETS = (np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3))
@@ -107,7 +107,7 @@ class _Threshold:
 
 
 def _band_keys(nodes: DataFrame) -> DataFrame:
-    """``band`` (64-bit key of band number and its registers), ``node``."""
+    """``band`` (64-bit key of band number and its registers), ``number``, ``node``."""
     def run(batches):
         for batch in batches:
             registers = _matrix(batch.column("registers")).astype(np.uint64) if batch.num_rows else np.zeros((0, REGISTERS), dtype=np.uint64)
@@ -115,14 +115,15 @@ def _band_keys(nodes: DataFrame) -> DataFrame:
                 key = np.full(len(registers), b + 1, dtype=np.uint64)
                 for j in range(b * ROWS, (b + 1) * ROWS):
                     key = mix(key + registers[:, j])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("node")], ["band", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array([b] * len(key), pa.int32()), batch.column("node")], ["band", "number", "node"])
 
-    return nodes.select("node", "registers").mapInArrow(run, "band long, node binary")
+    return nodes.select("node", "registers").mapInArrow(run, "band long, number int, node binary")
 
 
 def _star_pairs(members: DataFrame, centres: DataFrame, nodes: DataFrame, limit: _Threshold) -> DataFrame:
-    """Likely (node, centre) pairs with their estimate."""
-    pairs = members.join(centres, "band").filter("node != centre").select("node", "centre").distinct()
+    """Each node with the centre that it shares most bands with, if they are likely to be similar."""
+    pairs = members.join(centres, "band").filter("node != centre").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = pairs.groupBy("node").agg(F.max(F.struct("shared", "centre")).alias("best")).select("node", "best.centre")
     at = nodes.select(F.col("node").alias("centre"), F.col("registers").alias("c_registers"), F.col("n_shingles").alias("c_n"))
     joined = pairs.join(nodes.select("node", "registers", "n_shingles"), "node").join(at, "centre")
 
@@ -131,37 +132,67 @@ def _star_pairs(members: DataFrame, centres: DataFrame, nodes: DataFrame, limit:
             equal = (_matrix(batch.column("registers")) == _matrix(batch.column("c_registers"))).sum(axis=1) if batch.num_rows else np.zeros(0)
             n, m = batch.column("n_shingles").to_numpy(), batch.column("c_n").to_numpy()
             keep = limit.likely(equal, n, m)
-            out = pa.RecordBatch.from_arrays([batch.column("node"), batch.column("centre"), pa.array(estimate(equal, n, m))], ["node", "centre", "estimate"])
-            yield out.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("centre")], ["node", "centre"]).filter(pa.array(keep))
 
-    return joined.mapInArrow(compare, "node binary, centre binary, estimate double")
+    return joined.mapInArrow(compare, "node binary, centre binary")
 
 
-def _stray_pairs(members: DataFrame, comps: DataFrame, nodes: DataFrame, limit: _Threshold) -> DataFrame:
-    """Likely pairs of nodes of one band that are in different components."""
+def _pairs_in_band(table: pa.Table, limit: _Threshold) -> list[tuple[float, int, int]]:
+    """Likely pairs (estimate, stray, other) of rows in different components, each in the first band that the two share."""
+    stray = np.flatnonzero(table.column("stray").to_numpy(zero_copy_only=False))
+    other = np.flatnonzero(~table.column("stray").to_numpy(zero_copy_only=False))
+    comp = np.unique(np.array(table.column("comp").to_pylist(), dtype=object), return_inverse=True)[1]
+    registers, n = _matrix(table.column("registers").combine_chunks()), table.column("n_shingles").to_numpy()
+    number, out = table.column("number")[0].as_py(), []
+    for s in stray:
+        apart = other[comp[other] != comp[s]]
+        same = registers[apart] == registers[s]
+        equal = same.sum(axis=1)
+        keep = limit.likely(equal, n[apart], np.full(len(apart), n[s]))
+        keep &= same.reshape(len(apart), BANDS, ROWS).all(axis=2).argmax(axis=1) == number
+        out += zip(estimate(equal[keep], n[apart[keep]], n[s]).tolist(), [int(s)] * int(keep.sum()), apart[keep].tolist(), strict=True)
+    return out
+
+
+def _stray_edges(members: DataFrame, comps: DataFrame, nodes: DataFrame, sets: DataFrame, limit: _Threshold) -> DataFrame:
+    """Edges that join components: in each band, nodes outside its largest component are compared with all, in blocks.
+
+    A first pass over registers keeps the nodes with a likely partner; a second one, with full sets, confirms pairs, most
+    similar first, and leaves out those that are connected by then.  Neither puts out more rows than it gets."""
     placed = stored(members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "near-placed")
     each = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
-    bands = each.groupBy("band").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1 AND size > 2")
+    bands = each.groupBy("band").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
     bands = stored(bands.select("band", F.col("top.comp").alias("main"), F.ceil((F.col("size") - F.col("top.n")) / STRAYS).cast("int").alias("blocks"), F.ceil(F.col("size") / OTHERS).cast("int").alias("parts")), "near-bands")
     rows = placed.join(bands, "band").join(nodes.select("node", "registers", "n_shingles"), "node")
     stray = rows.filter("comp != main").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     other = rows.withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), "parts").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    columns = ["band", "block", "part", "node", "comp", "registers", "n_shingles"]
+    columns = ["band", "number", "block", "part", "node", "comp", "registers", "n_shingles"]
     both = stray.select(*columns, F.lit(True).alias("stray")).unionByName(other.select(*columns, F.lit(False).alias("stray")))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema)
+
+    def with_partner(key, table):
+        pairs = _pairs_in_band(table, limit)
+        return table.take(pa.array(sorted({x for _, s, o in pairs for x in (s, o)}), pa.int64()))
 
-    def compare(key, table):
-        is_stray = table.column("stray").to_numpy(zero_copy_only=False)
-        nodes_, comp = np.array(table.column("node").to_pylist(), dtype=object), np.array(table.column("comp").to_pylist(), dtype=object)
-        registers, n = _matrix(table.column("registers").combine_chunks()), table.column("n_shingles").to_numpy()
-        others, a, b = np.flatnonzero(~is_stray), [], []
-        for s in np.flatnonzero(is_stray):
-            apart = others[comp[others] != comp[s]]
-            keep = apart[limit.likely((registers[apart] == registers[s]).sum(axis=1), n[apart], np.full(len(apart), n[s]))]
-            a += [min(nodes_[s], x) for x in nodes_[keep]]
-            b += [max(nodes_[s], x) for x in nodes_[keep]]
-        return pa.table({"node": pa.array(a, pa.binary()), "centre": pa.array(b, pa.binary())})
+    def confirm(key, table):
+        parent, a, b = {}, [], []
+        node, comp = table.column("node").to_pylist(), table.column("comp").to_pylist()
 
-    return both.groupBy("band", "block", "part").applyInArrow(compare, "node binary, centre binary").distinct()
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        shingles = [np.frombuffer(x, dtype=np.uint64) for x in table.column("shingles").to_pylist()]
+        for _, s, o in sorted(_pairs_in_band(table, limit), reverse=True):
+            if root(comp[s]) != root(comp[o]) and _similar(shingles[s], shingles[o], limit.percent):
+                parent[root(comp[s])] = root(comp[o])
+                a.append(node[s])
+                b.append(node[o])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    likely = both.groupBy("band", "block", "part").applyInArrow(with_partner, schema)
+    return likely.join(sets, "node").groupBy("band", "block", "part").applyInArrow(confirm, "a binary, b binary")
 
 
 def _sets(df: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -186,6 +217,11 @@ def _sets(df: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int, id_col: st
     return texts.mapInArrow(run, "node binary, shingles binary").dropDuplicates(["node"])
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (node, centre) whose full sets are similar enough, as edges."""
     joined = pairs.select("node", "centre").join(sets, "node").join(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("c_shingles")), "centre")
@@ -194,9 +230,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for a, b in zip(batch.column("shingles"), batch.column("c_shingles"), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), dtype=np.uint64), np.frombuffer(b.as_buffer(), dtype=np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                keep.append(_similar(np.frombuffer(a.as_buffer(), dtype=np.uint64), np.frombuffer(b.as_buffer(), dtype=np.uint64), percent))
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("centre")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(compare, "a binary, b binary")
@@ -214,14 +248,16 @@ def near_groups(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc
     rows = stored(sketches(df, k, id_col, text_col), "sketches")
     nodes = stored(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "near-nodes")
     bands = _band_keys(nodes)
-    centres = stored(bands.groupBy("band").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "centre"), "near-centres")
-    members = stored(bands.join(centres, "band", "left_semi"), "near-members")
+    sizes = stored(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-sizes")
+    members = stored(bands.join(sizes, "band"), "near-members")
+    # the centre of a band: the node with most company over all its bands, such as the text that the others were copied from
+    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    centres = stored(members.join(company, "node").groupBy("band").agg(F.max(F.struct("company", "node")).alias("c")).select("band", "c.node"), "near-centres").withColumnRenamed("node", "centre")
+    members = members.select("band", "number", "node")
     sets = stored(_sets(df, nodes, members.select("node").distinct(), k, id_col, text_col), "near-sets")
-    stars = _star_pairs(members, centres, nodes, limit)
-    best = stars.groupBy("node").agg(F.max(F.struct("estimate", "centre")).alias("best")).select("node", "best.centre")
-    edges = stored(_confirmed(best, sets, percent), "near-edges")
+    edges = stored(_confirmed(_star_pairs(members, centres, nodes, limit), sets, percent), "near-edges")
     comps = components(edges, "near-components")
-    more = stored(_confirmed(_stray_pairs(members, comps, nodes, limit), sets, percent), "near-edges")
+    more = stored(_stray_edges(members, comps, nodes, sets, limit), "near-edges")
     if not more.isEmpty():
         comps = components(edges.unionByName(more), "near-components")
     # every node of an edge and the smallest id of its component
