@@ -80,12 +80,20 @@ class Lexicon:
 
 
 def lexicon(counts: DataFrame, texts: int) -> Lexicon:
-    """``counts`` is stored; at most HEAD + CLASSES rows come to the driver."""
-    head = counts.orderBy(F.desc("n"), "word").limit(HEAD).toPandas()
+    """``counts`` is stored; at most HEAD + CLASSES rows and a histogram of counts come to the driver."""
+    # the smallest count (above 64 in steps of a sixteenth of an octave) that no more than HEAD words reach
+    step = F.when(F.col("n") <= 64, F.col("n")).otherwise(F.floor(F.log2("n") * 16) - 31)
+    least, room = None, HEAD
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["step"]
+    head = counts.filter(step >= least if least is not None else F.lit(False)).toPandas().sort_values(["n", "word"], ascending=[False, True])
     classes = counts.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).toPandas()
     total, types = np.zeros(CLASSES), np.zeros(CLASSES)
     total[classes["class"]], types[classes["class"]] = classes.n, classes.types
-    own = head.head(WORDS)
+    own = head.iloc[:WORDS]
     np.subtract.at(total, own["class"].to_numpy(dtype=np.int64), own.n.to_numpy(dtype=float))
     np.subtract.at(types, own["class"].to_numpy(dtype=np.int64), 1)
     rank = np.arange(len(head))
