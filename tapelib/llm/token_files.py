@@ -34,7 +34,7 @@ from tapelib.llm.text import mix
 KEYS_PER_BUCKET = 50_000
 #: Slots for each key that is still unplaced, in each level.
 SLOTS_PER_KEY = 2
-_LEVEL = np.uint64(0x9E3779B97F4A7C15)
+_LEVEL = 0x9E3779B97F4A7C15
 _PRINT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -51,7 +51,7 @@ class PerfectHash:
 
     @staticmethod
     def _slots(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-        return (mix(keys + np.uint64(level + 1) * _LEVEL) % np.uint64(size)).astype(np.int64)
+        return (mix(keys + np.uint64((level + 1) * _LEVEL % 2**64)) % np.uint64(size)).astype(np.int64)
 
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:
