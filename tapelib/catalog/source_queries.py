@@ -123,17 +123,19 @@ def _quote_stream(spark, sf):
     return e.select(F.col("event_type").alias("series"), F.col("ts").cast("timestamp").alias("time"), F.col("value").alias("bid"), (F.col("value") + 0.01 * (1 + F.col("user_id") % 10)).alias("ask"), "event_id")
 
 
-@query("stream_minute_bars", sql(f"SELECT * FROM (SELECT series, m AS t, {R('arg_min(mid, ts)')} AS open, {R('max(mid)')} AS high, {R('min(mid)')} AS low, {R('arg_max(mid, ts)')} AS close, count(*) AS ticks FROM (SELECT event_type AS series, ts, epoch_ms(ts)//60000*60000 AS m, (value + (value + 0.01*(1 + user_id % 10)))/2 AS mid FROM events) GROUP BY ALL) QUALIFY t < max(t) OVER (PARTITION BY series)"))
+@query("stream_minute_bars", sql(f"SELECT series, m AS t, {R('arg_min(mid, (ts, event_id))')} AS open, {R('max(mid)')} AS high, {R('min(mid)')} AS low, {R('arg_max(mid, (ts, event_id))')} AS close, count(*) AS ticks FROM (SELECT *, epoch_ms(ts)//60000*60000 AS m, (bid + ask)/2 AS mid, lag(bid) OVER w AS pb, lag(ask) OVER w AS pa FROM (SELECT event_type AS series, ts, event_id, value AS bid, value + 0.01*(1 + user_id % 10) AS ask FROM events) WINDOW w AS (PARTITION BY series ORDER BY epoch_ms(ts), event_id)) WHERE pb IS NULL OR pb <> bid OR pa <> ask GROUP BY series, m"))
 def stream_minute_bars(spark, sf):
-    return _drain(streams.minute_bars(_quote_stream(spark, sf))).select("series", S.ms("time").alias("t"), *r6s("open", "high", "low", "close"), "ticks")
+    root = f"{scratch_dir(spark)}/minutes-{uuid.uuid4().hex}"
+    streams.collect_minutes(_quote_stream(spark, sf), root, root + "-state", "40 days").awaitTermination()
+    return streams.minute_bars(spark, root).select("series", S.ms("time").alias("t"), *r6s("open", "high", "low", "close"), "ticks")
 
 
-@query("stream_collected_prints", sql("SELECT count(*) AS ids FROM (SELECT DISTINCT event_id FROM events)"))
+@query("stream_collected_prints", sql("SELECT event_id::VARCHAR AS id, epoch_us(any_value(ts))//1000 AS t, any_value(value) AS value FROM events GROUP BY event_id"))
 def stream_collected(spark, sf):
     root = f"{scratch_dir(spark)}/collect-{uuid.uuid4().hex}"
     e = _stream(spark, sf, "events").select(F.col("event_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("timestamp"), "value")
-    streams.collect_prints(e.unionByName(e), root, root + "-state", "40 days", None).awaitTermination()
-    return spark.read.schema("id string, timestamp timestamp, value double, date date").parquet(root).agg(F.count(F.lit(1)).alias("ids"))
+    streams.collect_prints(e.unionByName(e), root, root + "-state", None).awaitTermination()
+    return streams.collected_prints(spark, root, "id string, timestamp timestamp, value double, date date").select("id", S.ms("timestamp").alias("t"), "value")
 
 
 @query("stream_append_unseen", sql("SELECT count(*) AS n FROM (SELECT DISTINCT event_id FROM events)"))
@@ -153,7 +155,7 @@ def stream_live_levels(spark, sf):
         F.lit("main").alias("market"), F.col("p_brand").alias("symbol"), F.col("p_size").cast("double").alias("strike"), F.when(F.col("l_linestatus") == "O", "CALL").otherwise("PUT").alias("option_type"),
         F.col("l_quantity").alias("contracts"), F.col("l_extendedprice").alias("premium_usd"))
     streams.live_levels(d, root, root + "-state", None).awaitTermination()
-    return spark.read.schema("market string, symbol string, poc double, vah double, val double, above_poc double, under_poc double, max_pain double, min_payout double").parquet(root).drop("market", "min_payout")
+    return streams.latest_levels(spark, root).drop("market", "min_payout")
 
 
 @query("stream_sliding_flow")

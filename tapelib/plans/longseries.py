@@ -28,9 +28,12 @@ SCAN_BLOCK = 512
 # -- materialisation ------------------------------------------------------------------------------
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a private one only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir.  Where that is unset, a local session gets a folder of its own and a
+    cluster is refused: its executors would write to disks that others cannot read."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)

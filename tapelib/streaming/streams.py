@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-from typing import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as S
 from ..operators import flow, profile
 from ..operators.bars import resample
+from ..plans.longseries import carry
 from ..sources.payloads import kline_events
 
 
-def collect_prints(prints: DataFrame, root: str, checkpoint: str, delay: str = "1 hour", every: str | None = "300 seconds"):
-    """Normalized print stream to the day-partitioned store, one row per id within the watermark."""
-    d = prints.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["id"]).withColumn("date", F.to_date("timestamp"))
+def collect_prints(prints: DataFrame, root: str, checkpoint: str, every: str | None = "300 seconds"):
+    """Normalized print stream to the day-partitioned store.  Late prints are kept: an id that comes again is stored again
+    and made unique when the store is read (see :func:`collected_prints`)."""
+    d = prints.withColumn("date", F.to_date("timestamp"))
     w = d.writeStream.format("parquet").option("path", root).option("checkpointLocation", checkpoint).partitionBy("date").outputMode("append")
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 
+def collected_prints(spark: SparkSession, root: str, schema) -> DataFrame:
+    """The store with one row per id."""
+    return spark.read.schema(schema).parquet(root).dropDuplicates(["id"])
+
+
 def append_unseen(stream: DataFrame, root: str, checkpoint: str, days: int = 2, every: str | None = None):
     """Rolling-window feed: each batch appends only ids not among the batch's days in the store."""
     def write(batch: DataFrame, _: int):
@@ -44,41 +47,49 @@ def closed_klines(lines: DataFrame) -> DataFrame:
     return kline_events(lines).filter("closed")
 
 
-MINUTES = "series string, time timestamp, open double, high double, low double, close double, ticks long, spread double, dropped long, repeated long"
-STATE = "at long, bid double, ask double, minute long, o double, h double, l double, c double, n long, s double, dropped long, repeated long"
-
-
-def _fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    st = list(state.get) if state.exists else [None, None, None, None, 0.0, 0.0, 0.0, 0.0, 0, 0.0, 0, 0]
-    rows = []
-    for pdf in batches:
-        pdf = pdf.sort_values(["ms", "seq"])
-        for ms, bid, ask in zip(pdf["ms"], pdf["bid"], pdf["ask"]):
-            ms = int(ms)
-            if bid != bid or ask != ask or (st[0] is not None and ms < st[0]):
-                st[10] += 1
-                continue
-            if st[0] is not None and bid == st[1] and ask == st[2]:
-                st[11] += 1
-                continue
-            st[0:3] = [ms, float(bid), float(ask)]
-            mid, minute = (bid + ask) / 2.0, ms // 60_000 * 60_000
-            if st[3] != minute:
-                if st[3] is not None:
-                    rows.append((key[0], pd.Timestamp(st[3], unit="ms"), *st[4:8], st[8], st[9] / st[8], st[10], st[11]))
-                st[3:10] = [minute, mid, mid, mid, mid, 0, 0.0]
-            st[5], st[6], st[7] = max(st[5], mid), min(st[6], mid), mid
-            st[8] += 1
-            st[9] += ask - bid
-    state.update(tuple(st))
-    yield pd.DataFrame(rows, columns=["series", "time", "open", "high", "low", "close", "ticks", "spread", "dropped", "repeated"])
-
-
-def minute_bars(quotes: DataFrame) -> DataFrame:
-    """Complete one-minute mid bars from ticks: a tick older than the last is dropped, a repeated quote ignored,
-    both counted; a minute nobody ticked stays absent.  State per series is one quote and one forming minute."""
-    d = quotes.select("series", S.ms("time").alias("ms"), "bid", "ask", (F.col("event_id") if "event_id" in quotes.columns else F.lit(0)).alias("seq"))
-    return d.groupBy("series").applyInPandasWithState(_fold, MINUTES, STATE, "append", GroupStateTimeout.NoTimeout)
+def minute_ticks(quotes: DataFrame, delay: str = "1 minute") -> DataFrame:
+    """Per (series, minute) summary of a quote stream, in any order of arrival within ``delay``; use it with ``update`` output.
+
+    Quotes of a minute are put in order of (time, event_id); a quote equal to the one before is a repeat.  Whether the first
+    one repeats the last quote of an earlier minute is only known when that minute is read, so the summary is kept with and
+    without it (``rest_``).  Quotes that are not numbers are counted as dropped."""
+    q = quotes.select("series", "time", S.ms("time").alias("ms"), "bid", "ask", (F.col("event_id") if "event_id" in quotes.columns else F.lit(0)).alias("seq"))
+    bad = F.isnan("bid") | F.isnan("ask") | F.col("bid").isNull() | F.col("ask").isNull()
+    w = F.window("time", "1 minute")
+    g = q.withWatermark("time", delay).groupBy("series", w).agg(F.array_sort(F.collect_list(F.when(~bad, F.struct("ms", "seq", "bid", "ask")))).alias("t"), F.sum(bad.cast("long")).alias("dropped"))
+    new = F.filter("t", lambda x, i: (i == 0) | (x["bid"] != F.get("t", i - 1)["bid"]) | (x["ask"] != F.get("t", i - 1)["ask"]))
+    g = g.select("series", F.col("window.start").alias("time"), "dropped", F.size("t").cast("long").alias("seen"), new.alias("k"))
+
+    def bar(ticks, name):
+        mid = F.transform(ticks, lambda x: (x["bid"] + x["ask"]) / 2.0)
+        wide = F.aggregate(ticks, F.lit(0.0), lambda s, x: s + x["ask"] - x["bid"])
+        return F.when(F.size(ticks) > 0, F.struct(F.get(mid, F.lit(0)).alias("open"), F.array_max(mid).alias("high"), F.array_min(mid).alias("low"), F.element_at(mid, -1).alias("close"),
+                                                  F.size(ticks).cast("long").alias("ticks"), wide.alias("spread"))).alias(name)
+
+    quote = lambda x: F.struct(x["bid"].alias("bid"), x["ask"].alias("ask"))
+    return g.select("series", "time", "dropped", "seen", F.when(F.size("k") > 0, quote(F.get("k", F.lit(0)))).alias("first"), F.when(F.size("k") > 0, quote(F.element_at("k", -1))).alias("last"),
+                    bar(F.col("k"), "bar"), bar(F.when(F.size("k") > 1, F.slice("k", 2, 1 << 30)), "rest"))
+
+
+def collect_minutes(quotes: DataFrame, root: str, checkpoint: str, delay: str = "1 minute", every: str | None = None):
+    """Keep the minute summaries of a quote stream: each batch writes the minutes that it changed, under its own number, so a
+    batch that runs twice replaces itself."""
+    def write(batch: DataFrame, number: int):
+        batch.write.mode("overwrite").parquet(f"{root}/batch={number}")
+    w = minute_ticks(quotes, delay).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+
+
+def minute_bars(spark: SparkSession, root: str) -> DataFrame:
+    """One-minute mid bars of the collected summaries, the forming minute included: a quote equal to the one before it is
+    ignored, also across minutes; bad and repeated quotes are counted; a minute nobody ticked stays absent."""
+    quote, bar = "struct<bid:double,ask:double>", "struct<open:double,high:double,low:double,close:double,ticks:bigint,spread:double>"
+    d = spark.read.option("basePath", root).schema(f"series string, time timestamp, dropped long, seen long, first {quote}, last {quote}, bar {bar}, rest {bar}, batch long").parquet(f"{root}/batch=*")
+    d = d.groupBy("series", "time").agg(F.max_by(F.struct(*[c for c in d.columns if c not in ("series", "time", "batch")]), "batch").alias("m")).select("series", "time", "m.*")
+    d = carry(d.withColumn("idx", F.floor(S.ms("time") / 60_000)), ["series"], {"before": ("last", "last")}, inclusive=False)
+    b = F.when(F.col("before").eqNullSafe(F.col("first")), F.col("rest")).otherwise(F.col("bar"))
+    d = d.withColumn("b", b).filter(F.col("b").isNotNull())
+    return d.select("series", "time", "b.open", "b.high", "b.low", "b.close", "b.ticks", (F.col("b.spread") / F.col("b.ticks")).alias("spread"), "dropped", (F.col("seen") - F.col("b.ticks")).alias("repeated"))
 
 
 def window_bars(quotes: DataFrame, width: str = "1 minute", delay: str = "1 minute") -> DataFrame:
@@ -113,13 +124,20 @@ def levels_from_totals(totals: DataFrame, multiplier: float = 100.0, pct: float
 
 
 def live_levels(prints: DataFrame, path: str, checkpoint: str, every: str | None = "2 seconds"):
-    """Rewrite the level table from the running totals at most once per trigger."""
-    def write(totals: DataFrame, _: int):
-        levels_from_totals(totals).write.mode("overwrite").parquet(path)
+    """Write the level table from the running totals at most once per trigger, each time in a folder of its own: a reader of
+    an earlier one (see :func:`latest_levels`) is never disturbed."""
+    def write(totals: DataFrame, number: int):
+        levels_from_totals(totals).write.mode("overwrite").parquet(f"{path}/batch={number}")
     w = strike_totals(prints).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 
+def latest_levels(spark: SparkSession, path: str) -> DataFrame:
+    """The level table of the last finished batch."""
+    d = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    return d.join(F.broadcast(d.agg(F.max("batch").alias("batch"))), "batch").drop("batch")  # one row
+
+
 def sliding_flow(prints: DataFrame, keys: list[str], width: str, slide: str, delay: str) -> DataFrame:
     """Flow summary of sliding windows on the live tape."""
     w = F.window("timestamp", width, slide)
