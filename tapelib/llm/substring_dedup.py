@@ -5,7 +5,8 @@ window) form a path without branches inside a document; equal paths of different
 Spark aggregation.  Only paths whose seed occurs in two documents can hold a repeated window, and only one document of
 each compacted path is expanded into windows again, to find windows that different paths share (where copies begin, end or
 differ).  Every compacted path and window carries its source document and two hashes taken there (of the path and its seed,
-or two of the window); words are removed only where both agree with those of the copy's own words.
+or two of the window): documents and sources meet by the first, and words are removed only where the copy's own words give
+the same sum (exclusive or) of both.
 """
 
 from __future__ import annotations
@@ -134,25 +135,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     compact = stored(compact, "paths")
     # whole paths that a smaller document has
     copied = _occurrences(real).join(compact.filter("several").select("path", "seed", "low"), "path").filter("id > low").select("id", "path", "seed")
-    whole = stored(copied.groupBy("id").agg(F.collect_set(F.struct("path", "seed")).alias("whole")), "copied-paths")
+    whole = stored(copied.groupBy("id").agg(F.collect_set(F.col("path").bitwiseXOR(F.col("seed"))).alias("whole")), "copied-paths")
     # windows of one document for each compacted path
     own = compact.groupBy(F.col("low").alias("o_id")).agg(F.collect_list("path").alias("own"))
     texts = docs.join(own.hint("shuffle_hash"), F.col("id") == F.col("o_id")).select("id", "text", "own")
     windows = _windows_of(texts)
     first = windows.groupBy("window", "check").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("window", "check", "low")
-    single = windows.select("window", "id").join(first, "window").filter("id > low").groupBy("id").agg(F.collect_set(F.struct("window", "check")).alias("windows"))
+    single = windows.select("window", "id").join(first, "window").filter("id > low").groupBy("id").agg(F.collect_set(F.col("window").bitwiseXOR(F.col("check"))).alias("windows"))
     removal = whole.join(single, "id", "full_outer").select(F.col("id").alias("r_id"), "whole", "windows")
     return _without(docs.join(removal.hint("shuffle_hash"), F.col("id") == F.col("r_id"), "left").select("id", "text", "whole", "windows"))
 
 
-def _agree(own: np.ndarray, own_check: np.ndarray, source: pa.StructArray) -> np.ndarray:
-    """Which of a document's hashes have a source with the same second digest."""
-    key, check = (source.field(i).to_numpy().view(np.uint64) for i in (0, 1))
-    order = np.argsort(key)
-    at = np.minimum(np.searchsorted(key[order], own), len(key) - 1)
-    return (key[order][at] == own) & (check[order][at] == own_check)
-
-
 def _without(joined: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -169,12 +162,12 @@ def _without(joined: DataFrame) -> DataFrame:
                     for r in touched:
                         if whole[c.first + r].is_valid:
                             k = np.arange(edge[r], edge[r + 1])
-                            k = k[_agree(p.path[k], p.seed[k], whole[c.first + r].values)]
+                            k = k[np.isin(p.path[k] ^ p.seed[k], whole[c.first + r].values.to_numpy().view(np.uint64))]
                             np.add.at(hit, p.first[k], 1)
                             np.add.at(hit, p.first[k] + p.windows[k] + WINDOW - 1, -1)
                         if single[c.first + r].is_valid and bounds[r + 1] - bounds[r] >= WINDOW:
                             k = np.arange(bounds[r], bounds[r + 1] - WINDOW + 1)
-                            k = k[_agree(window[k], check[k], single[c.first + r].values)]
+                            k = k[np.isin(window[k] ^ check[k], single[c.first + r].values.to_numpy().view(np.uint64))]
                             np.add.at(hit, k, 1)
                             np.add.at(hit, k + WINDOW, -1)
                 gone = np.cumsum(hit)[:-1] > 0
