@@ -352,41 +352,44 @@ PIVOTS = T.StructType([T.StructField("confirmed_idx", T.LongType()), T.StructFie
                        T.StructField("price", T.DoubleType()), T.StructField("is_high", T.BooleanType())])
 
 
-def _zigzag_fold(k: float, atr: str):
+def _zigzag_fold(k: float, atr: str, hindsight: bool = False):
+    """Fold of a run of bars: the extreme of the leg, its bar, the leg's direction (0 before the first).
+
+    ``hindsight``: a bar that extends its leg cannot turn it, the anchor stays where the ATR begins, and the anchor is no
+    pivot.  A block whose incoming state is not known yet starts at its own first close; its end state soon agrees with
+    the true one, so that few blocks have to run a third time."""
     def run(pdf: pd.DataFrame, state: list[float]):
-        ext, at_, way = state
-        rows = []
-        idx, hi, lo, cl, a_ = (pdf[c].to_numpy() for c in ("idx", "high", "low", "close", atr))
-        if ext != ext and idx[0] == 0:
-            ext, at_ = cl[0], 0.0
-        for i, h, l, c, a in zip(idx, hi, lo, cl, a_):
-            if a != a or ext != ext:
+        extreme, since, way = state
+        turns = []
+        columns = [pdf[c].to_numpy() for c in ("idx", "high", "low", "close", atr)]
+        if extreme != extreme and not hindsight:
+            extreme, since = columns[3][0], columns[0][0]
+        for i, high, low, close, a in zip(*columns):
+            if a != a:
                 continue
-            limit = k * a
-            if way > 0 and h > ext or way < 0 and l < ext:
-                ext, at_ = (h, i) if way > 0 else (l, i)
-            if way <= 0 and h - ext > limit:
-                rows.append((i, at_, ext, False))
-                ext, at_, way = h, i, 1.0
-            elif way >= 0 and ext - l > limit:
-                rows.append((i, at_, ext, True))
-                ext, at_, way = l, i, -1.0
-            elif way == 0:
-                if c >= ext:
-                    if h > ext:
-                        ext, at_ = h, i
-                elif l < ext:
-                    ext, at_ = l, i
-        cols = list(zip(*rows)) if rows else [[], [], [], []]
-        return pd.DataFrame({"confirmed_idx": pd.Series(cols[0], dtype="int64"), "pivot_idx": pd.Series(cols[1], dtype="int64"),
-                             "price": pd.Series(cols[2], dtype="float64"), "is_high": pd.Series(cols[3], dtype="bool")}), [ext, float(at_), way]
+            if extreme != extreme:
+                extreme, since = close, i
+            beyond = (high if way > 0 else low) if way and (high > extreme if way > 0 else low < extreme) else None
+            if beyond is not None:
+                extreme, since = beyond, i
+                if hindsight:
+                    continue
+            rise, fall = way <= 0 and high - extreme > k * a, way >= 0 and extreme - low > k * a
+            if rise or fall:
+                if way or not hindsight:
+                    turns.append((i, since, extreme, not rise))
+                extreme, since, way = (high, i, 1.0) if rise else (low, i, -1.0)
+            elif not way and not hindsight and (high > extreme if close >= extreme else low < extreme):
+                extreme, since = (high if close >= extreme else low), i
+        out = pd.DataFrame(turns, columns=[f.name for f in PIVOTS])
+        return out.astype({"confirmed_idx": "int64", "pivot_idx": "int64", "price": "float64", "is_high": "bool"}), [extreme, float(since), way]
     return run
 
 
-def zigzag_pivots(d: DataFrame, atr: str, k: float) -> DataFrame:
+def zigzag_pivots(d: DataFrame, atr: str, k: float, hindsight: bool = False) -> DataFrame:
     """Confirmed pivots: the leg turns when price retraces more than ``k`` ATRs of the current bar."""
     nan = float("nan")
-    return fsm(d, KEY, _zigzag_fold(k, atr), [nan, nan, 0.0], PIVOTS, cols=["idx", "high", "low", "close", atr])
+    return fsm(d, KEY, _zigzag_fold(k, atr, hindsight), [nan, nan, 0.0], PIVOTS, cols=["idx", "high", "low", "close", atr])
 
 
 def zigzag(d: DataFrame, atr: str, k: float, line: str, direction: str, bars: DataFrame) -> DataFrame:

@@ -11,12 +11,10 @@ import itertools
 from dataclasses import dataclass, field
 from typing import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import candles, clock, scalars as S
-from ..plans.longseries import _spread, blocked
+from ..plans.longseries import blocked, materialize, with_index
 from . import bars as B, indicators as I
 from .levels import band_distance
 
@@ -604,114 +602,105 @@ def sweep_chain(bars: DataFrame, step_ms: int, **params) -> DataFrame:
     """Swept swing closing back inside -> displaced close through the protected swing -> gap in the impulse ->
     retrace into it, each within its deadline.
 
-    Every stage looks a bounded number of bars around the sweep, so blocks with that halo are independent."""
+    Shorts and mirrored longs are one case: prices of longs are negated, so that the swept swing is always above.  Sweeps,
+    coarse gaps and bars are tables; each stage joins the setups so far with the bars of its deadline and keeps the first
+    that fits, unless a close beyond the sweep came before it.  All joins are within tiles of bounded length."""
     p = {**CHAIN, **params}
+    pip = p["pipSize"]
+    d = materialize(mirrored(bars, p), "mirrored")  # every stage reads it
+    setups = _at_gap(_sweeps(d, p, step_ms), _coarse_gaps(d, p, step_ms), p)
+    # a displaced close through the protected swing; `gone` is the first close beyond the sweep within all deadlines
+    reach = p["maxBarsSweepToMss"] + p["maxBarsMssToFvg"] + p["maxBarsFvgToEntry"] + 3
+    gone = _first(setups, d, "sweep_idx", reach, F.col("b.close") > F.col("s.extreme"), "gone")
+    setups = gone.withColumn("gone", F.coalesce("gone", F.lit(1 << 62)))
+    shifted = _first(setups, d, "sweep_idx", p["maxBarsSweepToMss"], F.col("b.displaced") & (F.col("b.close") < F.col("s.guard") - p["mssBufferPips"] * pip), "shift_idx")
+    shifted = shifted.filter("shift_idx < gone")
+    # the impulse leaves a gap: this bar's high below the low two bars before
+    width = F.col("b.low_2") - F.col("b.high")
+    zoned = _first(shifted, d, "shift_idx", p["maxBarsMssToFvg"], (width > 0) & (width >= p["minEntryFvgPips"] * pip), "gap_idx").filter("gap_idx < gone")
+    zone = d.select("series", "side", F.col("idx").alias("gap_idx"), F.col("high").alias("bottom"), F.col("low_2").alias("top"))
+    zoned = zoned.join(zone, ["series", "side", "gap_idx"])
+    share = F.when(F.col("side") < 0, p["entryPercent"] / 100.0).otherwise(1.0 - p["entryPercent"] / 100.0)
+    zoned = zoned.withColumn("entry", F.col("bottom") + (F.col("top") - F.col("bottom")) * share)
+    ahead = p["maxBarsFvgToEntry"]
+    left = _first(zoned, d, "gap_idx", ahead, F.col("b.close") > F.col("s.top"), "left_idx")
+    entered = _first(left, d, "gap_idx", ahead, F.col("b.high") >= F.col("s.entry"), "idx")
+    entered = entered.filter((F.col("idx") < F.col("gone")) & (F.col("left_idx").isNull() | (F.col("idx") < F.col("left_idx"))))
+    stop = F.col("extreme") + p["slBufferPips"] * pip
+    sign = -F.col("side")
+    rows = entered.select("series", "idx", "side", "sweep_idx", (sign * stop).alias("stop"), (sign * (F.col("entry") + (F.col("entry") - stop) * p["riskReward"])).alias("target"))
+    # several sweeps can be entered on one bar: the latest sweep wins, the short side first
+    return rows.groupBy("series", "idx").agg(F.max_by(F.struct("side", "sweep_idx", "stop", "target"), F.struct("sweep_idx", -F.col("side"))).alias("_best")).select("series", "idx", "_best.*")
+
+
+TILE = 64
+
+
+def mirrored(bars: DataFrame, p: dict) -> DataFrame:
+    """Bars of both sides, longs negated, with the last swing above and below, and whether the body is displaced."""
     d = I.compute(bars, [I.spec("swing", left=p["swingLeft"], right=p["swingRight"]), I.spec("atr", period=p["atrPeriod"])])
     n = f"swing_{p['swingLeft']}_{p['swingRight']}_"
-    d = d.select("series", "idx", "time", "open", "high", "low", "close", F.col(n + "high").alias("sh"), F.col(n + "low").alias("sl"),
-                 F.col(n + "highAt").alias("sha"), F.col(n + "lowAt").alias("sla"), F.col(f"atr_{p['atrPeriod']}").alias("atr"))
-    back = int(p["htfFactor"] * (p["maxHtfFvgAge"] + 3)) + p["displacementLookback"] + 2
-    ahead = p["maxBarsSweepToMss"] + p["maxBarsMssToFvg"] + p["maxBarsFvgToEntry"] + 3
-    size = 4096
-    out = T.StructType([T.StructField("series", T.StringType()), T.StructField("idx", T.LongType()), T.StructField("side", T.IntegerType()),
-                        T.StructField("sweep_idx", T.LongType()), T.StructField("stop", T.DoubleType()), T.StructField("target", T.DoubleType())])
-
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        first = int(pdf["_blk"].iloc[0]) * size
-        a = {c: pdf[c].to_numpy() for c in pdf.columns if c not in ("series", "_blk")}
-        rows = [r for r in chain_rows(a, p, step_ms) if first <= r[2] < first + size]
-        return pd.DataFrame([(pdf["series"].iloc[0], *r) for r in rows], columns=[f.name for f in out]) if rows else pd.DataFrame(
-            {f.name: pd.Series(dtype="object" if f.name == "series" else "float64") for f in out}).astype({"idx": "int64", "side": "int32", "sweep_idx": "int64"})
-
-    r = _spread(d, "idx", size, back, ahead).groupBy("series", "_blk").applyInPandas(find, out)
-    # several sweeps can be entered on one bar: the latest sweep wins, the short side first
-    return r.groupBy("series", "idx").agg(F.max_by(F.struct("side", "sweep_idx", "stop", "target"), F.struct("sweep_idx", -F.col("side"))).alias("s")).select("series", "idx", "s.*")
-
-
-def _higher_gap(a, s, p, bullish, price, step_ms):
-    """Nearest unfilled gap of the coarser bars that had closed by bar ``s``."""
-    wide = step_ms * int(p["htfFactor"])
-    lo = max(0, s - int(p["htfFactor"] * (p["maxHtfFvgAge"] + 3)))
-    b = a["ms"][lo:s + 1] // wide
-    keep = b < b[-1]
-    if not keep.any():
-        return None
-    b = b[keep]
-    cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-    hi, low = np.maximum.reduceat(a["high"][lo:s + 1][keep], cut), np.minimum.reduceat(a["low"][lo:s + 1][keep], cut)
-    best = None
-    for c in range(2, len(hi)):
-        bottom, top = (hi[c - 2], low[c]) if bullish else (hi[c], low[c - 2])
-        if top - bottom <= 0 or top - bottom < p["minHtfFvgPips"] * p["pipSize"] or len(hi) - 1 - c > p["maxHtfFvgAge"]:
-            continue
-        if (low[c + 1:] <= bottom).any() if bullish else (hi[c + 1:] >= top).any():
-            continue
-        dist = max(bottom - price, price - top, 0.0)
-        if best is None or dist < best[0]:
-            best = (dist, bottom, top)
-    return best
-
-
-def chain_rows(a: dict, p: dict, step_ms: int) -> list[tuple]:
-    """(entry idx, side, sweep idx, stop, target) for every completed chain in one run of bars."""
-    pip, n = p["pipSize"], len(a["idx"])
-    a["ms"] = a["time"].astype("datetime64[ms]").astype("int64")
-    rows = []
-    o, h, l, c = a["open"], a["high"], a["low"], a["close"]
-    body = np.abs(c - o)
-    for s in range(1, n):
-        for side in (-1, 1):
-            short = side < 0
-            lvl, at = (a["sh"][s - 1], a["sha"][s - 1]) if short else (a["sl"][s - 1], a["sla"][s - 1])
-            if not (lvl == lvl) or a["idx"][s] - at > p["liquidityLookback"]:
-                continue
-            ext = h[s] if short else l[s]
-            depth = ext - lvl if short else lvl - ext
-            back_in = c[s] < lvl if short else c[s] > lvl
-            if not (back_in and depth > p["sweepBufferPips"] * pip and p["minSweepPips"] * pip <= depth <= p["maxSweepPips"] * pip):
-                continue
-            gap = _higher_gap(a, s, p, not short, ext, step_ms)
-            tol = p["htfTolerancePips"] * pip
-            if gap is None or ext < gap[1] - tol or ext > gap[2] + tol:
-                continue
-            guard = a["sl"][s] if short else a["sh"][s]
-            if not (guard == guard):
-                z = slice(max(0, s - p["structureLookback"]), s)
-                guard = l[z].min() if short else h[z].max()
-            if (guard >= lvl) if short else (guard <= lvl):
-                continue
-            gone = (lambda j: c[j] > ext) if short else (lambda j: c[j] < ext)
-            m = None
-            for j in range(s + 1, min(s + p["maxBarsSweepToMss"], n - 1) + 1):
-                if gone(j):
-                    break
-                if not (c[j] < guard - p["mssBufferPips"] * pip if short else c[j] > guard + p["mssBufferPips"] * pip):
-                    continue
-                ref = body[max(0, j - p["displacementLookback"]):j]
-                if body[j] >= ref.mean() * p["displacementMult"] and (p["minBodyAtrRatio"] <= 0 or body[j] >= a["atr"][j] * p["minBodyAtrRatio"]):
-                    m = j
-                    break
-            if m is None:
-                continue
-            zone = None
-            for j in range(m + 1, min(m + p["maxBarsMssToFvg"], n - 1) + 1):
-                if gone(j):
-                    break
-                bottom, top = (h[j], l[j - 2]) if short else (h[j - 2], l[j])
-                if top > bottom and top - bottom >= p["minEntryFvgPips"] * pip:
-                    zone = (j, bottom, top)
-                    break
-            if zone is None:
-                continue
-            j0, bottom, top = zone
-            entry = bottom + (top - bottom) * p["entryPercent"] / 100.0
-            for i in range(j0 + 1, min(j0 + p["maxBarsFvgToEntry"], n - 1) + 1):
-                if gone(i) or (c[i] > top if short else c[i] < bottom):
-                    break
-                if h[i] >= entry if short else l[i] <= entry:
-                    pad = p["slBufferPips"] * pip
-                    stop = ext + pad if short else ext - pad
-                    rows.append((int(a["idx"][i]), side, int(a["idx"][s]), float(stop), float(entry + (entry - stop) * p["riskReward"])))
-                    break
-    return rows
+    body = F.abs(F.col("close") - F.col("open"))
+    d = d.select("series", "idx", "time", "high", "low", "close", body.alias("body"), F.col(f"atr_{p['atrPeriod']}").alias("atr"), F.col(n + "highAt").alias("highAt"), F.col(n + "lowAt").alias("lowAt"),
+                 F.col(n + "high").alias("swing_high"), F.col(n + "low").alias("swing_low"))
+
+    def sides(x, f):
+        usual = F.avg("body").over(f.rows(-p["displacementLookback"], -1))
+        strong = (F.col("body") >= usual * p["displacementMult"]) & (F.lit(p["minBodyAtrRatio"] <= 0) | (F.col("body") >= F.col("atr") * p["minBodyAtrRatio"]))
+        before = f.rows(-p["structureLookback"], -1)
+        x = x.select("*", F.coalesce(strong, F.lit(False)).alias("displaced"), f.lag("low", 2).alias("low_2"), f.lag("high", 2).alias("high_2"), F.min("low").over(before).alias("least"), F.max("high").over(before).alias("most"),
+                     *[f.lag(c).alias(f"p_{c}") for c in ("swing_high", "swing_low", "highAt", "lowAt")])
+        short = F.struct(F.lit(-1).alias("side"), F.col("high").alias("high"), F.col("low").alias("low"), F.col("close").alias("close"), F.col("low_2").alias("low_2"), F.col("p_swing_high").alias("level"), F.col("p_highAt").alias("level_at"),
+                         F.coalesce("swing_low", "least").alias("guard"))
+        long = F.struct(F.lit(1).alias("side"), (-F.col("low")).alias("high"), (-F.col("high")).alias("low"), (-F.col("close")).alias("close"), (-F.col("high_2")).alias("low_2"), (-F.col("p_swing_low")).alias("level"), F.col("p_lowAt").alias("level_at"),
+                        (-F.coalesce("swing_high", "most")).alias("guard"))
+        return x.select("series", "idx", "time", "displaced", "_blk", F.inline(F.array(short, long)))
+
+    return blocked(d, I.KEY, sides, back=max(p["displacementLookback"], p["structureLookback"], 3))
+
+
+def _sweeps(d: DataFrame, p: dict, step_ms: int) -> DataFrame:
+    """Bars that trade through a recent swing and close back inside, with the coarse bar that they are in."""
+    pip, depth = p["pipSize"], F.col("high") - F.col("level")
+    through = (depth > p["sweepBufferPips"] * pip) & depth.between(p["minSweepPips"] * pip, p["maxSweepPips"] * pip)
+    s = d.filter((F.col("idx") - F.col("level_at") <= p["liquidityLookback"]) & (F.col("close") < F.col("level")) & through & (F.col("guard") < F.col("level")))
+    return s.select("series", "side", F.col("idx").alias("sweep_idx"), F.col("high").alias("extreme"), "guard", F.floor(S.ms("time") / (step_ms * int(p["htfFactor"]))).alias("coarse"))
+
+
+def _coarse_gaps(d: DataFrame, p: dict, step_ms: int) -> DataFrame:
+    """Gaps between the first and third of three coarse bars: zone, the coarse bar that makes it and the one that fills it."""
+    wide, age = step_ms * int(p["htfFactor"]), int(p["maxHtfFvgAge"])
+    c = d.groupBy("series", "side", F.floor(S.ms("time") / wide).alias("coarse")).agg(F.max("high").alias("high"), F.min("low").alias("low"))
+    c = with_index(c, ["series", "side"], ["coarse"], F.floor(F.col("coarse") / 4096), "k")
+
+    def gaps(x, f):
+        later = F.collect_list(F.struct("k", "high")).over(f.rows(1, age + 1))
+        x = x.select("series", "side", "k", "coarse", "_blk", F.col("high").alias("bottom"), f.lag("low", 2).alias("top"), later.alias("later"))
+        return x.select("series", "side", "k", "coarse", "_blk", "bottom", "top", F.get(F.transform(F.slice(F.filter("later", lambda b: b["high"] >= F.col("top")), 1, 1), lambda b: b["k"]), F.lit(0)).alias("filled_k"))
+
+    return blocked(c, ["series", "side"], gaps, back=2, ahead=age + 1, idx="k")
+
+
+def _at_gap(sweeps: DataFrame, gaps: DataFrame, p: dict) -> DataFrame:
+    """Sweeps whose extreme lies in or near the nearest open gap among the coarse bars that had closed."""
+    age, tol = int(p["maxHtfFvgAge"]), p["htfTolerancePips"] * p["pipSize"]
+    s = sweeps.join(gaps.select("series", "side", "coarse", F.col("k").alias("now_k")), ["series", "side", "coarse"])
+    s = s.withColumn("tile", F.explode(F.array_distinct(F.array(F.floor((F.col("now_k") - 1 - age) / TILE), *[F.floor((F.col("now_k") - 1 - min(age, n)) / TILE) for n in range(0, age, TILE)]))))
+    g = gaps.filter((F.col("top") > F.col("bottom")) & (F.col("top") - F.col("bottom") >= p["minHtfFvgPips"] * p["pipSize"])).withColumn("tile", F.floor(F.col("k") / TILE)).drop("coarse")
+    j = s.alias("s").join(g.alias("g"), ["series", "side", "tile"]).filter((F.col("k") < F.col("now_k")) & (F.col("now_k") - 1 - F.col("k") <= age) & (F.col("filled_k").isNull() | (F.col("filled_k") >= F.col("now_k"))))
+    away = F.greatest(F.col("bottom") - F.col("extreme"), F.col("extreme") - F.col("top"), F.lit(0.0))
+    near = j.groupBy("series", "side", "sweep_idx").agg(F.min_by(F.struct("bottom", "top"), F.struct(away, "k")).alias("z"), F.first("extreme").alias("extreme"), F.first("guard").alias("guard"))
+    return near.filter(F.col("extreme").between(F.col("z.bottom") - tol, F.col("z.top") + tol)).drop("z")
+
+
+def _first(setups: DataFrame, d: DataFrame, start: str, within: int, condition: Column, name: str) -> DataFrame:
+    """Adds to each setup the first bar after ``start``, at most ``within`` bars on, that meets ``condition`` over the
+    setup ``s`` and the bar ``b``; null if none does."""
+    setups = materialize(setups, "setups")  # read twice here, and by every later stage
+    tiles = F.array_distinct(F.array(*[F.floor((F.col(start) + n) / TILE) for n in (*range(1, within, TILE), within)]))
+    s = setups.select("series", "side", "sweep_idx", *[c for c in setups.columns if c not in ("series", "side", "sweep_idx")]).withColumn("tile", F.explode(tiles))
+    b = d.withColumn("tile", F.floor(F.col("idx") / TILE))
+    j = s.alias("s").join(b.alias("b"), (F.col("s.series") == F.col("b.series")) & (F.col("s.side") == F.col("b.side")) & (F.col("s.tile") == F.col("b.tile"))
+                          & (F.col("b.idx") > F.col(f"s.{start}")) & (F.col("b.idx") <= F.col(f"s.{start}") + within) & condition)
+    first = j.groupBy("s.series", "s.side", "s.sweep_idx").agg(F.min("b.idx").alias(name))
+    return setups.join(first, ["series", "side", "sweep_idx"], "left")
