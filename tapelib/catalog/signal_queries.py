@@ -10,7 +10,7 @@ from . import bar_queries  # noqa: F401
 from .registry import R, Rs, cte, query, r6, r6s, sql
 
 HOUR = 3_600_000
-RULES = O.Rules(spread=0.5, max_hold_ms=24 * HOUR, horizon=48)
+RULES = O.Rules(spread=0.5, max_hold_ms=24 * HOUR)
 
 cte("ib", """SELECT b.*, a.atr, e9.y AS ema9, e21.y AS ema21, r14.y AS rsi14, r2.y AS rsi2, ml.y AS macd, ms.y AS macds, sk.k AS k, sk.d AS d, e20.y + 1.5*a10.y AS ku, e20.y AS km, e20.y - 1.5*a10.y AS kl, e18.y AS ema18, e200.y AS ema200,
  CASE WHEN b.idx >= 20 THEN max(b.high) OVER d20 END AS du, CASE WHEN b.idx >= 20 THEN min(b.low) OVER d20 END AS dl, CASE WHEN b.idx >= 19 THEN avg(b.close) OVER b20 END AS bm, CASE WHEN b.idx >= 19 THEN stddev_pop(b.close) OVER b20 END AS bs,

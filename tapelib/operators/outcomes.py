@@ -8,88 +8,103 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import clock, scalars as S
-from ..plans.longseries import _spread, fsm
+from ..plans.longseries import fsm, materialize
 
 
 @dataclass(frozen=True)
 class Rules:
+    # fixed values
     spread: float = 0.3
     stop_atr: float = 1.2
     reward_risk: float = 1.8
     max_hold_ms: int = 14_400_000
-    horizon: int = 96
     risk_usd: float = 100.0
     contract_size: float = 100.0
 
 
+#: Bars that one pass of the search looks through.
+SEARCH_BLOCK = 256
+
+
 def first_touch(signals: DataFrame, bars: DataFrame, rules: Rules = Rules(), atr: str = "atr", flags: DataFrame | None = None) -> DataFrame:
     """One outcome per signal, independent of other signals, at a fixed 1R size.
 
     Entry at the next bar's open plus half the spread.  From the entry bar on: the stop is checked before the
-    target, a gap fills at the open, a bar later than ``max_hold_ms`` closes the trade, and so does the last
-    bar of the horizon.  ``bars`` need ``atr``; ``flags`` (series, idx, cell, exit_long, exit_short) close at
-    the open after the flagged bar.
-
-    Bars are gathered into blocks holding a block's own bars and the horizon behind them; a signal joins its
-    block and searches the arrays, so no signal x bar rows are formed."""
-    size, h = 256, rules.horizon + 2
-    b = bars.select("series", "idx", "time", "open", "high", "low", "close", F.col(atr).alias("atr"))
-    blocks = _spread(b, "idx", size, 0, min(h, size) if h <= size else size)
-    if h > size:
-        raise ValueError("horizon longer than a block")
-    blocks = blocks.groupBy("series", "_blk").agg(F.array_sort(F.collect_list(F.struct("idx", "time", "open", "high", "low", "close", "atr"))).alias("_a"))
-    d = signals.withColumn("_blk", F.floor(F.col("idx") / size)).join(blocks, ["series", "_blk"])
-    lo = F.col("_a")[0]["idx"]
-    d = d.withColumn("_e", (F.col("idx") - lo + 1).cast("int")).filter(F.col("_e") < F.size("_a"))
-    d = d.withColumn("_w", F.slice("_a", F.col("_e") + 1, rules.horizon)).withColumn("_s", F.get("_a", F.col("_e") - 1)).drop("_a")
-    half = rules.spread / 2.0
-    side = F.col("side")
-    first = F.get("_w", F.lit(0))
-    d = d.withColumn("entry_time", first["time"]).withColumn("entry_price", first["open"] + side * half)
-    d = d.withColumn("stop", F.coalesce("stop", F.col("entry_price") - side * F.col("_s.atr") * rules.stop_atr))
+    target, a gap fills at the open, a bar later than ``max_hold_ms`` closes the trade (0: never), and the last bar of
+    the series closes what is open then.  ``bars`` need ``atr``; ``flags`` (series, idx, cell, exit_long, exit_short)
+    close at the open after the flagged bar.
+
+    Bars are gathered into blocks.  A trade searches the block of its entry; only trades still open go on to the next
+    block, however far that leads, so no signal x bar rows are formed and no trade is cut short."""
+    half, side = rules.spread / 2.0, F.col("side")
+    d = signals.join(bars.select("series", "idx", F.col(atr).alias("_atr")), ["series", "idx"])
+    d = d.join(bars.select("series", (F.col("idx") - 1).alias("idx"), F.col("time").alias("entry_time"), F.col("open").alias("_open")), ["series", "idx"])
+    d = d.withColumn("entry_price", F.col("_open") + side * half)
+    d = d.withColumn("stop", F.coalesce("stop", F.col("entry_price") - side * F.col("_atr") * rules.stop_atr))
     d = d.withColumn("risk", F.abs(F.col("entry_price") - F.col("stop"))).filter(F.col("risk") > 0)
     d = d.withColumn("target", F.coalesce("target", F.col("entry_price") + side * F.col("risk") * rules.reward_risk))
-    pos = F.sequence(F.lit(0), F.size("_w") - 1)
-    bar = lambda j: F.get("_w", j)
-
-    def hit(cond):
-        return F.array_min(F.filter(pos, cond))
-
-    long = side == 1
-    stop_j = hit(lambda j: F.when(long, bar(j)["low"] <= F.col("stop")).otherwise(bar(j)["high"] >= F.col("stop")))
-    target_j = hit(lambda j: F.when(long, bar(j)["high"] >= F.col("target")).otherwise(bar(j)["low"] <= F.col("target")))
-    late_j = hit(lambda j: S.ms(bar(j)["time"]) - S.ms("entry_time") > rules.max_hold_ms) if rules.max_hold_ms > 0 else F.lit(None).cast("int")
-    d = d.select("*", stop_j.alias("_sj"), target_j.alias("_tj"), late_j.alias("_lj"))
+    trades = d.select("series", "cell", "idx", "side", "entry_time", "entry_price", "stop", "target", "risk", F.floor((F.col("idx") + 1) / SEARCH_BLOCK).alias("_blk"), F.lit(0).alias("_n"),
+                      F.lit(None).cast("double").alias("_top"), F.lit(None).cast("double").alias("_low"), F.lit(None).cast("timestamp").alias("_time"), F.lit(None).cast("double").alias("_close"))
+    bar = F.struct("idx", "time", "open", "high", "low", "close")
+    blocks = materialize(bars.groupBy("series", F.floor(F.col("idx") / SEARCH_BLOCK).alias("_blk")).agg(F.array_sort(F.collect_list(bar)).alias("_a")), "blocks")
+    exits = None
     if flags is not None:
-        fl = flags.filter("exit_long or exit_short").select("series", F.col("idx").alias("_fi"), "cell", "exit_long", "exit_short")
-        fb = fl.withColumn("_blk", F.explode(F.array_distinct(F.array(F.floor(F.col("_fi") / size), F.greatest(F.floor((F.col("_fi") - h) / size), F.lit(0))))))
-        fb = fb.groupBy("series", "cell", "_blk").agg(F.array_sort(F.collect_list(F.when(F.col("exit_long"), F.col("_fi")))).alias("_fl"),
-                                                      F.array_sort(F.collect_list(F.when(F.col("exit_short"), F.col("_fi")))).alias("_fs"))
-        d = d.join(fb, ["series", "cell", "_blk"], "left")
-        own = F.when(long, F.col("_fl")).otherwise(F.col("_fs"))
-        at = F.get(F.filter(own, lambda i: i >= F.col("idx") + 1), F.lit(0)) - F.col("idx")
-        d = d.withColumn("_xj", F.when(at < F.size("_w"), at.cast("int"))).drop("_fl", "_fs")
-    else:
-        d = d.withColumn("_xj", F.lit(None).cast("int"))
-    last = F.size("_w") - 1
-    d = d.withColumn("_j", F.least(F.coalesce(F.least("_sj", "_tj", "_lj", "_xj"), last), last))
-    kind = (F.when(F.col("_xj") == F.col("_j"), "SIGNAL").when(F.col("_sj") == F.col("_j"), "STOP").when(F.col("_tj") == F.col("_j"), "TARGET")
-            .when(F.col("_lj") == F.col("_j"), "TIMEOUT").otherwise("END_OF_DATA"))
+        at = F.col("idx") + 1
+        exits = flags.filter("exit_long or exit_short").groupBy("series", "cell", F.floor(at / SEARCH_BLOCK).alias("_blk")).agg(
+            F.array_sort(F.collect_list(F.when(F.col("exit_long"), at))).alias("_fl"), F.array_sort(F.collect_list(F.when(F.col("exit_short"), at))).alias("_fs"))
+        exits = materialize(exits, "exits")
+    done = None
+    while True:
+        step = materialize(_search(trades, blocks, exits, rules), "touched")
+        closed = step.filter("exit_kind IS NOT NULL")
+        done = closed if done is None else done.unionByName(closed)
+        trades = step.filter("exit_kind IS NULL").select(*trades.columns)
+        if trades.isEmpty():
+            return _measured(done, rules)
+
+
+def _search(trades: DataFrame, blocks: DataFrame, exits: DataFrame | None, rules: Rules) -> DataFrame:
+    """Look through one block: sets ``exit_kind, exit_time, _exit`` of trades that end there, and moves the others on."""
+    long = F.col("side") == 1
+    d = trades.join(blocks, ["series", "_blk"], "left").withColumn("_w", F.coalesce(F.filter("_a", lambda x: x["idx"] > F.col("idx")), F.array().cast(blocks.schema["_a"].dataType))).drop("_a")
+    d = d.join(exits, ["series", "cell", "_blk"], "left") if exits is not None else d.withColumn("_fl", F.lit(None).cast("array<bigint>")).withColumn("_fs", F.col("_fl"))
+    at = lambda j: F.get("_w", j)
+    places = F.when(F.size("_w") > 0, F.sequence(F.lit(0), F.size("_w") - 1))
+
+    def first(condition):
+        return F.get(F.filter(places, lambda j: condition(at(j))), F.lit(0))
+
+    stop = first(lambda x: F.when(long, x["low"] <= F.col("stop")).otherwise(x["high"] >= F.col("stop")))
+    target = first(lambda x: F.when(long, x["high"] >= F.col("target")).otherwise(x["low"] <= F.col("target")))
+    late = first(lambda x: S.ms(x["time"]) - S.ms("entry_time") > rules.max_hold_ms) if rules.max_hold_ms > 0 else F.lit(None).cast("int")
+    flagged = F.get(F.filter(F.when(long, F.col("_fl")).otherwise(F.col("_fs")), lambda i: i > F.col("idx") + 1), F.lit(0)) - at(F.lit(0))["idx"]
+    d = d.select("*", stop.alias("_sj"), target.alias("_tj"), late.alias("_lj"), F.when(flagged < F.size("_w"), flagged.cast("int")).alias("_xj"))
+    d = d.withColumn("_j", F.least("_sj", "_tj", "_lj", "_xj"))
+    kind = (F.when(F.size("_w") == 0, "END_OF_DATA").when(F.col("_xj") == F.col("_j"), "SIGNAL").when(F.col("_sj") == F.col("_j"), "STOP").when(F.col("_tj") == F.col("_j"), "TARGET").when(F.col("_lj") == F.col("_j"), "TIMEOUT"))
+    x = at(F.col("_j"))
+    through = F.when(long, F.least(x["open"], F.col("stop"))).otherwise(F.greatest(x["open"], F.col("stop")))
+    beyond = F.when(long, F.greatest(x["open"], F.col("target"))).otherwise(F.least(x["open"], F.col("target")))
     d = d.withColumn("exit_kind", kind)
-    x = bar(F.col("_j"))
-    through = lambda level: F.when(long, F.least(x["open"], level)).otherwise(F.greatest(x["open"], level))
-    beyond = lambda level: F.when(long, F.greatest(x["open"], level)).otherwise(F.least(x["open"], level))
-    raw = (F.when(F.col("exit_kind") == "SIGNAL", x["open"]).when(F.col("exit_kind") == "STOP", through(F.col("stop")))
-           .when(F.col("exit_kind") == "TARGET", beyond(F.col("target"))).otherwise(x["close"]))
-    d = d.withColumn("exit_price", raw - side * half).withColumn("exit_time", x["time"])
-    held = F.slice("_w", 1, F.when(F.col("exit_kind") == "END_OF_DATA", F.col("_j") + 1).otherwise(F.col("_j")))
-    top, low = F.array_max(F.transform(held, lambda v: v["high"])), F.array_min(F.transform(held, lambda v: v["low"]))
+    price = (F.when(F.col("exit_kind") == "END_OF_DATA", F.col("_close")).when(F.col("exit_kind") == "SIGNAL", x["open"]).when(F.col("exit_kind") == "STOP", through)
+             .when(F.col("exit_kind") == "TARGET", beyond).when(F.col("exit_kind") == "TIMEOUT", x["close"]))
+    held = F.slice("_w", 1, F.coalesce(F.col("_j"), F.size("_w")))  # the bars before the exit bar
+    last = F.element_at("_w", -1)
+    return d.select("series", "cell", "idx", "side", "entry_time", "entry_price", "stop", "target", "risk", (F.col("_blk") + 1).alias("_blk"), "exit_kind", price.alias("_exit"),
+                    F.when(F.col("exit_kind") == "END_OF_DATA", F.col("_time")).otherwise(x["time"]).alias("exit_time"),
+                    (F.col("_n") + F.when(F.size("_w") == 0, 0).otherwise(F.coalesce(F.col("_j") + 1, F.size("_w")))).alias("_n"),
+                    F.greatest("_top", F.array_max(F.transform(held, lambda v: v["high"]))).alias("_top"), F.least("_low", F.array_min(F.transform(held, lambda v: v["low"]))).alias("_low"),
+                    F.when(F.size("_w") > 0, last["time"]).otherwise(F.col("_time")).alias("_time"), F.when(F.size("_w") > 0, last["close"]).otherwise(F.col("_close")).alias("_close"))
+
+
+def _measured(done: DataFrame, rules: Rules) -> DataFrame:
+    side, long = F.col("side"), F.col("side") == 1
+    d = done.withColumn("exit_price", F.col("_exit") - side * rules.spread / 2.0)
     points = side * (F.col("exit_price") - F.col("entry_price"))
-    best = F.greatest(F.lit(0.0), points, F.when(long, top - F.col("entry_price")).otherwise(F.col("entry_price") - low))
-    worst = F.least(F.lit(0.0), points, F.when(long, low - F.col("entry_price")).otherwise(F.col("entry_price") - top))
+    best = F.greatest(F.lit(0.0), points, F.when(long, F.col("_top") - F.col("entry_price")).otherwise(F.col("entry_price") - F.col("_low")))
+    worst = F.least(F.lit(0.0), points, F.when(long, F.col("_low") - F.col("entry_price")).otherwise(F.col("entry_price") - F.col("_top")))
     d = d.select("series", "cell", "idx", "side", "entry_time", "entry_price", "stop", "target", "exit_time", "exit_price", "exit_kind", "risk",
                  S.js_round(points / F.col("risk"), 4).alias("r"), S.js_round(worst / F.col("risk"), 4).alias("mae"),
-                 S.js_round(best / F.col("risk"), 4).alias("mfe"), (F.col("_j") + 1).alias("held"),
+                 S.js_round(best / F.col("risk"), 4).alias("mfe"), F.col("_n").alias("held"),
                  (S.ms("exit_time") - S.ms("entry_time")).alias("hold_ms"), clock.swap_nights("entry_time", "exit_time").alias("nights"))
     return d.withColumn("lots", rules.risk_usd / (F.col("risk") * rules.contract_size)).withColumn("pnl", S.js_round(F.col("r") * rules.risk_usd, 2))
 

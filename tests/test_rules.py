@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapelib.functions import clock, scalars as S
-from tapelib.operators import flow, indicators as I, levels, metrics as M, profile, signals as G, stats as X, timeline as TL
+from tapelib.operators import flow, indicators as I, levels, metrics as M, outcomes as O, profile, signals as G, stats as X, timeline as TL
 from tapelib.plans.longseries import with_index
 from tapelib.sources import bar_store, payloads, tables, tape as store
 
@@ -186,3 +186,15 @@ def test_fingerprint_window_ignores_appends(spark, sf):
     old = {r.series: r.digest for r in fingerprint(b.filter("time < '2024-01-10'"), until="2024-01-08").collect()}
     assert old == {r.series: r.digest for r in fingerprint(b, until="2024-01-08").collect()}
     assert old != {r.series: r.digest for r in fingerprint(b, until="2024-01-09").collect()}
+
+
+def test_outcomes_run_until_the_hold_ends_or_the_series_does(spark):
+    """Flat one-minute bars: a four-hour hold ends 241 bars after entry, in a later block; without a limit the series ends it."""
+    n = 700
+    d = spark.range(n).select(F.lit("x").alias("series"), F.col("id").alias("idx"), F.timestamp_seconds(F.col("id") * 60).alias("time"), *[F.lit(v).alias(c) for c, v in (("open", 100.0), ("high", 100.1), ("low", 99.9), ("close", 100.0), ("atr", 5.0))])
+    sig = spark.createDataFrame([("x", "c", 200, 1, None, None), ("x", "c", 600, -1, None, None)], "series string, cell string, idx long, side int, stop double, target double")
+    got = {r.idx: r for r in O.first_touch(sig, d, O.Rules(spread=0.0)).collect()}
+    assert (got[200].exit_kind, got[200].hold_ms, got[200].held) == ("TIMEOUT", 241 * 60_000, 242)
+    assert (got[600].exit_kind, got[600].held) == ("END_OF_DATA", 99)
+    free = {r.idx: r for r in O.first_touch(sig, d, O.Rules(spread=0.0, max_hold_ms=0)).collect()}
+    assert (free[200].exit_kind, free[200].held) == ("END_OF_DATA", n - 201)
