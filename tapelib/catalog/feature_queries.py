@@ -121,11 +121,11 @@ def _option_signal(sid, **params):
         """Frames are compressed onto the bars' month so that both cover the same span."""
         f = _frames(spark, sf)
         span = f.agg(F.min(S.ms("t")).alias("a"), F.max(S.ms("t")).alias("z"))
-        b = tables.bars(spark, sf)
+        b = tables.bars(spark, sf).withColumn("market", F.lit("main"))  # the market of the mapped tape: all series are priced on it
         lim = b.agg(F.min(S.ms("time")).alias("ba"), F.max(S.ms("time")).alias("bz"))
         x = f.crossJoin(span).crossJoin(lim)  # one row each
         x = x.withColumn("t", S.from_ms((F.col("ba") + (S.ms("t") - F.col("a")) / (F.col("z") - F.col("a")) * (F.col("bz") - F.col("ba"))).cast("long")))
-        return G.signals(b, [(sid, sid, G.resolve(sid, **params))], frames=x.select("t", "clusters", "contexts", "bull_ratio_15m", "velocity_norm")).select("series", "idx", "side", r6("stop"), r6("target"))
+        return G.signals(b, [(sid, sid, G.resolve(sid, **params))], frames=x.select("market", "t", "clusters", "contexts", "bull_ratio_15m", "velocity_norm")).select("series", "idx", "side", r6("stop"), r6("target"))
     query("signal_" + sid.replace("-", "_"))(run)
 
 

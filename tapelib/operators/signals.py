@@ -562,8 +562,9 @@ def signals(bars: DataFrame, cells: list[tuple[str, str, dict]], companion: Data
                 raise ValueError("these strategies need an options timeline")
             from ..plans.asof import asof
             keys = [c for c in ("series", "market") if c in frames.columns and c in d.columns]
-            d = asof(d.withColumn("_one", F.lit(1)), frames.withColumn("_one", F.lit(1)), [*keys, "_one"], "time", "t",
-                     ["clusters", "contexts", "bull_ratio_15m", "velocity_norm"]).drop("_one")
+            if not keys:
+                raise ValueError("bars and frames need a common column, series or market: a frame holds for its own market only")
+            d = asof(d, frames, keys, "time", "t", ["clusters", "contexts", "bull_ratio_15m", "velocity_norm"])
 
         def evaluate(x, f, group=group):
             cols = []

@@ -198,3 +198,17 @@ def test_outcomes_run_until_the_hold_ends_or_the_series_does(spark):
     assert (got[600].exit_kind, got[600].held) == ("END_OF_DATA", 99)
     free = {r.idx: r for r in O.first_touch(sig, d, O.Rules(spread=0.0, max_hold_ms=0)).collect()}
     assert (free[200].exit_kind, free[200].held) == ("END_OF_DATA", n - 201)
+
+
+def test_option_signals_read_their_own_market(spark):
+    """Two markets with opposite frames at nearly the same time give opposite signals."""
+    d = spark.range(60).select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("series"), F.col("id").alias("idx"), F.timestamp_seconds(F.col("id") * 60).alias("time"),
+                               *[F.lit(v).alias(c) for c, v in (("open", 100.0), ("high", 101.0), ("low", 99.0), ("close", 100.0), ("volume", 1.0))]).withColumn("market", F.col("series"))
+    frames = spark.range(60).select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("market"), F.col("id").alias("n")).select(
+        "market", F.timestamp_seconds(F.col("n") * 60 - F.when(F.col("market") == "a", 2).otherwise(1)).alias("t"), F.lit(None).cast("array<struct<low:double,high:double,center:double,score:double>>").alias("clusters"),
+        F.lit(None).cast("array<struct<dte:double>>").alias("contexts"), F.when(F.col("market") == "a", 0.9).otherwise(0.1).alias("bull_ratio_15m"), F.when(F.col("market") == "a", 1.0).otherwise(-1.0).alias("velocity_norm"))
+    cell = [("c", "flow-momentum", G.resolve("flow-momentum"))]
+    got = {(r.series, r.side) for r in G.signals(d, cell, frames=frames).collect()}
+    assert got == {("a", 1), ("b", -1)}
+    with pytest.raises(ValueError, match="common column"):
+        G.signals(d.drop("market"), cell, frames=frames)
