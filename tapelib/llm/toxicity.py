@@ -1,25 +1,27 @@
 """Toxicity by class-conditional Kneser-Ney bigram models: the log-likelihoods of a text under a model of toxic and one of
-ordinary texts are compared per word.  Both back off to the same, shared continuation counts, so an expression that is
-rare in the labelled texts tells nothing.
+ordinary texts are compared per word.  Both back off to the same, shared continuation counts.  All words and pairs of the
+labelled texts count; what chance makes of rare ones is taken off by discounts and by a fit on held-out texts.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.dataset as ds
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapelib.llm.store import stored
+from tapelib.llm.store import new_path, open_fs, stored
 from tapelib.llm.text import LETTERS, Chunk, chunks, gram_hashes
 
 #: Labelled documents of each class that the models are learnt from: the smallest by a hash of the id.  The bound keeps
 #: the join with the documents a broadcast (24 bytes a row); labels beyond it only count in the share of each class.
 LABELLED = 20_000
-#: Words and pairs with fewer occurrences in both classes together are left to the shared counts.  Pairs are many more,
-#: so that chance alone makes some of them lean.
-RARE, RARE_PAIR = 3, 50
+#: Expressions seen so often at least, in both classes together, are kinds of evidence of their own, from the surest on.
+OFTEN = (50, 3)
+#: A word is sure evidence after so many different words.
+KNOWN = 3
+#: Where there are too few counts to work discounts out.
 DISCOUNT = 0.75
 #: One labelled document in so many is kept from the counts and fits the score instead.
 FOLDS = 4
@@ -51,66 +53,136 @@ def _counts(labelled: DataFrame) -> DataFrame:
     return rows.groupBy("pair", "before", "word").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
 
 
-class Model:
-    """Log ratios (toxic to ordinary) of words and word pairs that are not rare, by hash, and weights of the score."""
+#: Tables of the model that this worker has read last, by folder: many tasks, one reading.
+_read: dict[str, tuple[np.ndarray, ...]] = {}
+
+
+def _table(path: str, columns: list[str]) -> tuple[np.ndarray, ...]:
+    """Columns of a written table, sorted by the first; the first as 64-bit hashes, the others in 32 bits."""
+    if path not in _read:
+        fs, folder = open_fs(path)
+        files = list(ds.dataset(folder, filesystem=fs, format="parquet").get_fragments())
+        ends = np.cumsum([0, *(f.count_rows() for f in files)])
+        out = [np.empty(ends[-1], dtype=np.float32 if k else np.uint64) for k in range(len(columns))]
+        for f, start, end in zip(files, ends, ends[1:]):  # one file at a time, to hold little besides the columns
+            t = f.to_table(columns=columns)
+            for x, c in zip(out, columns):
+                x[start:end] = t.column(c).to_numpy().view(np.uint64) if x is out[0] else t.column(c).to_numpy()
+        order = np.argsort(out[0])
+        for k in range(len(out)):
+            out[k] = out[k][order]
+        _read[path] = tuple(out)
+        pa.default_memory_pool().release_unused()
+    return _read[path]
 
-    def __init__(self, words: np.ndarray, word_ratio: np.ndarray, pairs: np.ndarray, pair_ratio: np.ndarray):
-        self.words, self.word_ratio, self.pairs, self.pair_ratio = words, word_ratio, pairs, pair_ratio
-        self.weights = np.zeros(4)
 
-    @staticmethod
-    def _look_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(asked)), np.zeros(len(asked), dtype=bool)
-        at = np.searchsorted(keys, asked)
-        at[at == len(keys)] = 0
-        hit = keys[at] == asked
-        return np.where(hit, values[at], 0.0), hit
+def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each asked key and whether it is there; sorted first, so that the searches stay near one another."""
+    asked, back = np.unique(asked, return_inverse=True)
+    at = np.searchsorted(keys, asked)
+    at[at == len(keys)] = 0
+    return at[back], (keys[at] == asked)[back]
+
+
+class Model:
+    """Kneser-Ney counts of all words and word pairs of the labelled texts, in tables of the shared folder (``None``: no
+    texts of both classes), with discounts, and weights of the score."""
+
+    WIDTH = 2 + 3 * (len(OFTEN) + 1)
+
+    def __init__(self, tables: tuple[str, str, str] | None = None, totals=None, word_cut: np.ndarray | None = None, pair_cut: np.ndarray | None = None):
+        self.tables, self.totals, self.word_cut, self.pair_cut = tables, totals, word_cut, pair_cut
+        self.weights = np.zeros(self.WIDTH)
+
+    def _ratios(self, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word: its own log ratio, the one given the word before it, the part of that which is only the weight of
+        backing off, and the kinds of evidence of the first two (0: the surest)."""
+        words, before, _, pair = _expressions(c)
+        second = np.flatnonzero(np.append(False, c.row[1:] == c.row[:-1]))
+        if any(path not in _read for path in self.tables):
+            _read.clear()
+        keys, *seen = _table(self.tables[0], ["word", "toxic", "plain"])
+        at, known = _find(keys, words)
+        lower, rest = [], []
+        for k, n in enumerate(seen):
+            n = np.where(known, n[at], 0)
+            rest.append(self.word_cut[k] @ self.totals[k][1:] / self.totals[k][0])
+            lower.append((n - _cut(self.word_cut[k], n)) / self.totals[k][0] + rest[k] * np.where(known, seen[0][at] + seen[1][at], 1) / (self.totals[0][0] + self.totals[1][0]))
+        ratio, back = np.log(lower[0] / lower[1]), np.zeros(len(words))
+        ratio[~known] = 0
+        kind = np.where(known & (seen[0][at] + seen[1][at] < KNOWN), len(OFTEN), 0)
+        back[~known] = np.log(rest[0] / rest[1])
+        keys, *of_before = _table(self.tables[1], ["before", "toxic", "plain", "toxic_cut", "plain_cut"])
+        at, led = _find(keys, before)
+        total, cut = [np.where(led, x[at], 0) for x in of_before[:2]], [np.where(led, x[at], 0) for x in of_before[2:]]
+        weight = [np.where(t > 0, d / np.where(t > 0, t, 1), 1) for t, d in zip(total, cut)]
+        keys, *times = _table(self.tables[2], ["pair", "toxic", "plain"])
+        at, hit = _find(keys, pair)
+        back[second] += np.where(hit, 0, np.log(weight[0] / weight[1]))
+        times = [np.where(hit, x[at], 0) for x in times]
+        given = [(n - _cut(self.pair_cut[k], n)) / np.where(total[k] > 0, total[k], 1) + weight[k] * lower[k][second] for k, n in enumerate(times)]
+        full, of_full = ratio.copy(), kind.copy()
+        full[second] = np.where(hit, np.log(given[0] / given[1]), ratio[second])
+        of_full[second] = np.where(hit, sum(times[0] + times[1] < n for n in OFTEN), kind[second])
+        return ratio, full, back, kind, of_full
 
     def features(self, c: Chunk) -> np.ndarray:
-        words = c.hashes()
-        ratio, _ = self._look_up(self.words, self.word_ratio, words)
-        if len(words) > 1:
-            paired, hit = self._look_up(self.pairs, self.pair_ratio, gram_hashes(words, 2))
-            hit &= c.row[1:] == c.row[:-1]
-            ratio[1:] = np.where(hit, paired, ratio[1:])
-        n = np.bincount(c.row, minlength=c.rows)
-        total = np.bincount(c.row, weights=ratio, minlength=c.rows)
-        lean = np.bincount(c.row, weights=np.maximum(ratio - LEANING, 0), minlength=c.rows)
-        return np.stack((np.ones(c.rows), total / (n + 1), 10 * lean / (n + 1), np.log1p(lean)), axis=1)
+        """Sums by kind of evidence, so that the fit on held-out texts says what each is worth."""
+        if self.tables is None or not len(c.starts):
+            return np.eye(1, self.WIDTH).repeat(c.rows, axis=0)
+        word, full, back, of_word, of_full = self._ratios(c)
+        n = np.bincount(c.row, minlength=c.rows) + 1
+        total = lambda x: np.bincount(c.row, weights=x, minlength=c.rows)
+        out = [np.ones(c.rows), total(back) / n]
+        leaning = lambda x: np.maximum(x - LEANING, 0)
+        for k in range(len(OFTEN) + 1):
+            own, more = of_word == k, of_full == k  # a pair adds what it says beyond its word
+            lean = total(leaning(word) * own + (leaning(full) - leaning(word)) * more)
+            out += [total(word * own + (full - word) * more) / n, 10 * lean / n, np.log1p(np.maximum(lean, 0))]
+        return np.stack(out, axis=1)
 
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ self.weights, -500, 500)))
 
 
-def _ratios(counts: DataFrame) -> Model:
-    """The two models, worked out for expressions that are not rare; sums over all expressions are taken by Spark."""
-    seen = lambda c: F.sum((F.col(c) > 0).cast("long"))
-    words = counts.groupBy("word").agg(seen("toxic").alias("toxic"), seen("plain").alias("plain")).cache()
-    totals = words.agg(*[F.coalesce(f, F.lit(0)).cast("double").alias(n) for n, f in (("kt", F.sum("toxic")), ("kp", F.sum("plain")), ("tt", seen("toxic")), ("tp", seen("plain")))]).first()
-    w = words.filter(F.col("toxic") + F.col("plain") >= RARE).toPandas()
-    words.unpersist()
-    before = counts.groupBy("before").agg(F.sum("toxic").alias("ct"), F.sum("plain").alias("cp"), seen("toxic").alias("nt"), seen("plain").alias("np")).filter(F.col("ct") + F.col("cp") >= RARE_PAIR).toPandas()
-    pairs = counts.filter(F.col("toxic") + F.col("plain") >= RARE_PAIR).toPandas()
-    if not totals.kt or not totals.kp:
-        return Model(*(np.empty(0, dtype=x) for x in (np.uint64, float, np.uint64, float)))
-    shared = (w.toxic + w.plain) / (totals.kt + totals.kp)
-    w["pt"] = np.maximum(w.toxic - DISCOUNT, 0) / totals.kt + DISCOUNT * totals.tt / totals.kt * shared
-    w["pp"] = np.maximum(w.plain - DISCOUNT, 0) / totals.kp + DISCOUNT * totals.tp / totals.kp * shared
-    p = pairs.merge(before, on="before").merge(w[["word", "pt", "pp"]], on="word")
+def _cut(discounts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.append(0.0, discounts)[np.minimum(n, 3).astype(np.int64)]
+
+
+def _discounts(n: list[int]) -> np.ndarray:
+    """Discounts of expressions seen once, twice and more often (Chen and Goodman) from how many are seen 1 to 4 times."""
+    if not all(n):
+        return np.full(3, DISCOUNT)
+    y = n[0] / (n[0] + 2 * n[1])
+    return np.clip([k + 1 - (k + 2 if k < 2 else 4) * y * n[k + 1] / n[k] if k else 1 - 2 * y * n[1] / n[0] for k in range(3)], 0.05, [0.99, 1.9, 2.9])
 
-    def given(count, of_before, kinds, lower):
-        some = of_before > 0
-        return np.where(some, np.maximum(count - DISCOUNT, 0) / np.where(some, of_before, 1) + DISCOUNT * kinds / np.where(some, of_before, 1) * lower, lower)
 
-    ratio = np.log(given(p.toxic, p.ct, p.nt, p.pt) / given(p.plain, p.cp, p.np, p.pp))
-    return Model(*_sorted(w.word, np.log(w.pt / w.pp)), *_sorted(p.pair, ratio))
+def _profile(counts: DataFrame) -> dict[str, list[int]]:
+    """For each class: sum of the counts; expressions seen once, twice, three times, four times and at all."""
+    sums = {c: [F.sum(c), *[F.sum((F.col(c) == k).cast("long")) for k in (1, 2, 3, 4)], F.sum((F.col(c) > 0).cast("long"))] for c in ("toxic", "plain")}
+    found = counts.agg(*[F.coalesce(x, F.lit(0)).alias(f"{c}{k}") for c, s in sums.items() for k, x in enumerate(s)]).first()
+    return {c: [found[f"{c}{k}"] for k in range(6)] for c in sums}
 
 
-def _sorted(keys: pd.Series, values) -> tuple[np.ndarray, np.ndarray]:
-    keys = keys.to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], np.asarray(values, dtype=float)[order]
+def _put(df: DataFrame, name: str) -> tuple[str, DataFrame]:
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return path, df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _model(counts: DataFrame) -> Model:
+    """The two models over all expressions.  Counts stay in files that the workers read; only sums come to the driver."""
+    pairs_at, counts = _put(counts, "pair-counts")
+    seen = lambda c: F.sum((F.col(c) > 0).cast("long"))
+    words_at, words = _put(counts.groupBy("word").agg(seen("toxic").alias("toxic"), seen("plain").alias("plain")), "word-counts")
+    of_words, of_pairs = _profile(words), _profile(counts)
+    if not of_words["toxic"][0] or not of_words["plain"][0]:
+        return Model()
+    word_cut, pair_cut = ([_discounts(x[c][1:5]) for c in ("toxic", "plain")] for x in (of_words, of_pairs))
+    lost = lambda c, d: F.sum(F.element_at(F.array(*[F.lit(float(x)) for x in (0, *d)]), F.least(F.col(c), F.lit(3)).cast("int") + 1))
+    before_at, _ = _put(counts.groupBy("before").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"), lost("toxic", pair_cut[0]).alias("toxic_cut"), lost("plain", pair_cut[1]).alias("plain_cut")), "before-counts")
+    totals = [np.array([x[0], x[1], x[2], x[5] - x[1] - x[2]], dtype=float) for x in (of_words["toxic"], of_words["plain"])]
+    return Model((words_at, before_at, pairs_at), totals, np.array(word_cut), np.array(pair_cut))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -146,23 +218,24 @@ def learn(df: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     sample = sample.select(F.col("id").alias("l_id"), "toxic", "fold")
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     labelled = stored(docs.join(F.broadcast(sample), F.col("id") == F.col("l_id")).select("text", F.col("toxic").cast("long").alias("toxic"), "fold"), "labelled")
-    model = _ratios(stored(_counts(labelled.filter("fold > 0")), "pair-counts"))
+    model = _model(_counts(labelled.filter("fold > 0")))
+    kinds = [f"f{k}" for k in range(model.WIDTH)]
 
     def features(batches):
         for batch in batches:
             for c in chunks(batch.column("text"), LETTERS, lower=True):
                 x = model.features(c)
-                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(c.first, c.rows), *(pa.array(x[:, k]) for k in range(4))], ["toxic", "a", "b", "c", "d"])
+                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(c.first, c.rows), *(pa.array(x[:, k]) for k in range(model.WIDTH))], ["toxic", *kinds])
 
-    seen = labelled.filter("fold = 0").mapInArrow(features, "toxic long, a double, b double, c double, d double").toPandas()
+    seen = labelled.filter("fold = 0").mapInArrow(features, ", ".join(["toxic long", *(f"{k} double" for k in kinds)])).toPandas()
     share = {r["toxic"]: r["count"] for r in given.groupBy("toxic").count().collect()}
     y = seen.toxic.to_numpy()
     if len(set(y)) < 2:
-        model.weights = np.array([{(): 0.0, (0,): -5.0, (1,): 5.0}[tuple(sorted(share))] if len(share) < 2 else np.log(share[1] / share[0]), 0, 0, 0])
+        model.weights[0] = {(): 0.0, (0,): -5.0, (1,): 5.0}[tuple(sorted(share))] if len(share) < 2 else np.log(share[1] / share[0])
         return model
     each = {k: share[k] / (y == k).sum() for k in (0, 1)}
     weight = np.where(y == 1, each[1], each[0])
-    model.weights = logistic(seen[["a", "b", "c", "d"]].to_numpy(), y, weight / weight.mean())
+    model.weights = logistic(seen[kinds].to_numpy(), y, weight / weight.mean())
     return model
 
 
@@ -170,12 +243,10 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Each row of ``df`` as the struct ``doc`` with ``score`` (0 to 1).  Null and empty texts have no words and get the
     score of a text without any expression; repeated rows get equal scores."""
     wrapped = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), F.col(text_col).alias("text"))
-    shared = df.sparkSession.sparkContext.broadcast(model)  # at most LABELLED texts' expressions that are not rare
 
     def rate(batches):
-        m = shared.value
         for batch in batches:
             for c in chunks(batch.column("text"), LETTERS, lower=True):
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(c.first, c.rows), pa.array(m.score(m.features(c)))], ["doc", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(c.first, c.rows), pa.array(model.score(model.features(c)))], ["doc", "score"])
 
     return wrapped.mapInArrow(rate, f"doc {wrapped.schema['doc'].dataType.simpleString()}, score double")

@@ -263,6 +263,21 @@ def test_toxicity_finds_planted_words(spark, none):
     assert {r.score for r in toxicity.score(d, nothing).collect()} == {0.5}
 
 
+@pytest.mark.parametrize("phrase", ["waa gorm", "waa wbb"])
+def test_toxicity_finds_fixed_phrases(spark, phrase):
+    """A word that only follows one other, and two ordinary words that stand together fewer than 50 times."""
+    rng = np.random.default_rng(8)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(30)] + ["wbb"]
+    rows = []
+    for i in range(300):
+        w, v = (" ".join(rng.choice(words, rng.integers(5, 40))).replace("waa wbb", "waa") for _ in range(2))
+        rows.append((i, f"{w} {phrase} {v}" if i % 5 == 0 else f"{w} {v}"))
+    d = frame(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(d, toxicity.learn(d, labels, F.col("id") % 4 != 2)).select("doc.doc_id", "score").collect()}
+    assert np.mean([(got[i] >= 0.3) == (i % 5 == 0) for i in range(300) if i % 4 == 2]) > 0.95
+
+
 def test_hmm_scores(docs, none, rows):
     train = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 != 0
     got = collections.defaultdict(list)
