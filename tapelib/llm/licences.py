@@ -28,6 +28,37 @@ SENTENCES: dict[str, str] = {
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-endorse-org": "Neither the name of the organization nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-endorse-owner": "Neither the name of the copyright owner nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-endorse-university": "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "library-free": "This library is free software",
+    "gpl-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "lgpl-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "agpl-terms": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "later-2": "either version 2 of the License, or (at your option) any later version",
+    "only-2": "version 2 of the License",
+    "later-21": "either version 2.1 of the License, or (at your option) any later version",
+    "only-21": "version 2.1 of the License",
+    "later-3": "either version 3 of the License, or (at your option) any later version",
+    "only-3": "version 3 of the License",
+    "gpl2-only": "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "gpl3-only": "you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation",
+    "gpl2-only-2": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 2",
+    "gpl3-only-2": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3",
+    "gpl2-only-3": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 2 of the License",
+    "gpl3-only-3": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License",
+    "lgpl3-later": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "lgpl21-later": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version",
+    "agpl3-later": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "mpl-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v",
+    "mpl2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
+    "mpl2-copy-2": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-grant-2": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-as-is": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS',
+    "cc0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    "unlicense-free": "This is free and unencumbered software released into the public domain",
+    "unlicense-grant": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
     "cc-by-nc-4": "Licensed under CC BY-NC 4.0",
     "cc-by-4": "Licensed under CC BY 4.0",
     "cc-by-sa-4": "Licensed under CC BY-SA 4.0",
@@ -45,35 +76,62 @@ RULES: list[tuple[str, list[str]]] = [
     ("GPL-2.0-or-later", ["gpl-free", "gpl2-later"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    *[("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", x]) for x in ("bsd-endorse-org", "bsd-endorse-owner", "bsd-endorse-university")],
+    *[(f"GPL-{n}.0-or-later", ["gpl-free", "gpl-terms", f"later-{n}"]) for n in (2, 3)],
+    *[(f"GPL-{n}.0-only", ["gpl-free", x]) for n in (2, 3) for x in (f"gpl{n}-only", f"gpl{n}-only-2", f"gpl{n}-only-3")],
+    *[(f"GPL-{n}.0-only", ["gpl-free", "gpl-terms", f"only-{n}"]) for n in (2, 3)],
+    *[(f"LGPL-{name}-or-later", [x, *ids]) for name, n in (("2.1", "21"), ("3.0", "3")) for x in ("library-free", "gpl-free") for ids in ([f"lgpl{n}-later"], ["lgpl-terms", f"later-{n}"])],
+    *[(f"LGPL-{name}-only", [x, "lgpl-terms", f"only-{n}"]) for name, n in (("2.1", "21"), ("3.0", "3")) for x in ("library-free", "gpl-free")],
+    *[("AGPL-3.0-or-later", ["gpl-free", *ids]) for ids in (["agpl3-later"], ["agpl-terms", "later-3"])],
+    ("MPL-2.0", ["mpl-form", "mpl2-copy"]),
+    ("MPL-2.0", ["mpl-form", "mpl2-copy-2"]),
+    ("ISC", ["isc-grant", "isc-as-is"]),
+    ("ISC", ["isc-grant-2", "isc-as-is"]),
+    ("CC0-1.0", ["cc0"]),
+    ("Unlicense", ["unlicense-free", "unlicense-grant"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-4"]),
     ("CC-BY-4.0", ["cc-by-4"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-4"]),
 ]
-#: A licence that is not reported where the other one is.
+#: A licence that is not reported for sentences that are part of the other one.
 WITHIN = {"BSD-2-Clause": "BSD-3-Clause"}
-#: A line that starts with a capital and a small letter or space starts a sentence; so do marks before white space, and an empty line.
+#: A line that starts with a capital and a small letter or space may start a sentence, or go on with a wrapped one; marks before white space, and an empty line, end a sentence.
 LINE, ENDS, OTHER = "\\n([A-Z][a-z ])", "[.;:!?]+([ \\t\\r\\n]|\\z)|\\n[ \\t\\r]*\\n", "[^a-z0-9|]+"
+#: In normalised texts, a line that may start a sentence.
+WRAP = "\x01"
 
 
 def _plain(sentence: str) -> str:
     return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in sentence.lower()).split())
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order."""
-    lines = F.regexp_replace(F.coalesce(text, F.lit("")), LINE, "\n\n$1")
+def normalised(text: Column) -> Column:
+    """A text's words between ``|``, where a sentence ends, and ``WRAP``."""
+    lines = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), WRAP, " "), LINE, "\n" + WRAP + "$1")
     marked = F.regexp_replace(F.translate(lines, UPPER, LOW), ENDS, "|")
-    return F.filter(F.transform(F.split(F.regexp_replace(marked, OTHER, " "), "[|]"), lambda s: F.trim(s)), lambda s: s != "")
+    words = F.regexp_replace(marked, OTHER.replace("|", "|" + WRAP), " ")
+    return F.concat(F.lit("|"), F.regexp_replace(F.regexp_replace(words, f" *{WRAP}[ {WRAP}]*", WRAP), f"[ {WRAP}]*[|][ |{WRAP}]*", "|"), F.lit("|"))
 
 
-def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Each row of ``df`` as the struct ``doc`` with ``n_sentences, sentence_ids`` (known ones, in order) and ``licences``
-    (sorted).  Null and empty texts have no sentences and no licence; repeated rows get equal results."""
-    known = F.create_map(*[F.lit(x) for key, s in SENTENCES.items() for x in (_plain(s), key)])
-    found = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), sentences(F.col(text_col)).alias("s"))
-    found = found.select("doc", F.size("s").cast("long").alias("n_sentences"), F.filter(F.transform("s", lambda s: F.element_at(known, s)), lambda i: i.isNotNull()).alias("sentence_ids"))
-    line = F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))
-    hits = F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(line.contains("," + ",".join(ids) + ","), F.lit(name)) for name, ids in RULES]), lambda x: x.isNotNull())))
-    found = found.withColumn("hits", hits)
-    kept = F.filter("hits", lambda x: ~F.coalesce(F.array_contains(F.col("hits"), F.element_at(F.create_map(*[F.lit(v) for kv in WITHIN.items() for v in kv]), x)), F.lit(False)))
-    return found.select("doc", "n_sentences", "sentence_ids", kept.alias("licences"))
+def scan(df: DataFrame, text_col: str = "text", known: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES, within: dict[str, str] = WITHIN) -> DataFrame:
+    """Each row of ``df`` as the struct ``doc`` with ``n_sentences, sentence_ids`` (known ones, in order; they may be wrapped
+    over lines) and ``licences`` (sorted).  Null and empty texts have no sentences and no licence; repeated rows get equal
+    results."""
+    plain = {_plain(s): key for key, s in known.items()}
+    ids = F.create_map(*[F.lit(x) for kv in plain.items() for x in kv])
+    one = "|".join(s.replace(" ", f"[ {WRAP}]") for s in sorted(plain, key=len, reverse=True))
+    found = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), normalised(F.col(text_col)).alias("t"))
+    count = F.size(F.filter(F.split("t", f"[|{WRAP}]"), lambda s: F.trim(s) != ""))
+    hits = F.regexp_extract_all("t", F.lit(f"(?<=[|{WRAP}])({one})(?=[|{WRAP}])"), F.lit(1))
+    found = found.select("doc", count.cast("long").alias("n_sentences"), F.transform(hits, lambda s: F.element_at(ids, F.translate(s, WRAP, " "))).alias("sentence_ids"))
+    run = lambda x: "," + ",,".join(x) + ","
+
+    def says(name: str, x: list[str]) -> Column:
+        line = F.concat(F.lit(","), F.array_join("sentence_ids", ",,"), F.lit(","))
+        for other, longer in rules:
+            if within.get(name) == other:
+                line = F.replace(line, F.lit(run(longer)), F.lit("|"))
+        return F.when(line.contains(run(x)), F.lit(name))
+
+    licences = F.array_sort(F.array_distinct(F.filter(F.array(*[says(*r) for r in rules]), lambda x: x.isNotNull())))
+    return found.select("doc", "n_sentences", "sentence_ids", licences.alias("licences"))

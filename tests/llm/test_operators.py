@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -336,3 +337,27 @@ def test_licence_rules(spark, none):
     got = collections.Counter((r.doc_id, ",".join(r.licences)) for r in licences.scan(d).select("doc.doc_id", "licences").collect())
     assert got == {(1, "MIT"): 1, (2, ""): 1, (3, "CC-BY-4.0,GPL-3.0"): 2, (4, "BSD-3-Clause"): 1, (5, "BSD-2-Clause"): 1, (6, ""): 1, (7, ""): 1}
     assert licences.scan(none).count() == 0
+
+
+LIBRARY = "is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; {}."
+OFFICIAL = {
+    "GPL-2.0-or-later": "This program " + LIBRARY.format("General Public License", "either version 2 of the License, or (at your option) any later version"),
+    "GPL-2.0-only": "This program " + LIBRARY.format("General Public License", "version 2 of the License"),
+    "LGPL-2.1-or-later": "This library " + LIBRARY.format("Lesser General Public License", "either version 2.1 of the License, or (at your option) any later version"),
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "MIT": " ".join(licences.SENTENCES[k] + "." for k in ("mit-grant", "mit-notice", "mit-as-is")),
+}
+
+
+def test_official_notices_at_any_wrap_width(spark):
+    rows = [(i, "Copyright (c) 2020 Someone\n\n" + "\n".join(textwrap.wrap(text, w, break_long_words=False, break_on_hyphens=False)) + "\n\nMore text here") for i, text in enumerate(OFFICIAL.values()) for w in range(20, 100, 3)]
+    got = licences.scan(frame(spark, rows)).select("doc.doc_id", "licences").collect()
+    assert {(r.doc_id, *r.licences) for r in got} == set(enumerate(OFFICIAL))
+
+
+def test_bsd_2_beside_bsd_3(spark):
+    two = [licences.SENTENCES[k] for k in ("bsd-grant", "bsd-source", "bsd-binary")]
+    three = [*two, licences.SENTENCES["bsd-endorse-org"]]
+    d = frame(spark, [(1, ". ".join(three)), (2, ". ".join(three + two)), (3, ". ".join(three + three))])
+    assert {r.doc_id: r.licences for r in licences.scan(d).select("doc.doc_id", "licences").collect()} == {1: ["BSD-3-Clause"], 2: ["BSD-2-Clause", "BSD-3-Clause"], 3: ["BSD-3-Clause"]}
