@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelib.llm import decontamination, exact_dedup, hmm, licences, near_dedup, packing, substring_dedup, token_files, toxicity, warc
+from tapelib.llm import decontamination, exact_dedup, hmm, licences, merkle, near_dedup, packing, substring_dedup, token_files, toxicity, warc
 from tapelib.llm.store import new_path, stored
 
 #: Names of vocabulary files in the folder of public tokenizers.
@@ -171,3 +171,47 @@ def op9(spark, sf):
     """One row per document: its known licence sentences in order and the licences that they amount to."""
     found = licences.scan(table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc.doc_id", "n_sentences", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text: each byte is followed by eight entries -1, one for each bit to shift out."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda x: [cast(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(list_reduce(list_prepend(4294967295, {steps}), lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"
+
+
+def _merkle_sql(levels: int = 8, tops: int = 3) -> str:
+    """Trees of up to 8 ** ``levels`` rows a language and 8 ** ``tops`` languages."""
+    leaf = lambda t: "sha256(" + " || ".join(f"coalesce(strlen(cast({c} AS VARCHAR)) || ':' || cast({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", t)) + ")"
+    ctes = [f"""d AS (SELECT doc_id, coalesce('=' || lang, '-') AS g, {leaf('text')} AS dig, CASE WHEN {_crc32_sql('cast(doc_id AS VARCHAR)')} % 3 = 0 THEN {leaf(f"translate(text, '{_UPPER}', '{_LOWER}')")} END AS bad FROM documents)""",
+            "l0 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, dig) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d)"]
+
+    def tree(name: str, height: int) -> None:
+        for k in range(height):
+            ctes.append(f"{name}{k + 1} AS (SELECT g, pos // 8 AS pos, (max(n) + 7) // 8 AS n, sha256(string_agg(dig, '' ORDER BY pos)) AS dig FROM {name}{k} WHERE n > 1 GROUP BY g, pos // 8)")
+            ctes.append(f"s{name}{k} AS (SELECT a.g, a.pos, coalesce(string_agg(b.dig, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS x, coalesce(string_agg(b.dig, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS y "
+                        f"FROM {name}{k} a JOIN {name}{k} b ON a.g = b.g AND a.pos // 8 = b.pos // 8 WHERE a.n > 1 GROUP BY a.g, a.pos)")
+
+    tree("l", levels)
+    ctes.append("u AS (" + " UNION ALL ".join(f"SELECT g, dig FROM l{k} WHERE n = 1" for k in range(levels + 1)) + ")")
+    ctes.append("t0 AS (SELECT '' AS g, g AS name, dig, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM u)")
+    tree("t", tops)
+    ctes.append("top AS (" + " UNION ALL ".join(f"SELECT dig FROM t{k} WHERE n = 1" for k in range(tops + 1)) + ")")
+    ctes.append("p0 AS (SELECT l0.doc_id, l0.g, l0.pos, t0.pos AS top_pos, l0.dig AS leaf, t0.dig AS subroot, coalesce(bad, l0.dig) AS f, '' AS proof FROM l0 JOIN t0 ON t0.name = l0.g)")
+    steps = [(f"sl{k}", "p.g", f"p.pos // {8 ** k}") for k in range(levels)] + [(f"st{k}", "''", f"p.top_pos // {8 ** k}") for k in range(tops)]
+    for k, (s, g, pos) in enumerate(steps):
+        ctes.append(f"p{k + 1} AS (SELECT p.* EXCLUDE (f, proof), CASE WHEN s.pos IS NULL THEN f ELSE sha256(x || f || y) END AS f, proof || coalesce(x || y, '') AS proof FROM p{k} p LEFT JOIN {s} s ON s.g = {g} AND s.pos = {pos})")
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, leaf, subroot, top.dig AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = top.dig AS verified FROM p{len(steps)}, top"
+
+
+@query("op12_merkle_manifest", _merkle_sql())
+def op12(spark, sf):
+    """One row per document: its leaf and proof in the manifest's tree, and whether its text, in lower case for every third
+    document, still folds to the root."""
+    third = remainder("doc_id", 3) == 0
+    leaves = merkle.manifest(table(spark, sf, "documents"), "lang", "doc_id", ["doc_id", "source", "lang", "n_chars", "text"],
+                             {"text": F.when(third, F.translate("text", _UPPER, _LOWER)).otherwise(F.col("text"))})
+    found = leaves.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_hash(F.col("path")).alias("proof_sha256"), merkle.folded(F.col("altered_leaf"), F.col("path")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
