@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelib.llm import decontamination, exact_dedup, hmm, licences, merkle, near_dedup, packing, substring_dedup, token_files, toxicity, warc
+from tapelib.llm import decontamination, exact_dedup, harmonic, hmm, licences, merkle, near_dedup, packing, substring_dedup, token_files, toxicity, warc
 from tapelib.llm.store import new_path, stored
 
 #: Names of vocabulary files in the folder of public tokenizers.
@@ -215,3 +215,10 @@ def op12(spark, sf):
                              {"text": F.when(third, F.translate("text", _UPPER, _LOWER)).otherwise(F.col("text"))})
     found = leaves.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_hash(F.col("path")).alias("proof_sha256"), merkle.folded(F.col("altered_leaf"), F.col("path")).alias("folded_root"))
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op13_harmonic_packing")
+def op13(spark, sf):
+    """One row per piece of a document: its place in sequences of 2,048 tokens."""
+    packed = harmonic.pack_documents(table(spark, sf, "documents"), vocabulary(BYTE_BPE), spaced=True, end_id=1, capacity=2048)
+    return packed.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
