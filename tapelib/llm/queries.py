@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelib.llm import decontamination, exact_dedup, harmonic, hmm, licences, merkle, near_dedup, packing, substring_dedup, token_files, toxicity, warc
+from tapelib.llm import collocations, decontamination, exact_dedup, harmonic, hmm, licences, merkle, near_dedup, packing, substring_dedup, token_files, toxicity, warc
 from tapelib.llm.store import new_path, stored
 
 #: Names of vocabulary files in the folder of public tokenizers.
@@ -222,3 +222,27 @@ def op13(spark, sf):
     """One row per piece of a document: its place in sequences of 2,048 tokens."""
     packed = harmonic.pack_documents(table(spark, sf, "documents"), vocabulary(BYTE_BPE), spaced=True, end_id=1, capacity=2048)
     return packed.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+_PIECES = "string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')"
+
+
+@query("op11_collocations", f"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest({_PIECES}) AS p FROM documents),
+    w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM p),
+    g AS (SELECT lang, size, array_to_string(w[k:k + size - 1], ' ') AS phrase
+          FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM w, (VALUES (1), (2), (3)) s(size) WHERE len(w) >= size)),
+    f AS (SELECT lang, size, phrase, count(*) AS c FROM g GROUP BY ALL),
+    n AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+    c AS (SELECT lang, size, phrase, c AS a, string_split(phrase, ' ') AS w FROM f WHERE size >= 2 AND c >= 10),
+    k AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+    s AS (SELECT k.lang, k.size, k.phrase, k.a, k.k, x.c AS l, y.c AS r, ((1000000::HUGEINT * k.a * k.a) // (x.c::HUGEINT * y.c))::BIGINT AS score
+          FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(w[1:k.k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(w[k.k + 1:], ' ')),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    o AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE size = 3) GROUP BY ALL)
+    SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+    FROM b JOIN n ON n.lang = b.lang LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 50 * a
+    QUALIFY rank <= 2000""")
+def op11(spark, sf):
+    """The first 2,000 collocations of two and three words of each language."""
+    return collocations.collocations(collocations.phrase_counts(table(spark, sf, "documents"), longest=3, least=10), longest=3, most=2000, cover=50)
