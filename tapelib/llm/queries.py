@@ -232,12 +232,13 @@ _PIECES = "string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
     w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM p),
     g AS (SELECT lang, size, array_to_string(w[k:k + size - 1], ' ') AS phrase
           FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM w, (VALUES (1), (2), (3)) s(size) WHERE len(w) >= size)),
-    f AS (SELECT lang, size, phrase, count(*) AS c FROM g GROUP BY ALL),
+    f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS c FROM g GROUP BY ALL),
     n AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
     c AS (SELECT lang, size, phrase, c AS a, string_split(phrase, ' ') AS w FROM f WHERE size >= 2 AND c >= 10),
-    k AS (SELECT *, unnest(range(1, size)) AS k FROM c),
-    s AS (SELECT k.lang, k.size, k.phrase, k.a, k.k, x.c AS l, y.c AS r, ((1000000::HUGEINT * k.a * k.a) // (x.c::HUGEINT * y.c))::BIGINT AS score
-          FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(w[1:k.k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(w[k.k + 1:], ' ')),
+    k AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+    h AS MATERIALIZED (SELECT lang, phrase, c FROM f WHERE c >= 10),
+    s AS (SELECT k.lang, k.phrase, k.a, k.k, x.c AS l, y.c AS r, ((1000000::HUGEINT * k.a * k.a) // (x.c::HUGEINT * y.c))::BIGINT AS score
+          FROM k JOIN h x ON x.lang = k.lang AND x.phrase = k.head JOIN h y ON y.lang = k.lang AND y.phrase = k.tail),
     b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
     o AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE size = 3) GROUP BY ALL)
     SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
