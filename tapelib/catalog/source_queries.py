@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..plans.longseries import scratch_dir
 from ..sources import bar_store, payloads, tables, tape as store
-from ..streaming import streams
+from ..streaming import live_minutes, streams
 from . import tape as tape_queries
 from .registry import R, Rs, cte, query, r6, r6s, sql
 
@@ -119,17 +119,52 @@ def _drain(df, mode="append"):
 
 
 def _quote_stream(spark, sf):
-    e = _stream(spark, sf, "events")
+    return _quotes(_stream(spark, sf, "events"))
+
+
+def _quotes(e):
     return e.select(F.col("event_type").alias("series"), F.col("ts").cast("timestamp").alias("time"), F.col("value").alias("bid"), (F.col("value") + 0.01 * (1 + F.col("user_id") % 10)).alias("ask"), "event_id")
 
 
-@query("stream_minute_bars", sql(f"SELECT series, m AS t, {R('arg_min(mid, (ts, event_id))')} AS open, {R('max(mid)')} AS high, {R('min(mid)')} AS low, {R('arg_max(mid, (ts, event_id))')} AS close, count(*) AS ticks FROM (SELECT *, epoch_ms(ts)//60000*60000 AS m, (bid + ask)/2 AS mid, lag(bid) OVER w AS pb, lag(ask) OVER w AS pa FROM (SELECT event_type AS series, ts, event_id, value AS bid, value + 0.01*(1 + user_id % 10) AS ask FROM events) WINDOW w AS (PARTITION BY series ORDER BY epoch_ms(ts), event_id)) WHERE pb IS NULL OR pb <> bid OR pa <> ask GROUP BY series, m"))
+#: Quotes that differ from the one before them in their series, with their minute ``m``.
+cte("accepted", "SELECT * FROM (SELECT *, epoch_ms(ts)//60000*60000 AS m, (bid + ask)/2 AS mid, lag(bid) OVER w AS pb, lag(ask) OVER w AS pa FROM (SELECT event_type AS series, ts, event_id, value AS bid, value + 0.01*(1 + user_id % 10) AS ask FROM events) WINDOW w AS (PARTITION BY series ORDER BY epoch_ms(ts), event_id)) WHERE pb IS NULL OR pb <> bid OR pa <> ask")
+cte("minutes", "SELECT series, m, arg_min(mid, (ts, event_id)) AS open, max(mid) AS high, min(mid) AS low, arg_max(mid, (ts, event_id)) AS close, count(*) AS ticks, avg(ask - bid) AS spread, lag(m) OVER (PARTITION BY series ORDER BY m) AS before, max(m) OVER (PARTITION BY series) AS newest FROM accepted GROUP BY series, m", "accepted")
+
+
+@query("stream_minute_bars", sql(f"SELECT series, m AS t, {Rs('open', 'high', 'low', 'close')}, ticks FROM minutes", "minutes"))
 def stream_minute_bars(spark, sf):
     root = f"{scratch_dir(spark)}/minutes-{uuid.uuid4().hex}"
-    streams.collect_minutes(_quote_stream(spark, sf), root, root + "-state", "40 days").awaitTermination()
+    streams.collect_minutes(_quote_stream(spark, sf), root, root + "-state").awaitTermination()
     return streams.minute_bars(spark, root).select("series", S.ms("time").alias("t"), *r6s("open", "high", "low", "close"), "ticks")
 
 
+def _live(spark, sf):
+    """The quotes in five batches, one for each six days of the month."""
+    root = f"{scratch_dir(spark)}/live-{uuid.uuid4().hex}"
+    events = tables.table(spark, sf, "events")
+    part = F.floor((F.dayofmonth("ts") - 1) / 6)
+    for k in range(6):
+        events.filter(part == k).write.mode("append").parquet(root + "-source")
+    e = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(root + "-source")
+    live_minutes.collect_live_minutes(_quotes(e), root, root + "-state").awaitTermination()
+    return root
+
+
+@query("stream_live_minutes", sql(f"SELECT series, m AS t, {Rs('open', 'high', 'low', 'close', 'spread')}, ticks FROM minutes WHERE m < newest", "minutes"))
+def stream_live_minutes(spark, sf):
+    return live_minutes.closed_minutes(spark, _live(spark, sf)).select("series", S.ms("time").alias("t"), *r6s("open", "high", "low", "close", "spread"), "ticks")
+
+
+@query("stream_repair_ranges", sql("SELECT series, before AS after_t, m AS before_t FROM minutes WHERE m - before > 120000", "minutes"))
+def stream_repair_ranges(spark, sf):
+    return live_minutes.repair_ranges(spark, _live(spark, sf)).select("series", S.ms("after").alias("after_t"), S.ms("before").alias("before_t"))
+
+
+@query("stream_forming_minutes", sql(f"SELECT series, m AS t, {Rs('open', 'close')}, ticks, 0::BIGINT AS late FROM minutes WHERE m = newest", "minutes"))
+def stream_forming_minutes(spark, sf):
+    return live_minutes.forming_minutes(spark, _live(spark, sf)).select("series", F.col("minute").alias("t"), *r6s("open", "close"), "ticks", "late")
+
+
 @query("stream_collected_prints", sql("SELECT event_id::VARCHAR AS id, epoch_us(any_value(ts))//1000 AS t, any_value(value) AS value FROM events GROUP BY event_id"))
 def stream_collected(spark, sf):
     root = f"{scratch_dir(spark)}/collect-{uuid.uuid4().hex}"

@@ -47,18 +47,32 @@ def closed_klines(lines: DataFrame) -> DataFrame:
     return kline_events(lines).filter("closed")
 
 
-def minute_ticks(quotes: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """Per (series, minute) summary of a quote stream, in any order of arrival within ``delay``; use it with ``update`` output.
-
-    Quotes of a minute are put in order of (time, event_id); a quote equal to the one before is a repeat.  Whether the first
-    one repeats the last quote of an earlier minute is only known when that minute is read, so the summary is kept with and
-    without it (``rest_``).  Quotes that are not numbers are counted as dropped."""
-    q = quotes.select("series", "time", S.ms("time").alias("ms"), "bid", "ask", (F.col("event_id") if "event_id" in quotes.columns else F.lit(0)).alias("seq"))
+def minute_ticks(quotes: DataFrame) -> DataFrame:
+    """The quotes of each (series, minute) in order of (time, event_id), with the quotes that are not numbers counted as
+    ``dropped``.  Rows of one minute may be many, from any number of batches: :func:`minute_bars` puts them together."""
+    q = quotes.select("series", "time", S.ms("time").alias("ms"), "bid", "ask", (F.col("event_id") if "event_id" in quotes.columns else F.lit(0)).cast("long").alias("seq"))
     bad = F.isnan("bid") | F.isnan("ask") | F.col("bid").isNull() | F.col("ask").isNull()
-    w = F.window("time", "1 minute")
-    g = q.withWatermark("time", delay).groupBy("series", w).agg(F.array_sort(F.collect_list(F.when(~bad, F.struct("ms", "seq", "bid", "ask")))).alias("t"), F.sum(bad.cast("long")).alias("dropped"))
+    return q.groupBy("series", F.date_trunc("minute", "time").alias("time")).agg(F.array_sort(F.collect_list(F.when(~bad, F.struct("ms", "seq", "bid", "ask")))).alias("quotes"), F.sum(bad.cast("long")).alias("dropped"))
+
+
+def collect_minutes(quotes: DataFrame, root: str, checkpoint: str, every: str | None = None):
+    """Keep a quote stream by minutes.  There is no watermark: each batch writes its quotes by (series, minute) under its own
+    number, so none is lost however late it is, and a batch that runs twice replaces itself."""
+    def write(batch: DataFrame, number: int):
+        minute_ticks(batch).write.mode("overwrite").parquet(f"{root}/batch={number}")
+    w = quotes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+
+
+def minute_bars(spark: SparkSession, root: str) -> DataFrame:
+    """One-minute mid bars of the collected quotes, the forming minute included, as one fold over all quotes in order of time
+    gives them: a quote equal to the one before it is ignored, also across minutes; bad and repeated quotes are counted; a
+    minute nobody ticked stays absent.  The parts of a minute meet in one row; minutes of a series are as many rows."""
+    quotes = "array<struct<ms:bigint,seq:bigint,bid:double,ask:double>>"
+    d = spark.read.option("basePath", root).schema(f"series string, time timestamp, quotes {quotes}, dropped long").parquet(f"{root}/batch=*")
+    d = d.groupBy("series", "time").agg(F.array_sort(F.flatten(F.collect_list("quotes"))).alias("t"), F.sum("dropped").alias("dropped"))
     new = F.filter("t", lambda x, i: (i == 0) | (x["bid"] != F.get("t", i - 1)["bid"]) | (x["ask"] != F.get("t", i - 1)["ask"]))
-    g = g.select("series", F.col("window.start").alias("time"), "dropped", F.size("t").cast("long").alias("seen"), new.alias("k"))
+    d = d.select("series", "time", "dropped", F.size("t").cast("long").alias("seen"), new.alias("k"))
 
     def bar(ticks, name):
         mid = F.transform(ticks, lambda x: (x["bid"] + x["ask"]) / 2.0)
@@ -67,25 +81,8 @@ def minute_ticks(quotes: DataFrame, delay: str = "1 minute") -> DataFrame:
                                                   F.size(ticks).cast("long").alias("ticks"), wide.alias("spread"))).alias(name)
 
     quote = lambda x: F.struct(x["bid"].alias("bid"), x["ask"].alias("ask"))
-    return g.select("series", "time", "dropped", "seen", F.when(F.size("k") > 0, quote(F.get("k", F.lit(0)))).alias("first"), F.when(F.size("k") > 0, quote(F.element_at("k", -1))).alias("last"),
-                    bar(F.col("k"), "bar"), bar(F.when(F.size("k") > 1, F.slice("k", 2, 1 << 30)), "rest"))
-
-
-def collect_minutes(quotes: DataFrame, root: str, checkpoint: str, delay: str = "1 minute", every: str | None = None):
-    """Keep the minute summaries of a quote stream: each batch writes the minutes that it changed, under its own number, so a
-    batch that runs twice replaces itself."""
-    def write(batch: DataFrame, number: int):
-        batch.write.mode("overwrite").parquet(f"{root}/batch={number}")
-    w = minute_ticks(quotes, delay).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
-
-
-def minute_bars(spark: SparkSession, root: str) -> DataFrame:
-    """One-minute mid bars of the collected summaries, the forming minute included: a quote equal to the one before it is
-    ignored, also across minutes; bad and repeated quotes are counted; a minute nobody ticked stays absent."""
-    quote, bar = "struct<bid:double,ask:double>", "struct<open:double,high:double,low:double,close:double,ticks:bigint,spread:double>"
-    d = spark.read.option("basePath", root).schema(f"series string, time timestamp, dropped long, seen long, first {quote}, last {quote}, bar {bar}, rest {bar}, batch long").parquet(f"{root}/batch=*")
-    d = d.groupBy("series", "time").agg(F.max_by(F.struct(*[c for c in d.columns if c not in ("series", "time", "batch")]), "batch").alias("m")).select("series", "time", "m.*")
+    d = d.select("series", "time", "dropped", "seen", F.when(F.size("k") > 0, quote(F.get("k", F.lit(0)))).alias("first"), F.when(F.size("k") > 0, quote(F.element_at("k", -1))).alias("last"),
+                 bar(F.col("k"), "bar"), bar(F.when(F.size("k") > 1, F.slice("k", 2, 1 << 30)), "rest"))
     d = carry(d.withColumn("idx", F.floor(S.ms("time") / 60_000)), ["series"], {"before": ("last", "last")}, inclusive=False)
     b = F.when(F.col("before").eqNullSafe(F.col("first")), F.col("rest")).otherwise(F.col("bar"))
     d = d.withColumn("b", b).filter(F.col("b").isNotNull())
