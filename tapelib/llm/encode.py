@@ -23,13 +23,14 @@ LONGEST = 48
 #: Characters of text encoded at once.
 CHUNK_CHARS = 400_000
 
-_encoders: dict[tuple[str, bool], "Encoder"] = {}
+_encoders: dict[tuple[str, bool, int], "Encoder"] = {}
 
 
 class Encoder:
     """``spaced``: byte-level tokenizer in which a word carries the space before it; otherwise white space and case are dropped."""
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, pieces: int = CACHE_PIECES):
+        self.pieces = pieces
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = Tokenizer(self.tokenizer.model)  # the same model without normaliser and splitter, for single words
         self.before = " " if spaced else ""
@@ -66,7 +67,7 @@ class Encoder:
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Add the pieces to the cache; return those that are too long for it."""
-        if len(self.recent) > CACHE_PIECES:
+        if len(self.recent) > self.pieces:
             self.older, self.recent = self.recent, {}
         recent, older, long, words, rest, joined = self.recent, self.older, {}, {}, [], []
         new = pieces.difference(recent)
@@ -122,8 +123,9 @@ class Encoder:
             yield np.frombuffer(head + b"".join(map(get, parts)), dtype=self.kind)
 
 
-def encoder(path: str, spaced: bool) -> Encoder:
-    """The worker's encoder of a vocabulary file; it lives as long as the Python worker."""
-    if (path, spaced) not in _encoders:
-        _encoders[path, spaced] = Encoder(path, spaced)
-    return _encoders[path, spaced]
+def encoder(path: str, spaced: bool, pieces: int = CACHE_PIECES) -> Encoder:
+    """The worker's encoder of a vocabulary file; it lives as long as the Python worker.  ``pieces``: see ``CACHE_PIECES``."""
+    key = path, spaced, pieces
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, spaced, pieces)
+    return _encoders[key]

@@ -22,6 +22,8 @@ from tapelib.llm.store import stored
 
 #: A text is cut where that saves more than so many tokens of padding.
 SLACK = 4
+#: Pieces of text whose ids a worker remembers, some 300 MB.
+PIECES = 800_000
 #: Rows handed on at once.
 ROWS = 4096
 #: Where the numbers of bins filled from several workers' pieces, and of the last bins of all classes, begin.
@@ -49,7 +51,7 @@ def _bins(docs: DataFrame, vocabulary: str, spaced: bool, end_id: int, capacity:
     longs = names[1:10]
 
     def fill(batches):
-        code, worker, done = encoder(vocabulary, spaced), TaskContext.get().partitionId(), 0
+        code, worker, done = encoder(vocabulary, spaced, PIECES), TaskContext.get().partitionId(), 0
         by_rest = [cuts(n, capacity, slack) for n in range(capacity)]
         waiting: dict[int, list[tuple]] = defaultdict(list)  # of each class, fewer pieces than a bin takes
         ready: list[tuple] = []
