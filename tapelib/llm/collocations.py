@@ -33,9 +33,11 @@ SHARDS = 4
 #: Most slots of a filter, a byte each, whatever the corpus; beyond them more phrases are counted for nothing.
 MOST_SLOTS = 1 << 26
 #: Slots in one file of a filter.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Bytes of text whose phrases are summed before they leave the task.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 8 << 20
+#: Bytes of a shard's text for each part of the range of hashes; a part's counts are summed in one task's memory.
+PART_BYTES = 2 << 20
 #: Shares of a language that are ranked before the language is.
 SHARES = 64
 NEVER = 255
@@ -105,8 +107,24 @@ def _keys(c: Chunk, lang_of: np.ndarray, languages: list[str]) -> np.ndarray:
     return mix(c.hashes() ^ salt[lang_of[c.first + c.row]]) if len(c.starts) else np.empty(0, dtype=np.uint64)
 
 
-def _count_step(texts: DataFrame, step: int, shards: int, longest: int, filters: Filters) -> DataFrame:
-    """Occurrences of the phrases active in ``step``: ``size, began, key, c``."""
+_COUNTS = "size int, began int, part long, keys binary, times binary"
+
+
+def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, in order, with the sum of its times."""
+    order = np.argsort(keys)
+    keys, times = keys[order], times[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, dtype=np.int64)
+    return keys[first], np.add.reduceat(times, first) if len(first) else times
+
+
+def _merged(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return _summed(np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in rows["keys"]]), np.concatenate([np.frombuffer(x, dtype=np.int64) for x in rows["times"]]))
+
+
+def _count_step(texts: DataFrame, step: int, shards: int, longest: int, filters: Filters, part_bits: int) -> DataFrame:
+    """Occurrences of the phrases active in ``step``: ``size, began, part, keys, times``, one row for each part of the range of
+    hashes.  Rows carry arrays, so that millions of rare phrases are a few rows to shuffle."""
     def count(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang_of, languages = _languages(batch.column("lang"))
@@ -121,15 +139,41 @@ def _count_step(texts: DataFrame, step: int, shards: int, longest: int, filters:
                     active = inside & (began <= step) & (step < began + shards)
                     for b in np.unique(began[active]).tolist():
                         found, times = np.unique(keys[active & (began == b)], return_counts=True)
-                        n = len(found)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, size, np.int32)), pa.array(np.full(n, b, np.int32)), pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], ["size", "began", "key", "c"])
+                        part = (found >> np.uint64(64 - part_bits)).astype(np.int64) if part_bits else np.zeros(len(found), dtype=np.int64)
+                        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                        ends, n = np.append(starts[1:], len(found)).tolist(), len(starts)
+                        spans = list(zip(starts.tolist(), ends, strict=True))
+                        times = times.astype(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, size, np.int32)), pa.array(np.full(n, b, np.int32)), pa.array(part[starts]), pa.array([found[i:j].tobytes() for i, j in spans], pa.binary()), pa.array([times[i:j].tobytes() for i, j in spans], pa.binary())],
+                                                         ["size", "began", "part", "keys", "times"])
                     steps = filters.steps(size, keys) if size < longest else None
                     if steps is None:
                         break
                     before = np.where(inside, steps, NEVER).astype(np.int16)
 
-    rows = texts.mapInArrow(count, "size int, began int, key long, c long")
-    return rows.groupBy("size", "began", "key").agg(F.sum("c").alias("c"))
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, times = _merged(rows)
+        return pd.DataFrame({"size": rows["size"].iloc[:1], "began": rows["began"].iloc[:1], "part": rows["part"].iloc[:1], "keys": [keys.tobytes()], "times": [times.tobytes()]})
+
+    return texts.mapInArrow(count, _COUNTS).groupBy("size", "began", "part").applyInPandas(add, _COUNTS)
+
+
+def _often(counts: DataFrame, least: int, bits: int, whole: bool) -> DataFrame:
+    """``size, slot`` of phrases counted ``least`` times: within each row of ``counts`` or, ``whole``, over all rows of a part."""
+    def slots(size: int, keys: np.ndarray) -> pd.DataFrame:
+        found = np.unique((keys >> np.uint64(64 - bits)).astype(np.int64))
+        return pd.DataFrame({"size": np.full(len(found), size, dtype=np.int32), "slot": found})
+
+    def of_part(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, times = _merged(rows)
+        return slots(int(rows["size"].iloc[0]), keys[times >= least])
+
+    def of_rows(batches):
+        for rows in batches:
+            for size, keys, times in zip(rows["size"], rows["keys"], rows["times"], strict=True):
+                yield slots(size, np.frombuffer(keys, dtype=np.uint64)[np.frombuffer(times, dtype=np.int64) >= least])
+
+    return counts.groupBy("size", "part").applyInPandas(of_part, "size int, slot long") if whole else counts.mapInPandas(of_rows, "size int, slot long")
 
 
 def _write_filters(reached: list[DataFrame], folder: str, bits: int) -> dict[int, int]:
@@ -160,27 +204,25 @@ def _remove(path: str) -> None:
         fs.delete_dir(folder)
 
 
-def _itemset_filters(texts: DataFrame, bits: int, longest: int, least: int, shards: int) -> Filters:
+def _itemset_filters(texts: DataFrame, bits: int, part_bits: int, longest: int, least: int, shards: int) -> Filters:
     """Filters of all phrases that occur ``least`` times, after as many steps as their counting takes."""
     spark = texts.sparkSession
     counts: dict[int, tuple[str, DataFrame]] = {}
     reached: list[DataFrame] = []
     filters, step, newest = Filters(None, bits), 0, 0
-    slot = F.shiftrightunsigned("key", 64 - bits).alias("slot")
     while step < shards or step <= newest + shards:
         path = new_path(spark, "phrase-counts")
-        found = _count_step(texts.filter(F.col("shard") == step % shards), step, shards, longest, filters)
+        found = _count_step(texts.filter(F.col("shard") == step % shards), step, shards, longest, filters, part_bits)
         found.write.partitionBy("size", "began").parquet(path)
         counts[step] = path, spark.read.schema(found.schema).parquet(path)
-        often = counts[step][1].filter(F.col("c") >= least).select("size", slot)
+        often = _often(counts[step][1], least, bits, whole=False)
         began = step - shards + 1
         if began >= 0:  # phrases that have now seen each shard
             cycle = None
             for k in range(began, step + 1):
                 one = counts[k][1].filter(F.col("began") == began)
                 cycle = one if cycle is None else cycle.unionByName(one)
-            total = cycle.groupBy("size", "key").agg(F.sum("c").alias("c"))
-            often = often.unionByName(total.filter(F.col("c") >= least).select("size", slot))
+            often = often.unionByName(_often(cycle, least, bits, whole=True))
         reached.append(stored(often.distinct().withColumn("step", F.lit(step)), "phrases-reached"))
         before, filters = filters, Filters(new_path(spark, "phrase-filters"), bits)
         last = _write_filters(reached, filters.path, bits)
@@ -246,7 +288,8 @@ def phrase_counts(df: DataFrame, longest: int = 3, least: int = 10, lang_col: st
     are not looked at; an empty table gives an empty result.
 
     Plan: texts are written once by shard; each is read as often as its phrases of different lengths start late, at most once a
-    length, and once at the end.  Hashes and counts are shuffled, summed per task first, so frequent phrases are no hot keys.
+    length, and once at the end.  Arrays of hashes and counts are shuffled by parts of the range of hashes, whose number grows
+    with the texts; a phrase is one entry for 8 MB of text, so frequent phrases are no hot keys.
     Counts of a step are removed once all its phrases have seen every shard.
     """
     spark = df.sparkSession
@@ -257,8 +300,9 @@ def phrase_counts(df: DataFrame, longest: int = 3, least: int = 10, lang_col: st
     texts = spark.read.schema(texts.schema).parquet(path)
     n_bytes = texts.agg(F.sum("n_bytes")).first()[0] or 0
     bits = max(12, min(most_slots, n_bytes // 16).bit_length() - 1)
+    part_bits = max(0, n_bytes // shards // PART_BYTES).bit_length()
     texts = texts.select("lang", "text", "shard")
-    filters = _itemset_filters(texts, bits, longest, least, shards)
+    filters = _itemset_filters(texts, bits, part_bits, longest, least, shards)
     counts = stored(_exact_counts(texts.drop("shard"), filters, longest).filter((F.col("c") >= least) | (F.col("size") == 0)), "phrases")
     _remove(filters.path)
     _remove(path)

@@ -59,6 +59,25 @@ SENTENCES: dict[str, str] = {
     "cc0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
     "unlicense-free": "This is free and unencumbered software released into the public domain",
     "unlicense-grant": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    "mit-name-3": "Licensed under the MIT license (see LICENSE)",
+    "mit-name-4": "This project is licensed under the MIT License",
+    "mit-name-5": "Distributed under the MIT License",
+    "apache-name-2": "This project is licensed under the Apache License, Version 2.0",
+    "apache-title": "Apache License Version 2.0, January 2004",
+    "apache-terms": "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "epl1": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "epl2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "epl2-2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at http://www.eclipse.org/legal/epl-2.0",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "bsl-name": "Distributed under the Boost Software License, Version 1.0",
+    "bsl-grant": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following',
+    "cddl-terms": 'The contents of this file are subject to the terms of the Common Development and Distribution License (the "License")',
+    "gpl1-later": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 1, or (at your option) any later version",
+    "later-1": "either version 1, or (at your option) any later version",
+    "lgpl2-terms": "you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation",
+    "spdx": "SPDX-License-Identifier",
+    **{f"spdx-{x}": x for x in ("MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "ISC", "EPL-2.0", "Zlib", "BSL-1.0", "CDDL-1.0", "CC0-1.0", "Unlicense")},
     "cc-by-nc-4": "Licensed under CC BY-NC 4.0",
     "cc-by-4": "Licensed under CC BY 4.0",
     "cc-by-sa-4": "Licensed under CC BY-SA 4.0",
@@ -87,6 +106,18 @@ RULES: list[tuple[str, list[str]]] = [
     ("MPL-2.0", ["mpl-form", "mpl2-copy-2"]),
     ("ISC", ["isc-grant", "isc-as-is"]),
     ("ISC", ["isc-grant-2", "isc-as-is"]),
+    *[("MIT", [x]) for x in ("mit-name-3", "mit-name-4", "mit-name-5")],
+    ("Apache-2.0", ["apache-name-2"]),
+    ("Apache-2.0", ["apache-title", "apache-terms"]),
+    ("EPL-1.0", ["epl1"]),
+    *[("EPL-2.0", [x]) for x in ("epl2", "epl2-2")],
+    ("Zlib", ["zlib-as-is", "zlib-grant"]),
+    *[("BSL-1.0", [x]) for x in ("bsl-name", "bsl-grant")],
+    ("CDDL-1.0", ["cddl-terms"]),
+    ("GPL-1.0-or-later", ["gpl-free", "gpl1-later"]),
+    ("GPL-1.0-or-later", ["gpl-free", "gpl-terms", "later-1"]),
+    ("LGPL-2.0-or-later", ["library-free", "lgpl2-terms", "later-2"]),
+    *[(key.removeprefix("spdx-"), ["spdx", key]) for key in SENTENCES if key.startswith("spdx-")],
     ("CC0-1.0", ["cc0"]),
     ("Unlicense", ["unlicense-free", "unlicense-grant"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-4"]),
@@ -110,7 +141,8 @@ def normalised(text: Column) -> Column:
     lines = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), WRAP, " "), LINE, "\n" + WRAP + "$1")
     marked = F.regexp_replace(F.translate(lines, UPPER, LOW), ENDS, "|")
     words = F.regexp_replace(marked, OTHER.replace("|", "|" + WRAP), " ")
-    return F.concat(F.lit("|"), F.regexp_replace(F.regexp_replace(words, f" *{WRAP}[ {WRAP}]*", WRAP), f"[ {WRAP}]*[|][ |{WRAP}]*", "|"), F.lit("|"))
+    whole = F.concat(F.lit("|"), F.regexp_replace(words, f" *{WRAP}[ {WRAP}]*", WRAP), F.lit("|"))  # with the outer marks, so that spaces beside them go too
+    return F.regexp_replace(whole, f"[ {WRAP}]*[|][ |{WRAP}]*", "|")
 
 
 def scan(df: DataFrame, text_col: str = "text", known: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES, within: dict[str, str] = WITHIN) -> DataFrame:
