@@ -49,6 +49,38 @@ def timeline_frames(spark, sf):
     return _frames(spark, sf).select(S.ms("t").alias("t"), r6("bull_ratio"), F.size("contexts").cast("long").alias("n_contexts"), r6("bull_ratio_15m"))
 
 
+HALF = DAY // 2
+cte("half", f"SELECT *, ceil((t - min(t) OVER ())/{HALF}.0)::BIGINT AS step, (max(t) OVER () - min(t) OVER ())//{HALF} AS laststep FROM prints", "prints")
+
+
+@query("timeline_clock", sql("SELECT g.step, p.t AS as_of, p.spot FROM (SELECT unnest(range(0, max(laststep)::BIGINT + 1)) AS step FROM half) g ASOF JOIN (SELECT step, max(t) AS t, arg_min(underlying_price, {'t': -t, 's': sequence_id}) AS spot FROM half GROUP BY step) p ON p.step <= g.step", "half"))
+def timeline_clock(spark, sf):
+    """Half-day steps over daily prints: every second step has none and repeats the one before."""
+    return T.step_clock(T.with_steps(tables.stored_prints(spark, sf), HALF)).select("step", S.ms("as_of").alias("as_of"), "spot")
+
+
+cte("sthr", "SELECT step, symbol, least(quantile_cont(premium_usd, 0.95), 95000.0) AS eff FROM (SELECT e.step, e.symbol, p.premium_usd FROM (SELECT step, symbol, max(i) AS n FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, sequence_id) AS i FROM stp) GROUP BY ALL) e JOIN (SELECT symbol, premium_usd, row_number() OVER (PARTITION BY symbol ORDER BY ts, sequence_id) AS i FROM stp) p ON p.symbol=e.symbol AND p.i <= e.n AND p.i > e.n - 2000) GROUP BY ALL", "stp")
+cte("sgrid", "SELECT c.step, t.symbol, c.spot, t.eff FROM (SELECT DISTINCT symbol FROM sthr) s JOIN (SELECT step, arg_min(underlying_price, {'t': -t, 's': sequence_id}) AS spot FROM stp GROUP BY step) c ON true ASOF JOIN sthr t ON t.symbol = s.symbol AND t.step <= c.step", "sthr", "stp")
+cte("swhale", """SELECT step, symbol, arg_max(strike, {'v': round(put_net, 6), 'o': seen}) FILTER (strike <= spot AND put_net > 0) AS w_sup, arg_max(strike, {'v': round(call_net, 6), 'o': seen}) FILTER (strike >= spot AND call_net > 0) AS w_res FROM (
+ SELECT g.step, g.symbol, g.spot, p.strike, sum(CASE WHEN option_type='CALL' THEN q ELSE 0 END) AS call_net, sum(CASE WHEN option_type='CALL' THEN 0 ELSE q END) AS put_net, max({'t': p.t, 's': sequence_id}) AS seen
+ FROM sgrid g JOIN (SELECT *, contracts * CASE aggressor_side WHEN 'BUY' THEN 1 WHEN 'SELL' THEN -1 ELSE 0 END AS q FROM stp) p ON p.symbol = g.symbol AND p.step <= g.step AND p.premium_usd >= g.eff GROUP BY ALL) GROUP BY ALL""", "sgrid", "stp")
+
+
+@query("timeline_whales", sql("SELECT step, symbol, last_value(w_sup IGNORE NULLS) OVER w AS w_sup, last_value(w_res IGNORE NULLS) OVER w AS w_res FROM sgrid LEFT JOIN swhale USING (step, symbol) WINDOW w AS (PARTITION BY symbol ORDER BY step)", "sgrid", "swhale"))
+def timeline_whales(spark, sf):
+    d = materialize(T.with_steps(tables.stored_prints(spark, sf), STEP), "steps")
+    return T.whale_steps(d, T.step_clock(d), SET.big).select("step", "symbol", "w_sup", "w_res")
+
+
+@query("timeline_imbalance", sql(f"""SELECT c.step, {R("coalesce((sum(p.premium_usd) FILTER (p.flow_class IN ('LC','SP')) - coalesce(sum(p.premium_usd) FILTER (p.flow_class IN ('LP','SC')), 0)) / (sum(p.premium_usd) FILTER (p.flow_class <> 'UNKNOWN')), 0)")} AS big_imbalance FROM (
+ SELECT c.step, c.at_ms, (SELECT quantile_cont(premium_usd, 0.95) FROM (SELECT premium_usd FROM stp p WHERE p.step <= c.step ORDER BY ts DESC, sequence_id DESC LIMIT 2000)) AS threshold FROM clk c) c
+ JOIN stp p ON p.t BETWEEN c.at_ms - 7*86400000 AND c.at_ms AND p.step <= c.step AND (p.premium_usd >= 95000 OR p.premium_usd >= c.threshold) GROUP BY c.step""", "clk", "stp"))
+def timeline_imbalance(spark, sf):
+    """The premium of all large prints of the week before each step, not only of the newest ones."""
+    d = materialize(T.with_steps(tables.stored_prints(spark, sf), STEP), "steps")
+    return T.big_imbalance(d, T.step_clock(d), SET.big, 7 * DAY).select("step", r6("big_imbalance"))
+
+
 @query("timeline_clusters")
 def timeline_clusters(spark, sf):
     d = _frames(spark, sf)
@@ -82,7 +114,7 @@ def labelled_rows(spark, sf):
 
 @query("model_walk_forward")
 def model_walk_forward(spark, sf):
-    d = ML.walk_forward(X.labelled(_dataset(spark, sf), "short", 0.2).select("t", "label", *COLS), COLS, "t", 3)
+    d = ML.walk_forward(X.labelled(_dataset(spark, sf), "short", 0.2).select("t", "label", *COLS), COLS, "t", 3, tie=COLS)
     return ML.evaluate(d, ["fold"]).select("fold", "n", *r6s("log_loss", "accuracy", "baseline", "auc"))
 
 
@@ -133,3 +165,40 @@ _option_signal("level-reversion", entryAtr=2.0)
 _option_signal("maxpain-magnet", maxDte=100_000.0, minDistanceAtr=0.5)
 _option_signal("flow-momentum", minBullRatio=0.5, minVelocity=0.0)
 _option_signal("flow-at-level", entryAtr=2.0, minBullRatio=0.4, requireReclaim=0)
+
+
+# -- one model a key, against the same Newton steps in SQL ----------------------------------------
+
+def _ship_rows(spark, sf):
+    l = tables.table(spark, sf, "lineitem")
+    return l.select(F.col("l_returnflag").alias("key"), F.col("l_quantity").cast("double").alias("x_quantity"), (F.col("l_extendedprice") > 40_000).cast("int").alias("label"))
+
+
+def _newton_sql(rounds: int = 9) -> str:
+    """Newton steps of one input and an intercept, written out round by round."""
+    parts = ["""r AS MATERIALIZED (SELECT key, y, (x - m)/s AS z, CASE WHEN y = 1 THEN n/(2*pos) ELSE n/(2*(n - pos)) END AS w FROM (SELECT l_returnflag AS key, l_quantity::DOUBLE AS x, (l_extendedprice > 40000)::INT AS y FROM lineitem)
+ JOIN (SELECT l_returnflag AS key, avg(l_quantity) AS m, stddev_samp(l_quantity) AS s, count(*)::DOUBLE AS n, sum((l_extendedprice > 40000)::INT)::DOUBLE AS pos FROM lineitem GROUP BY ALL) USING (key))""",
+             "n0 AS (SELECT DISTINCT key, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM r)"]
+    for k in range(rounds):
+        parts.append(f"""n{k + 1} AS MATERIALIZED (SELECT key, a - (h22*g1 - h12*g2)/(h11*h22 - h12*h12) AS a, b - (h11*g2 - h12*g1)/(h11*h22 - h12*h12) AS b FROM (
+ SELECT key, any_value(a) AS a, any_value(b) AS b, sum(w*(p - y)) AS g1, sum(w*(p - y)*z) + any_value(b) AS g2, sum(w*p*(1-p)) AS h11, sum(w*p*(1-p)*z) AS h12, sum(w*p*(1-p)*z*z) + 1 AS h22 FROM (SELECT *, 1/(1 + exp(-(a + b*z))) AS p FROM r JOIN n{k} USING (key)) GROUP BY key))""")
+    return "WITH " + ",\n".join(parts) + f"\nSELECT key, n, {R('a')} AS intercept, {R('b')} AS weight, true AS settled FROM n{rounds} JOIN (SELECT l_returnflag AS key, count(*) AS n FROM lineitem GROUP BY ALL) USING (key)"
+
+
+@query("model_keyed_fit", _newton_sql())
+def model_keyed_fit(spark, sf):
+    """A model of each ship mode, all fitted at once; the slopes left at the optimum are next to nothing."""
+    m = ML.keyed_fit(_ship_rows(spark, sf), ["key"], ["x_quantity"])
+    return m.select("key", "n", r6(F.get("weights", F.lit(0)), "intercept"), r6(F.get("weights", F.lit(1)), "weight"), (F.col("gradient") < 1e-6).alias("settled"))
+
+
+def _dated(spark, sf):
+    l = tables.table(spark, sf, "lineitem")
+    return l.select(F.col("l_returnflag").alias("key"), F.col("l_shipdate").cast("timestamp").alias("t"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("double").alias("x_quantity"), (F.col("l_extendedprice") > 40_000).cast("int").alias("label"))
+
+
+@query("model_fold_report", """WITH r AS (SELECT l_returnflag AS key, (l_extendedprice > 40000)::INT AS y, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem),
+f AS (SELECT key, least(i*4//n, 3)::INT AS fold, count(*) AS test_rows, sum(y) AS p FROM r GROUP BY ALL)
+SELECT key, fold, train_rows::BIGINT AS train_rows, train_positives::BIGINT AS train_positives, test_rows, test_rows < 10 OR train_positives = 0 OR train_positives = train_rows AS skipped FROM (SELECT *, sum(test_rows) OVER w AS train_rows, sum(p) OVER w AS train_positives FROM f WINDOW w AS (PARTITION BY key ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE fold > 0""")
+def model_fold_report(spark, sf):
+    return ML.fold_report(ML.fold_table(_dated(spark, sf), "t", 3, ["key"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]), folds=3, keys=["key"])

@@ -6,7 +6,7 @@ from ..functions import clock, scalars as S
 from ..operators import indicators as I, structure as X
 from ..sources import tables
 from . import bar_queries  # noqa: F401  (registers the bar CTEs)
-from .registry import R, Rs, cte, query, r6, r6s, sql
+from .registry import CTES, SQL, R, Rs, cte, query, r6, r6s, sql
 
 cte("wb", """SELECT *, row_number() OVER (PARTITION BY series, win ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY series, win) AS n FROM
  (SELECT series, t, t//864000000 AS win, open, high, low, close, atr FROM ba14)""", "ba14")
@@ -27,8 +27,8 @@ def L(c, n=None):
 @query("fair_value_gaps", sql(f"""SELECT series, win, i, direction, band_low, band_high, {R('filled')} AS filled, n-1-i AS age_bars FROM (SELECT *, CASE WHEN direction='BULLISH' THEN coalesce(least(greatest((band_high-deep)/(band_high-band_low),0),1),0) ELSE coalesce(least(greatest((tall-band_low)/(band_high-band_low),0),1),0) END AS filled FROM (
  SELECT *, CASE WHEN ph < nl THEN 'BULLISH' ELSE 'BEARISH' END AS direction, CASE WHEN ph < nl THEN ph ELSE nh END AS band_low, CASE WHEN ph < nl THEN nl ELSE pl END AS band_high FROM (
  SELECT *, lag(high) OVER w AS ph, lag(low) OVER w AS pl, lead(high) OVER w AS nh, lead(low) OVER w AS nl, min(low) OVER f AS deep, max(high) OVER f AS tall FROM wb WINDOW w AS ({PW}), f AS ({PW} ROWS BETWEEN 2 FOLLOWING AND UNBOUNDED FOLLOWING)) WHERE ph < nl OR pl > nh)) WHERE filled < 1""", "wb"))
-def fair_value_gaps(spark, sf):
-    return X.fair_value_gaps(_win(spark, sf)).select("series", "win", L("i"), "direction", "band_low", "band_high", r6("filled"), L("age_bars"))
+def fair_value_gaps(spark, sf, windows=_win):
+    return X.fair_value_gaps(windows(spark, sf)).select("series", "win", L("i"), "direction", "band_low", "band_high", r6("filled"), L("age_bars"))
 
 
 @query("order_blocks", sql(f"""SELECT b.series, b.win, b.j AS block_i, b.up, b.band_low, b.band_high, {R('abs(b.body)/b.atr')} AS body_atr, br AS broken_i, tested_i, (SELECT min(x.i) FROM wb x WHERE x.series=b.series AND x.win=b.win AND x.i > br AND x.low <= band_high AND x.high >= band_low) AS breaker_i FROM (
@@ -36,14 +36,14 @@ def fair_value_gaps(spark, sf):
  SELECT b.*, (SELECT min(x.i) FROM wb x WHERE x.series=b.series AND x.win=b.win AND x.i > b.i AND CASE WHEN b.up THEN x.close < band_low ELSE x.close > band_high END) AS br FROM (
  SELECT d.series, d.win, d.i, d.n, d.body, d.atr, d.body > 0 AS up, d.j, c.low AS band_low, c.high AS band_high FROM (SELECT *, close-open AS body, CASE WHEN close > open THEN dj ELSE uj END AS j FROM (SELECT *, max(CASE WHEN close < open THEN i END) OVER p AS dj, max(CASE WHEN close > open THEN i END) OVER p AS uj FROM wb WINDOW p AS ({PW} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE atr > 0 AND abs(close-open) > 1.0*atr) d
  JOIN wb c ON c.series=d.series AND c.win=d.win AND c.i=d.j QUALIFY row_number() OVER (PARTITION BY d.series, d.win, d.j ORDER BY d.i) = 1) b) b) b""", "wb"))
-def order_blocks(spark, sf):
-    d = X.order_blocks(_win(spark, sf), 1.0)
+def order_blocks(spark, sf, windows=_win):
+    d = X.order_blocks(windows(spark, sf), 1.0)
     return d.select("series", "win", L("block_i"), (F.col("direction") == "BULLISH").alias("up"), "band_low", "band_high", r6("body_atr"), L("broken_i"), L("tested_i"), L("breaker_i"))
 
 
 @query("confirmed_swings", sql("SELECT series, win, pos AS \"at\", confirmed, hs AS high_side, price FROM wsw", "wsw"))
-def confirmed_swings(spark, sf):
-    return X.confirmed_swings(_win(spark, sf)).select("series", "win", L("at"), L("confirmed"), "high_side", "price")
+def confirmed_swings(spark, sf, windows=_win):
+    return X.confirmed_swings(windows(spark, sf)).select("series", "win", L("at"), L("confirmed"), "high_side", "price")
 
 
 POOL_REC = """pl AS (SELECT series, win, hs, r, price, confirmed, pos, a, price AS base, 1 AS pool FROM sw WHERE r = 1
@@ -56,29 +56,46 @@ cte("sw", """SELECT w.*, coalesce(b.atr, l.la) AS a, row_number() OVER (PARTITIO
 @query("liquidity_pools", sql(f"""SELECT p.series, p.win, CASE WHEN p.hs THEN 'EQUAL_HIGHS' ELSE 'EQUAL_LOWS' END AS kind, {Rs('price', 'band_low', 'band_high', 'spread_atr')}, members,
  (SELECT min(x.i) FROM wb x WHERE x.series=p.series AND x.win=p.win AND x.i > p.newest AND CASE WHEN p.hs THEN x.high > p.band_high ELSE x.low < p.band_low END) AS swept_i FROM (
  SELECT series, win, hs, pool, avg(price) AS price, min(price) AS band_low, max(price) AS band_high, count(*) AS members, max(confirmed) AS newest, CASE WHEN count(*) > 1 THEN (max(price)-min(price))/arg_max(a, confirmed) END AS spread_atr FROM pl GROUP BY ALL) p""", "sw", "wb", recursive=POOL_REC))
-def liquidity_pools(spark, sf):
-    return X.liquidity_pools(_win(spark, sf), "1h").select("series", "win", "kind", *r6s("price", "band_low", "band_high", "spread_atr"), "members", L("swept_i"))
+def liquidity_pools(spark, sf, windows=_win):
+    return X.liquidity_pools(windows(spark, sf), "1h").select("series", "win", "kind", *r6s("price", "band_low", "band_high", "spread_atr"), "members", L("swept_i"))
 
 
 @query("period_extremes", sql("""SELECT p.series, p.win, p.period, p.side, p.price, p.at_t, p.bars, p.last_i = p.n-1 AS forming,
  (SELECT min(x.i) FROM wb x WHERE x.series=p.series AND x.win=p.win AND x.i > p.last_i AND CASE WHEN p.side='HIGH' THEN x.high > p.price ELSE x.low < p.price END) AS swept_i FROM (
  SELECT series, win, (t-5*3600000)//86400000 AS period, 'HIGH' AS side, max(high) AS price, arg_max(t, {'h': high, 'i': i}) AS at_t, count(*) AS bars, max(i) AS last_i, any_value(n) AS n FROM wb GROUP BY ALL
  UNION ALL SELECT series, win, (t-5*3600000)//86400000, 'LOW', min(low), arg_max(t, {'h': -low, 'i': i}), count(*), max(i), any_value(n) FROM wb GROUP BY ALL) p""", "wb"))
-def period_extremes(spark, sf):
-    d = X.period_extremes(_win(spark, sf), clock.ny_day("time"))
+def period_extremes(spark, sf, windows=_win):
+    d = X.period_extremes(windows(spark, sf), clock.ny_day("time"))
     return d.select("series", "win", L("period"), "side", "price", S.ms("formed_at").alias("at_t"), "bars", (F.col("state") == "FORMING").alias("forming"), L("swept_i"))
 
 
 @query("activity_profile", sql(f"""SELECT series, win, {Rs('poc', 'bucket_size', 'activity')}, buckets FROM (SELECT series, win, any_value(lo)+arg_min(b, {{'t': -total, 'b': b}})*any_value(size)+any_value(size)/2 AS poc, any_value(size) AS bucket_size, sum(total) AS activity, any_value(buckets) AS buckets FROM (
  SELECT series, win, lo, size, buckets, b, count(*) AS total FROM (SELECT w.series, w.win, lo, size, buckets, unnest(range(least(floor((low-lo)/size), buckets-1)::BIGINT, least(floor((high-lo)/size), buckets-1)::BIGINT+1)) AS b FROM wb w JOIN (
   SELECT *, floor((hi-lo)/size)::BIGINT+1 AS buckets FROM (SELECT series, win, min(low) AS lo, max(high) AS hi, arg_max(atr, i) FILTER (atr IS NOT NULL)/4.0 AS size FROM wb GROUP BY ALL) WHERE size > 0) g USING (series, win)) GROUP BY ALL) GROUP BY series, win)""", "wb"))
-def activity_profile(spark, sf):
-    return X.activity_profile(_win(spark, sf)).select("series", "win", *r6s("poc", "bucket_size", "activity"), "buckets")
+def activity_profile(spark, sf, windows=_win):
+    return X.activity_profile(windows(spark, sf)).select("series", "win", *r6s("poc", "bucket_size", "activity"), "buckets")
 
 
-@query("activity_value_area")
-def activity_value_area(spark, sf):
-    return X.activity_profile(_win(spark, sf)).select("series", "win", *r6s("vah", "val", "activity_in_area"), L("poc_age"))
+cte("act", """SELECT series, win, lo, size, buckets, b, count(*) AS total, min(i) AS first, any_value(last) AS last FROM (SELECT w.series, w.win, w.i, lo, size, buckets, last, unnest(range(least(floor((low-lo)/size), buckets-1)::BIGINT, least(floor((high-lo)/size), buckets-1)::BIGINT+1)) AS b FROM wb w JOIN (
+  SELECT *, floor((hi-lo)/size)::BIGINT+1 AS buckets FROM (SELECT series, win, min(low) AS lo, max(high) AS hi, max(i) AS last, arg_max(atr, i) FILTER (atr IS NOT NULL)/4.0 AS size FROM wb GROUP BY ALL) WHERE size > 0) g USING (series, win)) GROUP BY ALL""", "wb")
+cte("actpoc", "SELECT series, win, arg_min(b, {'t': -total, 'b': b}) AS poc, max(total)::DOUBLE AS acc, 0.7*sum(total) AS target, any_value(buckets) AS buckets FROM act GROUP BY series, win", "act")
+AREA_REC = """area AS (SELECT series, win, poc AS lo, poc AS hi, acc, target, buckets FROM actpoc
+ UNION ALL SELECT r.series, r.win, CASE WHEN up THEN lo ELSE lo-1 END, CASE WHEN up THEN hi+1 ELSE hi END, acc + CASE WHEN up THEN above ELSE below END, target, buckets FROM (
+  SELECT r.*, CASE WHEN r.lo > 0 THEN coalesce(x.total, 0) ELSE -1 END AS below, CASE WHEN r.hi < r.buckets-1 THEN coalesce(y.total, 0) ELSE -1 END AS above, above >= below AS up
+  FROM area r LEFT JOIN act x ON x.series = r.series AND x.win = r.win AND x.b = r.lo-1 LEFT JOIN act y ON y.series = r.series AND y.win = r.win AND y.b = r.hi+1
+  WHERE r.acc < r.target AND (r.lo > 0 OR r.hi < r.buckets-1)) r)"""
+
+
+@query("activity_value_area", sql(f"""SELECT series, win, {R('a.lo + (r.hi+1)*a.size')} AS vah, {R('a.lo + r.lo*a.size')} AS val, {R('r.acc')} AS activity_in_area, a.last - a.first AS poc_age
+ FROM (SELECT * FROM area QUALIFY row_number() OVER (PARTITION BY series, win ORDER BY hi-lo DESC) = 1) r JOIN actpoc p USING (series, win) JOIN act a ON a.series = r.series AND a.win = r.win AND a.b = p.poc""", "wb", "act", "actpoc", recursive=AREA_REC))
+def activity_value_area(spark, sf, windows=_win):
+    return X.activity_profile(windows(spark, sf)).select("series", "win", *r6s("vah", "val", "activity_in_area"), L("poc_age"))
+
+
+@query("activity_runs", sql("SELECT series, win, count(*) AS buckets_spanned, sum(total)::DOUBLE AS activity, max(total)::DOUBLE AS most FROM act GROUP BY series, win", "act"))
+def activity_runs(spark, sf, windows=_win):
+    r = X.activity_runs(windows(spark, sf)).filter("total > 0")
+    return r.groupBy("series", "win").agg(F.sum(F.col("stop") - F.col("start")).alias("buckets_spanned"), F.sum(F.col("total") * (F.col("stop") - F.col("start"))).alias("activity"), F.max("total").alias("most"))
 
 
 STRUCT_REC = """ms AS (
@@ -94,20 +111,57 @@ cte("wst", f"""SELECT *, CASE WHEN hp > hpp AND lp > lpp THEN 1 WHEN hp < hpp AN
 
 
 @query("market_structure", sql("SELECT series, win, i, kind, CASE WHEN up THEN 'BULLISH' ELSE 'BEARISH' END AS direction, price AS broke_price, CASE label WHEN 1 THEN 'UP' WHEN -1 THEN 'DOWN' ELSE 'RANGE' END AS structure_after FROM ms WHERE kind IS NOT NULL", "wst", recursive=STRUCT_REC))
-def market_structure(spark, sf):
-    return X.market_structure(_win(spark, sf)).select("series", "win", L("i"), "kind", "direction", "broke_price", "structure_after")
+def market_structure(spark, sf, windows=_win):
+    return X.market_structure(windows(spark, sf)).select("series", "win", L("i"), "kind", "direction", "broke_price", "structure_after")
 
 
 @query("dealing_range", sql(f"""SELECT series, win, high, low, {R('(high+low)/2')} AS equilibrium, {R('(close-low)/(high-low)')} AS fraction, hid AS high_swing_id, CASE WHEN (close-low)/(high-low) > 0.5 THEN 'PREMIUM' WHEN (close-low)/(high-low) < 0.5 THEN 'DISCOUNT' ELSE 'EQUILIBRIUM' END AS zone FROM (
  SELECT series, win, arg_max(price, pos) FILTER (hs) AS high, arg_max(price, pos) FILTER (NOT hs) AS low, '1h-hi-' || (arg_max(at_t, pos) FILTER (hs)) AS hid FROM wsw GROUP BY ALL) JOIN (SELECT series, win, arg_max(close, i) AS close FROM wb GROUP BY ALL) USING (series, win) WHERE high > low""", "wsw", "wb"))
-def dealing_range(spark, sf):
-    return X.dealing_range(_win(spark, sf), "1h").select("series", "win", "high", "low", *r6s("equilibrium", "fraction"), "high_swing_id", "zone")
+def dealing_range(spark, sf, windows=_win):
+    return X.dealing_range(windows(spark, sf), "1h").select("series", "win", "high", "low", *r6s("equilibrium", "fraction"), "high_swing_id", "zone")
+
+
+# the same tables over the last ten trading days; days of hourly bars are counted from the first bar after a weekend
+cte("wt", """SELECT * EXCLUDE (wk, slice, day), row_number() OVER (PARTITION BY series, win ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY series, win) AS n FROM (SELECT *, max(day) OVER (PARTITION BY series) AS win FROM (
+ SELECT *, dense_rank() OVER (PARTITION BY series ORDER BY wk, slice) - 1 AS day FROM (SELECT *, (t - min(t) OVER (PARTITION BY series, wk))//86400000 AS slice FROM (
+  SELECT series, t, open, high, low, close, atr, sum(CASE WHEN t - before > 172800000 THEN 1 ELSE 0 END) OVER (PARTITION BY series ORDER BY t) AS wk FROM (SELECT *, lag(t) OVER (PARTITION BY series ORDER BY t) AS before FROM ba14))))) WHERE day > win - 10""", "ba14")
+
+
+def _last_days(spark, sf):
+    return X.trading_windows(I.with_atr(tables.bars(spark, sf)), 3_600_000, 10)
+
+
+#: Tables of the report as registered above over windows of ten days, each with its name in the report.
+REPORT = {"activity_profile": activity_profile, "activity_value_area": activity_value_area, "fair_value_gaps": fair_value_gaps, "order_blocks": order_blocks,
+          "liquidity_pools": liquidity_pools, "period_extremes": period_extremes, "market_structure": market_structure, "dealing_range": dealing_range}
+
+
+def _register_report():
+    for name, fn in REPORT.items():
+        statement = SQL[name]
+        assert CTES["wb"][1] in statement
+        query(f"levels_report_{name}", statement.replace(CTES["wb"][1], CTES["wt"][1]))(lambda spark, sf, fn=fn: fn(spark, sf, _last_days))
+
+
+_register_report()
+
+
+cte("td", """SELECT *, dense_rank() OVER (PARTITION BY series ORDER BY wk, slice) - 1 AS day FROM (SELECT *, (t - min(t) OVER (PARTITION BY series, wk))//86400000 AS slice FROM (
+ SELECT series, t, high, low, sum(CASE WHEN t - before > 172800000 THEN 1 ELSE 0 END) OVER (PARTITION BY series ORDER BY t) AS wk FROM (SELECT *, lag(t) OVER (PARTITION BY series ORDER BY t) AS before FROM ba14)))""", "ba14")
+
+
+@query("levels_report_each_day", sql("SELECT d.series, d.day AS win, count(*) AS bars, min(w.low) AS lowest, max(w.high) AS highest, count(DISTINCT w.day) AS days FROM (SELECT DISTINCT series, day FROM td) d JOIN td w ON w.series = d.series AND w.day BETWEEN d.day - 9 AND d.day GROUP BY d.series, d.day", "td"))
+def levels_report_each_day(spark, sf):
+    """Sliding windows: one as of every trading day, over its last ten."""
+    d = X.trading_windows(I.with_atr(tables.bars(spark, sf)), 3_600_000, 10, each=True)
+    return d.groupBy("series", "win").agg(F.count(F.lit(1)).alias("bars"), F.min("low").alias("lowest"), F.max("high").alias("highest"), F.countDistinct("day").alias("days"))
 
 
 @query("levels_report")
 def levels_report(spark, sf):
+    """Rows of every table of the report; the tables themselves are the queries above."""
     out = None
-    for name, d in X.levels_report(I.with_atr(tables.bars(spark, sf)), "1h").items():
+    for name, d in X.levels_report(I.with_atr(tables.bars(spark, sf)), "1h", 3_600_000).items():
         one = d.groupBy("series", "win").agg(F.count(F.lit(1)).alias("rows")).withColumn("table", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out

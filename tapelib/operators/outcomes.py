@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import clock, scalars as S
 from ..plans.longseries import fsm, materialize
+from ..plans.pyramid import Pyramid
 
 
 @dataclass(frozen=True)
@@ -22,78 +23,63 @@ class Rules:
     contract_size: float = 100.0
 
 
-#: Bars that one pass of the search looks through.
-SEARCH_BLOCK = 256
-
-
 def first_touch(signals: DataFrame, bars: DataFrame, rules: Rules = Rules(), atr: str = "atr", flags: DataFrame | None = None) -> DataFrame:
     """One outcome per signal, independent of other signals, at a fixed 1R size.
 
     Entry at the next bar's open plus half the spread.  From the entry bar on: the stop is checked before the
     target, a gap fills at the open, a bar later than ``max_hold_ms`` closes the trade (0: never), and the last bar of
     the series closes what is open then.  ``bars`` need ``atr``; ``flags`` (series, idx, cell, exit_long, exit_short)
-    close at the open after the flagged bar.
-
-    Bars are gathered into blocks.  A trade searches the block of its entry; only trades still open go on to the next
-    block, however far that leads, so no signal x bar rows are formed and no trade is cut short."""
-    half, side = rules.spread / 2.0, F.col("side")
-    d = signals.join(bars.select("series", "idx", F.col(atr).alias("_atr")), ["series", "idx"])
+    close at the open after the flagged bar.  Signals with ``self_managed`` have no stop, target or clock: flags or the last bar
+    close them, and a stop is their unit of risk only.  A ``reward_risk`` of 0 sets no target.
+
+    Stop, target and clock are bounds on one side each, so one climb through a pyramid of extremes finds the bar where the
+    first of them is met, and another its excursions, in as many joins as the pyramid has levels, however long a trade lasts."""
+    half, side, long = rules.spread / 2.0, F.col("side"), F.col("side") == 1
+    d = signals if "self_managed" in signals.columns else signals.withColumn("self_managed", F.lit(False))
+    d = d.join(bars.select("series", "idx", F.col(atr).alias("_atr")), ["series", "idx"])
     d = d.join(bars.select("series", (F.col("idx") - 1).alias("idx"), F.col("time").alias("entry_time"), F.col("open").alias("_open")), ["series", "idx"])
     d = d.withColumn("entry_price", F.col("_open") + side * half)
+    # an own stop, else one from the ATR; a trade that manages itself has it as a unit of risk only
     d = d.withColumn("stop", F.coalesce("stop", F.col("entry_price") - side * F.col("_atr") * rules.stop_atr))
     d = d.withColumn("risk", F.abs(F.col("entry_price") - F.col("stop"))).filter(F.col("risk") > 0)
-    d = d.withColumn("target", F.coalesce("target", F.col("entry_price") + side * F.col("risk") * rules.reward_risk))
-    trades = d.select("series", "cell", "idx", "side", "entry_time", "entry_price", "stop", "target", "risk", F.floor((F.col("idx") + 1) / SEARCH_BLOCK).alias("_blk"), F.lit(0).alias("_n"),
-                      F.lit(None).cast("double").alias("_top"), F.lit(None).cast("double").alias("_low"), F.lit(None).cast("timestamp").alias("_time"), F.lit(None).cast("double").alias("_close"))
-    bar = F.struct("idx", "time", "open", "high", "low", "close")
-    blocks = materialize(bars.groupBy("series", F.floor(F.col("idx") / SEARCH_BLOCK).alias("_blk")).agg(F.array_sort(F.collect_list(bar)).alias("_a")), "blocks")
-    exits = None
+    usual = F.when(~F.col("self_managed") & F.lit(rules.reward_risk != 0), F.col("entry_price") + side * F.col("risk") * rules.reward_risk)
+    d = d.withColumn("target", F.coalesce("target", usual))
+    trades = materialize(d.select("series", "cell", "idx", "side", "entry_time", "entry_price", "stop", "target", "risk", "self_managed"), "trades")
+    tower = Pyramid(bars.withColumn("_ms", S.ms("time")), ["series"], {"top": ("high", "max"), "low": ("low", "min"), "ms": ("_ms", "max")})
+
+    def ends(x: Column) -> Column:
+        no = F.lit(False)
+        stop = F.when(long, x["low"] <= F.col("stop")).otherwise(x["top"] >= F.col("stop"))
+        target = F.when(long, x["top"] >= F.col("target")).otherwise(x["low"] <= F.col("target"))
+        late = x["ms"] - S.ms("entry_time") > rules.max_hold_ms if rules.max_hold_ms > 0 else no
+        return ~F.col("self_managed") & (F.coalesce(stop, no) | F.coalesce(target, no) | late)
+
+    d = tower.first(trades, F.col("idx") + 1, ends, "_met")
     if flags is not None:
-        at = F.col("idx") + 1
-        exits = flags.filter("exit_long or exit_short").groupBy("series", "cell", F.floor(at / SEARCH_BLOCK).alias("_blk")).agg(
-            F.array_sort(F.collect_list(F.when(F.col("exit_long"), at))).alias("_fl"), F.array_sort(F.collect_list(F.when(F.col("exit_short"), at))).alias("_fs"))
-        exits = materialize(exits, "exits")
-    done = None
-    while True:
-        step = materialize(_search(trades, blocks, exits, rules), "touched")
-        closed = step.filter("exit_kind IS NOT NULL")
-        done = closed if done is None else done.unionByName(closed)
-        trades = step.filter("exit_kind IS NULL").select(*trades.columns)
-        if trades.isEmpty():
-            return _measured(done, rules)
-
-
-def _search(trades: DataFrame, blocks: DataFrame, exits: DataFrame | None, rules: Rules) -> DataFrame:
-    """Look through one block: sets ``exit_kind, exit_time, _exit`` of trades that end there, and moves the others on."""
-    long = F.col("side") == 1
-    d = trades.join(blocks, ["series", "_blk"], "left").withColumn("_w", F.coalesce(F.filter("_a", lambda x: x["idx"] > F.col("idx")), F.array().cast(blocks.schema["_a"].dataType))).drop("_a")
-    d = d.join(exits, ["series", "cell", "_blk"], "left") if exits is not None else d.withColumn("_fl", F.lit(None).cast("array<bigint>")).withColumn("_fs", F.col("_fl"))
-    at = lambda j: F.get("_w", j)
-    places = F.when(F.size("_w") > 0, F.sequence(F.lit(0), F.size("_w") - 1))
-
-    def first(condition):
-        return F.get(F.filter(places, lambda j: condition(at(j))), F.lit(0))
-
-    stop = first(lambda x: F.when(long, x["low"] <= F.col("stop")).otherwise(x["high"] >= F.col("stop")))
-    target = first(lambda x: F.when(long, x["high"] >= F.col("target")).otherwise(x["low"] <= F.col("target")))
-    late = first(lambda x: S.ms(x["time"]) - S.ms("entry_time") > rules.max_hold_ms) if rules.max_hold_ms > 0 else F.lit(None).cast("int")
-    flagged = F.get(F.filter(F.when(long, F.col("_fl")).otherwise(F.col("_fs")), lambda i: i > F.col("idx") + 1), F.lit(0)) - at(F.lit(0))["idx"]
-    d = d.select("*", stop.alias("_sj"), target.alias("_tj"), late.alias("_lj"), F.when(flagged < F.size("_w"), flagged.cast("int")).alias("_xj"))
-    d = d.withColumn("_j", F.least("_sj", "_tj", "_lj", "_xj"))
-    kind = (F.when(F.size("_w") == 0, "END_OF_DATA").when(F.col("_xj") == F.col("_j"), "SIGNAL").when(F.col("_sj") == F.col("_j"), "STOP").when(F.col("_tj") == F.col("_j"), "TARGET").when(F.col("_lj") == F.col("_j"), "TIMEOUT"))
-    x = at(F.col("_j"))
-    through = F.when(long, F.least(x["open"], F.col("stop"))).otherwise(F.greatest(x["open"], F.col("stop")))
-    beyond = F.when(long, F.greatest(x["open"], F.col("target"))).otherwise(F.least(x["open"], F.col("target")))
+        mark = lambda c: F.when(F.col(c), 1.0).otherwise(0.0)
+        marked = flags.filter("exit_long or exit_short").select("series", "cell", "idx", mark("exit_long").alias("long"), mark("exit_short").alias("short"))
+        d = Pyramid(marked, ["series", "cell"], {"long": ("long", "max"), "short": ("short", "max")}).first(d, F.col("idx") + 1, lambda x: F.when(long, x["long"]).otherwise(x["short"]) > 0, "_flag")
+        d = d.withColumn("_flag", F.col("_flag") + 1)
+    else:
+        d = d.withColumn("_flag", F.lit(None).cast("long"))
+    last = bars.groupBy("series").agg(F.max("idx").alias("_last"))
+    d = d.join(last, "series").withColumn("_flag", F.when(F.col("_flag") <= F.col("_last"), F.col("_flag")))
+    d = d.withColumn("_x", F.coalesce(F.least("_met", "_flag"), "_last"))
+    d = d.join(bars.select("series", F.col("idx").alias("_x"), *[F.col(c).alias(f"_x_{c}") for c in ("time", "open", "high", "low", "close")]), ["series", "_x"])
+    bar = {c: F.col(f"_x_{c}") for c in ("time", "open", "high", "low", "close")}
+    stopped = F.when(long, bar["low"] <= F.col("stop")).otherwise(bar["high"] >= F.col("stop"))
+    reached = F.when(long, bar["high"] >= F.col("target")).otherwise(bar["low"] <= F.col("target"))
+    open_end = F.col("_met").isNull() & F.col("_flag").isNull()
+    kind = F.when(open_end, "END_OF_DATA").when(F.col("_flag") == F.col("_x"), "SIGNAL").when(stopped, "STOP").when(reached, "TARGET").otherwise("TIMEOUT")
+    through = F.when(long, F.least(bar["open"], F.col("stop"))).otherwise(F.greatest(bar["open"], F.col("stop")))
+    beyond = F.when(long, F.greatest(bar["open"], F.col("target"))).otherwise(F.least(bar["open"], F.col("target")))
     d = d.withColumn("exit_kind", kind)
-    price = (F.when(F.col("exit_kind") == "END_OF_DATA", F.col("_close")).when(F.col("exit_kind") == "SIGNAL", x["open"]).when(F.col("exit_kind") == "STOP", through)
-             .when(F.col("exit_kind") == "TARGET", beyond).when(F.col("exit_kind") == "TIMEOUT", x["close"]))
-    held = F.slice("_w", 1, F.coalesce(F.col("_j"), F.size("_w")))  # the bars before the exit bar
-    last = F.element_at("_w", -1)
-    return d.select("series", "cell", "idx", "side", "entry_time", "entry_price", "stop", "target", "risk", (F.col("_blk") + 1).alias("_blk"), "exit_kind", price.alias("_exit"),
-                    F.when(F.col("exit_kind") == "END_OF_DATA", F.col("_time")).otherwise(x["time"]).alias("exit_time"),
-                    (F.col("_n") + F.when(F.size("_w") == 0, 0).otherwise(F.coalesce(F.col("_j") + 1, F.size("_w")))).alias("_n"),
-                    F.greatest("_top", F.array_max(F.transform(held, lambda v: v["high"]))).alias("_top"), F.least("_low", F.array_min(F.transform(held, lambda v: v["low"]))).alias("_low"),
-                    F.when(F.size("_w") > 0, last["time"]).otherwise(F.col("_time")).alias("_time"), F.when(F.size("_w") > 0, last["close"]).otherwise(F.col("_close")).alias("_close"))
+    price = F.when(F.col("exit_kind") == "SIGNAL", bar["open"]).when(F.col("exit_kind") == "STOP", through).when(F.col("exit_kind") == "TARGET", beyond).otherwise(bar["close"])
+    d = d.withColumn("_exit", price).withColumn("exit_time", bar["time"]).withColumn("_n", F.col("_x") - F.col("idx"))
+    d = d.drop(*[f"_x_{c}" for c in bar])
+    # excursions of the bars before the exit bar; the last bar of the series counts where it ended the trade
+    d = tower.extremes(d, F.col("idx") + 1, F.col("_x") + F.when(open_end, 1).otherwise(0), {"top": "_top", "low": "_low"})
+    return _measured(d, rules)
 
 
 def _measured(done: DataFrame, rules: Rules) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A strategy is a rule over the columns of one bar and a bounded number of earlier bars.  ``signals`` evaluates
 any number of (strategy, parameters) cells in one pass: indicators of all cells are computed once, then every
-cell is one struct per bar.  Output rows: series, idx, time, cell, side (1 / -1), stop, target; a NULL stop or
-target is left to the outcome rules.  ``exit_flags`` gives the strategy's own exit conditions per bar."""
+cell is one struct per bar.  Output rows: series, idx, time, cell, self_managed, side (1 / -1), stop, target; a NULL stop or
+target is left to the outcome rules, and self-managed trades have neither: their strategy's exit flags close them.  ``exit_flags`` gives the strategy's own exit conditions per bar."""
 
 from __future__ import annotations
 
@@ -575,7 +575,7 @@ def signals(bars: DataFrame, cells: list[tuple[str, str, dict]], companion: Data
                 side = F.when(live & F.coalesce(r["long"], F.lit(False)), 1).when(live & F.coalesce(r["short"], F.lit(False)), -1)
                 pick = lambda n, r=r, side=side: F.when(side == 1, r.get(f"{n}_long", null)).when(side == -1, r.get(f"{n}_short", null))
                 no = F.lit(False)
-                cols.append(F.struct(F.lit(name).alias("cell"), side.alias("side"), pick("stop").alias("stop"), pick("target").alias("target"),
+                cols.append(F.struct(F.lit(name).alias("cell"), F.lit(s.exits == "strategy").alias("self_managed"), side.alias("side"), pick("stop").alias("stop"), pick("target").alias("target"),
                                      F.coalesce(r.get("exit_long", no), no).alias("exit_long"), F.coalesce(r.get("exit_short", no), no).alias("exit_short")).alias(f"_c{j}"))
             x = x.select("series", "idx", "time", "_blk", *cols)
             return x.select("series", "idx", "time", "_blk", F.inline(F.array(*[f"_c{j}" for j in range(len(group))])))
@@ -626,7 +626,8 @@ def sweep_chain(bars: DataFrame, step_ms: int, **params) -> DataFrame:
     ahead = p["maxBarsFvgToEntry"]
     left = _first(zoned, d, "gap_idx", ahead, F.col("b.close") > F.col("s.top"), "left_idx")
     entered = _first(left, d, "gap_idx", ahead, F.col("b.high") >= F.col("s.entry"), "idx")
-    entered = entered.filter((F.col("idx") < F.col("gone")) & (F.col("left_idx").isNull() | (F.col("idx") < F.col("left_idx"))))
+    # the first touch is spent whether or not it comes early, but an entry is at least four bars after the sweep
+    entered = entered.filter((F.col("idx") >= F.col("sweep_idx") + 4) & (F.col("idx") < F.col("gone")) & (F.col("left_idx").isNull() | (F.col("idx") < F.col("left_idx"))))
     stop = F.col("extreme") + p["slBufferPips"] * pip
     sign = -F.col("side")
     rows = entered.select("series", "idx", "side", "sweep_idx", (sign * stop).alias("stop"), (sign * (F.col("entry") + (F.col("entry") - stop) * p["riskReward"])).alias("target"))

@@ -6,15 +6,18 @@ and look-ups are bounded however long a series is.  Bias labels run over whole s
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import clock, scalars as S
-from ..plans.longseries import blocked, carry, scan
+from ..plans.longseries import blocked, carry, materialize, scan
+from ..plans.pyramid import Pyramid
 from . import indicators as I
-from .profile import value_area_expr
+from .bars import with_runs
 
 KEY = ["series", "win"]
-MAX_BUCKETS = 5_000
 
 
 def report_windows(bars: DataFrame, days: int = 10) -> DataFrame:
@@ -24,25 +27,44 @@ def report_windows(bars: DataFrame, days: int = 10) -> DataFrame:
     return d.select("*", (F.row_number().over(w.orderBy("time")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
 
 
-def _w():
-    return Window.partitionBy(*KEY).orderBy("i")
-
-
-def _arrays(d: DataFrame) -> DataFrame:
-    """One row per window with its bars as parallel arrays (index i at position i + 1)."""
-    a = d.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("i", "time", "high", "low", "close"))).alias("_b"))
-    return a.select(*KEY, *[F.col(f"_b.{c}").alias(f"_{c}") for c in ("time", "high", "low", "close")])
+# fixed values: a hole longer than this ends a trading day; bars of an hour and more do not show the daily hole, so their days
+# are counted from the first bar after a weekend
+DAY_GAP_MS, DAILY_HOLE_MS, WEEKEND_MS, DAY_MS = 45 * 60_000, 60 * 60_000, 2 * 86_400_000, 86_400_000
+
+
+def trading_days(bars: DataFrame, step_ms: int, name: str = "day") -> DataFrame:
+    """Adds the dense number of each bar's trading day in its series."""
+    if step_ms < DAILY_HOLE_MS:
+        return with_runs(bars, DAY_GAP_MS, name)
+    d = with_runs(bars, WEEKEND_MS, "_week")
+    first = d.groupBy("series", "_week").agg(F.min(S.ms("time")).alias("_t0"))
+    d = d.join(first, ["series", "_week"]).withColumn("_slice", F.floor((S.ms("time") - F.col("_t0")) / DAY_MS))
+    days = d.select("series", "_week", "_slice").distinct()  # one row a day: bounded by the calendar
+    days = days.withColumn(name, F.row_number().over(Window.partitionBy("series").orderBy("_week", "_slice")).cast("long") - 1)
+    return d.join(days, ["series", "_week", "_slice"]).drop("_week", "_slice", "_t0")
+
+
+def trading_windows(bars: DataFrame, step_ms: int, days: int = 10, each: bool = False) -> DataFrame:
+    """Report windows of the last ``days`` trading days of each series (fewer where it has fewer); ``win`` is the number of the
+    window's last day.  With ``each`` there is a window for every trading day: a day's bars are in ``days`` of them."""
+    d = trading_days(bars, step_ms)
+    top = d.groupBy("series").agg(F.max("day").alias("_top"))
+    d = d.join(top, "series")
+    if each:
+        d = d.withColumn("win", F.explode(F.sequence(F.col("day"), F.least(F.col("day") + days - 1, F.col("_top")))))
+    else:
+        d = d.filter(F.col("day") > F.col("_top") - days).withColumn("win", F.col("_top"))
+    w = Window.partitionBy(*KEY)
+    return d.drop("_top").select("*", (F.row_number().over(w.orderBy("time")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
 
 
-def _first(after: Column, cond) -> Column:
-    """Smallest position > ``after`` (0-based) whose bar satisfies ``cond(pos)``."""
-    n = F.size("_time")
-    seq = F.when(after + 1 <= n - 1, F.sequence((after + 1).cast("int"), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_min(F.filter(seq, cond))
+def _w():
+    return Window.partitionBy(*KEY).orderBy("i")
 
 
-def _at(name: str, pos: Column) -> Column:
-    return F.get(F.col(f"_{name}"), pos)
+def _tower(d: DataFrame) -> Pyramid:
+    """Extremes of a window's bars by position, for look-ups of the first later bar beyond a price."""
+    return Pyramid(d, KEY, {"top": ("high", "max"), "low": ("low", "min"), "most": ("close", "max"), "least": ("close", "min")}, idx="i")
 
 
 def fair_value_gaps(d: DataFrame) -> DataFrame:
@@ -81,12 +103,11 @@ def order_blocks(d: DataFrame, k: float = 1.5, atr: str = "atr") -> DataFrame:
     x = x.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") == 1)
     x = x.select(*KEY, "i", "n", "up", "_body", "_atr", F.col("time").alias("displaced_at"), F.col("c.i").alias("block_i"),
                  F.col("c.time").alias("formed_at"), F.col("c.low").alias("band_low"), F.col("c.high").alias("band_high"))
-    x = x.join(_arrays(d), KEY)
-    inside = lambda p: (_at("low", p) <= F.col("band_high")) & (_at("high", p) >= F.col("band_low"))
-    x = x.withColumn("broken_i", _first(F.col("i"), lambda p: F.when(F.col("up"), _at("close", p) < F.col("band_low"))
-                                        .otherwise(_at("close", p) > F.col("band_high"))))
-    x = x.withColumn("tested_i", _first(F.col("i"), lambda p: inside(p) & (F.col("broken_i").isNull() | (p < F.col("broken_i")))))
-    x = x.withColumn("breaker_i", F.when(F.col("broken_i").isNotNull(), _first(F.col("broken_i"), inside)))
+    tower = _tower(d)
+    inside = lambda b: (b["low"] <= F.col("band_high")) & (b["top"] >= F.col("band_low"))
+    x = tower.first(materialize(x, "order-blocks"), F.col("i") + 1, lambda b: F.when(F.col("up"), b["least"] < F.col("band_low")).otherwise(b["most"] > F.col("band_high")), "broken_i")
+    x = tower.first(x, F.col("i") + 1, inside, "tested_i", until=F.col("broken_i") - 1)
+    x = tower.first(x, F.col("broken_i") + 1, inside, "breaker_i")
     state = (F.when(F.col("breaker_i").isNotNull(), "BREAKER").when(F.col("broken_i").isNotNull(), "BROKEN")
              .when(F.col("tested_i").isNotNull(), "TESTED").otherwise("UNTESTED"))
     return x.select(*KEY, "block_i", "formed_at", F.when(F.col("up"), "BULLISH").otherwise("BEARISH").alias("direction"),
@@ -119,28 +140,25 @@ def liquidity_pools(d: DataFrame, timeframe: str, tolerance_atr: float = 0.1, le
     a = d.select(*KEY, F.col("i").alias("confirmed"), F.coalesce(F.when(F.col(atr) > 0, F.col(atr)), last).alias("_a"))
     s = confirmed_swings(d, left, right).join(a, [*KEY, "confirmed"])
     key = [*KEY, "high_side"]
-    g = s.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("price", "at", "at_time", "confirmed", "n", F.col("_a").alias("a")))).alias("m"))
-
-    def join_pool(acc, x):
-        new = acc["base"].isNull() | (x["price"] - acc["base"] > F.coalesce(x["a"] * tolerance_atr, F.lit(0.0)))
-        pid = F.when(new, acc["id"] + 1).otherwise(acc["id"])
-        return F.struct(F.when(new, x["price"]).otherwise(acc["base"]).alias("base"), pid.alias("id"),
-                        F.concat(acc["ids"], F.array(pid)).alias("ids"))
-
-    start = F.struct(F.lit(None).cast("double").alias("base"), F.lit(0).alias("id"), F.array().cast("array<int>").alias("ids"))
-    ids = F.aggregate("m", start, join_pool)["ids"]
-    x = g.select(*key, F.inline(F.zip_with("m", ids, lambda v, q: F.struct(
-        v["price"].alias("price"), v["at"].alias("at"), v["at_time"].alias("at_time"), v["confirmed"].alias("confirmed"),
-        v["n"].alias("n"), v["a"].alias("a"), q.alias("pool")))))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in s.schema.fields)
+
+    def pools(rows: pd.DataFrame) -> pd.DataFrame:
+        """Swings of one window and side in order of price: a pool ends where the next is too far above its lowest price."""
+        rows = rows.sort_values(["price", "at"])
+        base, pool, ids = None, 0, []
+        for price, a in zip(rows["price"].tolist(), rows["_a"].tolist()):
+            if base is None or price - base > (a * tolerance_atr if a == a else 0.0):
+                base, pool = price, pool + 1
+            ids.append(pool)
+        return rows.assign(pool=ids)
+
+    x = s.groupBy(*key).applyInPandas(pools, kinds + ", pool int").withColumnRenamed("_a", "a")
     p = x.groupBy(*key, "pool").agg(
         F.avg("price").alias("price"), F.min("price").alias("band_low"), F.max("price").alias("band_high"),
         F.min("at").alias("first_at"), F.min("at_time").alias("formed_at"), F.max("confirmed").alias("newest"), F.count(F.lit(1)).alias("members"),
         F.max_by("a", "confirmed").alias("_a"), F.first("n").alias("n"),
         F.array_sort(F.collect_list(swing_id(timeframe, "high_side", "at_time"))).alias("swing_ids"))
-    p = p.join(_arrays(d), KEY)
-    swept = _first(F.col("newest"), lambda q: F.when(F.col("high_side"), _at("high", q) > F.col("band_high"))
-                   .otherwise(_at("low", q) < F.col("band_low")))
-    p = p.withColumn("swept_i", swept)
+    p = _tower(d).first(materialize(p, "pools"), F.col("newest") + 1, lambda b: F.when(F.col("high_side"), b["top"] > F.col("band_high")).otherwise(b["low"] < F.col("band_low")), "swept_i")
     return p.select(*KEY, F.when(F.col("high_side"), "EQUAL_HIGHS").otherwise("EQUAL_LOWS").alias("kind"), "price", "band_low", "band_high",
                     "formed_at", "members", "swing_ids", F.when(F.col("members") > 1, F.try_divide(F.col("band_high") - F.col("band_low"), F.col("_a"))).alias("spread_atr"),
                     "swept_i", F.when(F.col("swept_i").isNotNull(), "SWEPT").otherwise("RESTING").alias("state"),
@@ -159,36 +177,78 @@ def period_extremes(d: DataFrame, period: Column) -> DataFrame:
         one = g.select(*KEY, "period", F.lit("HIGH" if side == "h" else "LOW").alias("side"), F.col(f"{side}.{price}").alias("price"),
                        F.col(f"{side}.time").alias("formed_at"), F.col(f"{side}.i").alias("at"), "start", "end", "last_i", "bars", "n")
         rows = one if rows is None else rows.unionByName(one)
-    rows = rows.join(_arrays(d), KEY)
-    swept = _first(F.col("last_i"), lambda q: F.when(F.col("side") == "HIGH", _at("high", q) > F.col("price")).otherwise(_at("low", q) < F.col("price")))
-    return rows.select(*KEY, "period", "side", "price", "formed_at", "start", "end", "bars", swept.alias("swept_i"),
+    rows = _tower(d).first(materialize(rows, "extremes"), F.col("last_i") + 1, lambda b: F.when(F.col("side") == "HIGH", b["top"] > F.col("price")).otherwise(b["low"] < F.col("price")), "swept_i")
+    return rows.select(*KEY, "period", "side", "price", "formed_at", "start", "end", "bars", "swept_i",
                        F.when(F.col("last_i") == F.col("n") - 1, "FORMING").otherwise("COMPLETE").alias("state"),
                        (F.col("n") - 1 - F.col("at")).alias("age_bars"))
 
 
-def activity_profile(d: DataFrame, per_atr: float = 4.0, pct: float = 0.7, atr: str = "atr") -> DataFrame:
-    """Time at price: each bar adds one to every bucket of ATR / ``per_atr`` it spans.
-
-    Windows needing more than MAX_BUCKETS buckets, or without an ATR, give no profile."""
+def _area_of_runs(start: list, stop: list, total: list, pct: float) -> tuple[int, int, int, float]:
+    """Point of control and value area (poc, lowest, highest bucket, activity) of runs of equal buckets without holes: from the
+    lowest busiest bucket on, the busier neighbour is taken, the upper one on ties, as many buckets of a run at once as
+    would be taken one by one."""
+    left = right = max(range(len(total)), key=lambda k: (total[k], -k))
+    lo = hi = start[left]
+    acc, target = total[left], sum(t * (b - a) for a, b, t in zip(start, stop, total)) * pct
+    while acc < target:
+        down = left if lo > start[left] else left - 1
+        up = right if hi + 1 < stop[right] else right + 1
+        below, above = (total[down] if down >= 0 else -1.0), (total[up] if up < len(total) else -1.0)
+        value = max(below, above)
+        if value < 0:
+            break
+        room = stop[up] - hi - 1 if above >= below else lo - start[down]
+        take = room if value == 0 else min(room, max(1, math.ceil((target - acc) / value)))
+        if take > 1 and acc + (take - 1) * value >= target:
+            take -= 1
+        acc += take * value
+        if above >= below:
+            hi, right = hi + take, up
+        else:
+            lo, left = lo - take, down
+    return start[max(range(len(total)), key=lambda k: (total[k], -k))], lo, hi, acc
+
+
+def activity_runs(d: DataFrame, per_atr: float = 4.0, atr: str = "atr") -> DataFrame:
+    """Time at price: each bar adds one to every bucket of ATR / ``per_atr`` it spans.  One row per run of buckets that as many
+    bars span: ``start`` (inclusive), ``stop`` (exclusive), ``total``; windows without an ATR have none.
+
+    A bar is two events, one more at its lowest bucket and one less after its highest; running sums over a window's events
+    are the profile.  So a window costs as much as it has bars, however many buckets its range is cut into."""
     g = d.groupBy(*KEY).agg(F.min("low").alias("lo"), F.max("high").alias("hi"), F.max("i").alias("last"),
                             F.max_by(atr, F.when(F.col(atr).isNotNull(), F.col("i"))).alias("_a"))
     g = g.withColumn("size", F.col("_a") / per_atr).filter(F.col("size") > 0)
-    g = g.withColumn("buckets", F.floor((F.col("hi") - F.col("lo")) / F.col("size")) + 1).filter(F.col("buckets") <= MAX_BUCKETS + 1)
+    g = g.withColumn("buckets", F.floor((F.col("hi") - F.col("lo")) / F.col("size")) + 1).drop("hi", "_a")
     x = d.filter(F.col("high") >= F.col("low")).join(g, KEY)
     pos = lambda c: F.least(F.floor((F.col(c) - F.col("lo")) / F.col("size")), F.col("buckets") - 1)
-    x = x.select(*KEY, "i", "lo", "size", "buckets", "last", F.explode(F.sequence(pos("low"), pos("high"))).alias("b"))
-    x = x.groupBy(*KEY, "lo", "size", "buckets", "last", "b").agg(F.count(F.lit(1)).cast("double").alias("total"), F.min("i").alias("touch"))
-    p = x.groupBy(*KEY, "lo", "size", "buckets", "last").agg(
-        F.map_from_entries(F.collect_list(F.struct("b", "total"))).alias("_m"), F.map_from_entries(F.collect_list(F.struct("b", "touch"))).alias("_t"),
-        F.sum("total").alias("activity"))
-    rows = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("buckets") - 1), lambda k: F.struct(
-        k.alias("x"), F.coalesce(F.try_element_at("_m", k), F.lit(0.0)).alias("total")))
-    p = p.withColumn("_v", value_area_expr(rows, pct))
+    edge = lambda at, by: F.struct(at.alias("b"), F.lit(by).alias("by"))
+    x = x.select(*KEY, "lo", "size", "buckets", "last", F.explode(F.array(edge(pos("low"), 1.0), edge(pos("high") + 1, -1.0))).alias("e"))
+    x = x.groupBy(*KEY, "lo", "size", "buckets", "last", F.col("e.b").alias("start")).agg(F.sum("e.by").alias("by"))
+    w = Window.partitionBy(*KEY).orderBy("start")
+    x = x.withColumn("total", F.sum("by").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("stop", F.lead("start").over(w))
+    return x.filter(F.col("stop").isNotNull()).drop("by")
+
+
+def activity_profile(d: DataFrame, per_atr: float = 4.0, pct: float = 0.7, atr: str = "atr") -> DataFrame:
+    """Point of control and value area of the time spent at price (see :func:`activity_runs`), for any number of buckets.
+
+    ``poc_age``: bars since the first one that spans the bucket of the point of control."""
+    runs = activity_runs(d, per_atr, atr)
+
+    def area(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("start")
+        poc, lo, hi, acc = _area_of_runs(rows["start"].tolist(), rows["stop"].tolist(), rows["total"].tolist(), pct)
+        first = rows.iloc[:1][[*KEY, "lo", "size", "buckets", "last"]]
+        return first.assign(_poc=poc, _low=lo, _high=hi, activity=float((rows["total"] * (rows["stop"] - rows["start"])).sum()), acc=acc)
+
+    kinds = ", ".join(f"`{c}` {runs.schema[c].dataType.simpleString()}" for c in (*KEY, "lo", "size", "buckets", "last"))
+    p = materialize(runs.groupBy(*KEY).applyInPandas(area, f"{kinds}, _poc long, _low long, _high long, activity double, acc double"), "areas")
+    at = p.select(*KEY, "_poc", "lo", "size", "buckets")
+    pos = lambda c: F.least(F.floor((F.col(c) - F.col("lo")) / F.col("size")), F.col("buckets") - 1)
+    first = d.filter(F.col("high") >= F.col("low")).join(at, KEY).filter((pos("low") <= F.col("_poc")) & (pos("high") >= F.col("_poc"))).groupBy(*KEY).agg(F.min("i").alias("_first"))
     edge = lambda k: F.col("lo") + k * F.col("size")
-    v = lambda f: F.col(f"_v.{f}").cast("bigint") - 1
-    age = lambda k: F.col("last") - F.coalesce(F.try_element_at("_t", k), F.col("last"))
-    return p.select(*KEY, (edge(v("poc")) + F.col("size") / 2.0).alias("poc"), edge(v("hi") + 1).alias("vah"), edge(v("lo")).alias("val"),
-                    age(v("poc")).alias("poc_age"), F.col("size").alias("bucket_size"), "buckets", "activity", F.col("_v.acc").alias("activity_in_area"))
+    return p.join(first, KEY).select(*KEY, (edge(F.col("_poc")) + F.col("size") / 2.0).alias("poc"), edge(F.col("_high") + 1).alias("vah"), edge(F.col("_low")).alias("val"),
+                                     (F.col("last") - F.col("_first")).alias("poc_age"), F.col("size").alias("bucket_size"), "buckets", "activity", F.col("acc").alias("activity_in_area"))
 
 
 def market_structure(d: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
@@ -240,12 +300,13 @@ def dealing_range(d: DataFrame, timeframe: str, left: int = 2, right: int = 2) -
         "zone", F.when(F.col("fraction") > 0.5, "PREMIUM").when(F.col("fraction") < 0.5, "DISCOUNT").otherwise("EQUILIBRIUM"))
 
 
-def levels_report(bars: DataFrame, timeframe: str, days: int = 10) -> dict[str, DataFrame]:
-    """Every level table of every report window; ``bars`` need the column ``atr``."""
-    d = report_windows(bars, days)
+def levels_report(bars: DataFrame, timeframe: str, step_ms: int, days: int = 10, each: bool = False) -> dict[str, DataFrame]:
+    """Every level table over the last ``days`` trading days (``each``: as of every trading day); ``bars`` need the column ``atr``."""
+    d = materialize(trading_windows(bars, step_ms, days, each), "windows")  # read by every table
     return {"profile": activity_profile(d), "fair_value_gaps": fair_value_gaps(d), "order_blocks": order_blocks(d),
             "pools": liquidity_pools(d, timeframe), "structure": market_structure(d), "dealing_range": dealing_range(d, timeframe),
-            "extremes": period_extremes(d, clock.ny_day("time"))}
+            "extremes": period_extremes(d, clock.ny_day("time")), "weeks": period_extremes(d, clock.broker_week("time")),
+            "sessions": period_extremes(d, clock.session_index("time"))}
 
 
 # -- bias labels over whole series ----------------------------------------------------------------

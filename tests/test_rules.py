@@ -3,12 +3,13 @@
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tapelib.functions import clock, scalars as S
-from tapelib.operators import flow, indicators as I, levels, metrics as M, outcomes as O, profile, signals as G, stats as X, timeline as TL
+from tapelib.operators import flow, indicators as I, levels, metrics as M, outcomes as O, profile, signals as G, stats as X, structure as X2, timeline as TL
 from tapelib.plans.longseries import with_index
 from tapelib.sources import bar_store, payloads, tables, tape as store
 
@@ -115,6 +116,81 @@ def test_timeline_equals_a_rescan(spark, sf):
             pd.testing.assert_series_equal(mine[c][both].astype(float), naive[c][both].astype(float), check_names=False)
 
 
+def test_large_print_levels_at_every_step_equal_a_rescan(spark, sf):
+    """Levels of all steps, carried ones included, and empty steps: half-day steps over daily prints."""
+    cfg = flow.BigPrints(min_premium=60_000.0, min_contracts=10.0, window=8)
+    p = tables.prints(spark, sf).filter("timestamp < '1995-09-01'")
+    d = TL.with_steps(p, 43_200_000)
+    clock = TL.step_clock(d).toPandas().set_index("step").sort_index()
+    assert list(clock.index) == list(range(int(clock.index.max()) + 1)) and clock.as_of.is_monotonic_increasing
+    got = TL.whale_steps(d, TL.step_clock(d), cfg).toPandas().set_index(["symbol", "step"])
+    rows = d.select("symbol", "step", "timestamp", "sequence_id", "strike", "option_type", "contracts", "premium_usd", "aggressor_side").toPandas().sort_values(["timestamp", "sequence_id"])
+    checked = 0
+    for symbol, mine in rows.groupby("symbol"):
+        sup = res = None
+        for step in range(int(mine.step.min()), int(clock.index.max()) + 1):
+            past = mine[mine.step <= step]
+            thr = min(np.quantile(past.premium_usd.tail(cfg.window), cfg.percentile), cfg.min_premium)
+            big = past[(past.premium_usd >= thr) & (past.contracts >= cfg.min_contracts)]
+            q = big.contracts * big.aggressor_side.map({"BUY": 1, "SELL": -1}).fillna(0)
+            spot, best = clock.spot[step], {"PUT": [], "CALL": []}
+            for (strike, kind), g in big.groupby(["strike", "option_type"]):
+                net = float(q[g.index].sum())
+                at = big[big.strike == strike]
+                if net > 0 and (strike <= spot if kind == "PUT" else strike >= spot):
+                    best[kind].append((net, max(zip(at.timestamp, at.sequence_id)), strike))
+            sup, res = (max(best["PUT"])[2] if best["PUT"] else sup), (max(best["CALL"])[2] if best["CALL"] else res)
+            r = got.loc[symbol, step]
+            assert (r.w_sup if r.w_sup == r.w_sup else None, r.w_res if r.w_res == r.w_res else None) == (sup, res), (symbol, step)
+            checked += 1
+    assert checked == len(got) > 500 and got.w_sup.notna().any()
+
+
+def test_timeline_settings_are_honoured_or_refused(spark, sf):
+    from tapelib.operators.levels import Settings
+    p = tables.prints(spark, sf).filter("timestamp < '1995-06-01'")
+    with pytest.raises(ValueError, match="no running form of whale"):
+        TL.step_contexts(p, 86_400_000, Settings(whale="largest-print"))
+    assert TL.step_thresholds(TL.with_steps(p, 86_400_000), ["market"], flow.BigPrints(percentile=None)).agg(F.min("threshold")).first()[0] == math.inf
+
+
+def test_activity_profile_with_any_number_of_buckets(spark):
+    """Windows of far more than thousands of buckets, and of few, against a count bucket by bucket."""
+    rnd = random.Random(8)
+    rows = []
+    for win, scale in ((0, 0.002), (1, 0.7), (2, 5.0)):
+        px = 100.0
+        for i in range(60):
+            px += rnd.gauss(0, 1)
+            lo = px - rnd.random()
+            rows.append(("s", win, i, lo, lo + rnd.random() * 2, scale * 4))
+    d = spark.createDataFrame(rows, "series string, win long, i long, low double, high double, atr double")
+    got = {r.win: r for r in X2.activity_profile(d).collect()}
+    assert max(r.buckets for r in got.values()) > 5_000
+    for win, r in got.items():
+        mine = [x for x in rows if x[1] == win]
+        size, low = mine[-1][5] / 4, min(x[3] for x in mine)
+        n = int((max(x[4] for x in mine) - low) // size) + 1
+        count, first = [0] * n, [None] * n
+        for _, _, i, lo, hi, _ in mine:
+            for b in range(min(int((lo - low) // size), n - 1), min(int((hi - low) // size), n - 1) + 1):
+                count[b] += 1
+                first[b] = i if first[b] is None else first[b]
+        poc = count.index(max(count))
+        a = b = poc
+        acc, target = count[poc], sum(count) * 0.7
+        while acc < target and (a > 0 or b < n - 1):
+            below, above = count[a - 1] if a else -1, count[b + 1] if b < n - 1 else -1
+            if above >= below:
+                b += 1
+                acc += above
+            else:
+                a -= 1
+                acc += below
+        assert (r.buckets, r.activity, r.activity_in_area, r.poc_age) == (n, sum(count), acc, 59 - first[poc])
+        assert math.isclose(r.vah, low + (b + 1) * size) and math.isclose(r.val, low + a * size) and math.isclose(r.poc, low + poc * size + size / 2)
+
+
 def test_drawdown_composes_over_days(spark):
     rnd = random.Random(5)
     rows, eq, peak, dd = [], 0.0, 0.0, 0.0
