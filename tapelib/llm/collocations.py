@@ -35,7 +35,7 @@ MOST_SLOTS = 1 << 26
 #: Slots in one file of a filter.
 BLOCK = 1 << 18
 #: Bytes of text whose phrases are summed before they leave the task.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 3 << 20
 #: Bytes of a shard's text for each part of the range of hashes; a part's counts are summed in one task's memory.
 PART_BYTES = 2 << 20
 #: Shares of a language that are ranked before the language is.
@@ -270,6 +270,7 @@ def _exact_counts(texts: DataFrame, filters: Filters, longest: int) -> DataFrame
                     parts = [known.take(pa.array(ids[at + k])) for k in range(size)]
                     phrases = pc.binary_join_element_wise(*parts, pa.scalar(" ", kind)) if size > 1 else parts[0]
                     yield _rows(names.take(pa.array(lang[at])), phrases.cast(pa.string()), size, times)
+                pa.default_memory_pool().release_unused()
 
     rows = texts.mapInArrow(count, "lang string, size int, phrase string, c long")
     return rows.groupBy("lang", "size", "phrase").agg(F.sum("c").alias("c"))
@@ -289,7 +290,7 @@ def phrase_counts(df: DataFrame, longest: int = 3, least: int = 10, lang_col: st
 
     Plan: texts are written once by shard; each is read as often as its phrases of different lengths start late, at most once a
     length, and once at the end.  Arrays of hashes and counts are shuffled by parts of the range of hashes, whose number grows
-    with the texts; a phrase is one entry for 8 MB of text, so frequent phrases are no hot keys.
+    with the texts; a phrase is one entry for 3 MB of text, so frequent phrases are no hot keys.
     Counts of a step are removed once all its phrases have seen every shard.
     """
     spark = df.sparkSession
