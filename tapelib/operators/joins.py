@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import ms
 from ..plans.asof import asof
+from ..plans.longseries import blocked, carry
 
-__all__ = ["asof", "open_at", "at_horizon", "pair", "blackout", "fine_in_coarse", "with_grid", "grid", "step_lookup"]
+__all__ = ["asof", "open_at", "at_horizon", "pair", "pair_table", "all_pairs", "stale", "union_intervals", "inside", "blackout", "fine_in_coarse", "with_grid", "grid", "step_lookup"]
 
 
 def open_at(left: DataFrame, bars: DataFrame, tolerance_ms: int, time: str = "time") -> DataFrame:
@@ -30,6 +31,48 @@ def pair(a: DataFrame, b: DataFrame, cols=("open", "high", "low", "close")) -> D
     return x.join(b.select("time", *[F.col(c).alias(f"b_{c}") for c in cols]), "time")
 
 
+def pair_table(bars: DataFrame, pairs: DataFrame, cols=("open", "high", "low", "close")) -> DataFrame:
+    """Every pair of instruments of ``pairs`` (series, a, b) in one join on (pair, time): ``series`` is the pair's name, the legs'
+    columns start with ``a_`` and ``b_``.  A leg's bars are copied once for each pair that it is in."""
+    def leg(side):
+        of = pairs.select("series", F.col(side).alias("_leg"))
+        return bars.select(F.col("series").alias("_leg"), "time", *[F.col(c).alias(f"{side}_{c}") for c in cols]).join(of, "_leg").drop("_leg")
+    return leg("a").join(leg("b"), ["series", "time"])
+
+
+def all_pairs(bars: DataFrame) -> DataFrame:
+    """Each unordered pair of instruments, in order of name; a table of instruments, not of bars."""
+    names = bars.select("series").distinct()
+    a, b = names.select(F.col("series").alias("a")), names.select(F.col("series").alias("b"))
+    return a.join(b, F.col("a") < F.col("b")).select(F.concat_ws("/", "a", "b").alias("series"), "a", "b")
+
+
+def stale(bars: DataFrame, n: int = 1) -> DataFrame:
+    """The same bars with the quotes of ``n`` bars before: a venue whose prices arrive late, as a control."""
+    cols = [c for c in ("open", "high", "low", "close") if c in bars.columns]
+    d = blocked(bars, ["series"], lambda x, f: x.select(*[c for c in bars.columns if c not in cols], "_blk", *[f.lag(c, n).alias(c) for c in cols]), back=n)
+    return d.filter(F.col(cols[-1]).isNotNull())
+
+
+def union_intervals(rows: DataFrame, keys: list[str], start: str, stop: str) -> DataFrame:
+    """Disjoint intervals that cover the same time as half-open [start, stop) ones; touching ones become one.
+
+    A new interval begins where no earlier one reaches: the latest stop before is a running maximum, carried over blocks."""
+    from ..plans.longseries import with_index
+    d = rows.select(*keys, F.col(start).alias("start"), F.col(stop).alias("stop")).filter(F.col("stop") > F.col("start"))
+    d = with_index(d, keys, ["start", "stop"], F.floor(ms("start") / 86_400_000))
+    d = carry(d, keys, {"_reach": ("max", "stop")}, inclusive=False)
+    d = d.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach")), 1).otherwise(0))
+    d = carry(d, keys, {"_run": ("sum", "_new")})
+    return d.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_run")
+
+
+def inside(rows: DataFrame, intervals: DataFrame, keys: list[str], name: str, time: str = "time") -> DataFrame:
+    """Flag rows whose time lies in one of the disjoint half-open ``intervals``: the last one begun has not ended."""
+    d = asof(rows, intervals, keys, time, "start", ["stop"], prefix="_")
+    return d.withColumn(name, F.coalesce(F.col(time) < F.col("_stop"), F.lit(False))).select(*rows.columns, name)
+
+
 def blackout(rows: DataFrame, calendar: DataFrame, before_ms: int, after_ms: int, min_impact: int,
              currencies: list[str], time: str = "time") -> DataFrame:
     """Flag rows inside [event - before, event + after) of a relevant event.

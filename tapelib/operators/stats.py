@@ -208,7 +208,11 @@ def follow_through(bars: DataFrame, breaks: DataFrame, horizon_ms: int, toleranc
 
 def pair_residual(a: DataFrame, b: DataFrame, beta_bars: int, dev_bars: int, z_bars: int, series: str = "pair") -> DataFrame:
     """Causal beta of b on a, residual of b's move over ``dev_bars``, and its z against its own past spread."""
-    j = J.pair(a, b, ("open", "close")).withColumn("series", F.lit(series))
+    return pair_residuals(J.pair(a, b, ("open", "close")).withColumn("series", F.lit(series)), beta_bars, dev_bars, z_bars)
+
+
+def pair_residuals(j: DataFrame, beta_bars: int, dev_bars: int, z_bars: int) -> DataFrame:
+    """The same for every pair of a pair table (see :func:`joins.pair_table`)."""
     j = with_index(j, KEY, ["time"], F.floor(S.ms("time") / (86_400_000 * 30)))
 
     def cols(d, f):
@@ -239,7 +243,11 @@ def pair_cells(res: DataFrame, thresholds, horizons) -> DataFrame:
 
 def venue_residual(dealer: DataFrame, ecn: DataFrame, step_ms: int, markup_bars: int, z_bars: int, series: str = "venue") -> DataFrame:
     """Skew in bp between two venues, lagged rolling-median markup, residual z, freshness and range."""
-    j = J.pair(dealer, ecn).withColumn("series", F.lit(series))
+    return venue_residuals(J.pair(dealer, ecn).withColumn("series", F.lit(series)), step_ms, markup_bars, z_bars)
+
+
+def venue_residuals(j: DataFrame, step_ms: int, markup_bars: int, z_bars: int) -> DataFrame:
+    """The same for every pair of a pair table."""
     j = with_index(j, KEY, ["time"], F.floor(S.ms("time") / (86_400_000 * 30)))
 
     def cols(d, f):
