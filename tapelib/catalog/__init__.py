@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("tape", "bar_queries", "structure_queries", "signal_queries", "stat_queries", "filter_queries", "feature_queries", "source_queries")
+MODULES = ("tape", "bar_queries", "structure_queries", "signal_queries", "stat_queries", "filter_queries", "feature_queries", "source_queries", "store_queries")
 
 
 def all_queries():

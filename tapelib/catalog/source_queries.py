@@ -75,7 +75,7 @@ def calendar_merge(spark, sf):
 @query("tape_store_range", sql("SELECT count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM (SELECT id, min(t) AS t FROM prints WHERE ts >= TIMESTAMP '1998-01-01' AND ts < TIMESTAMP '1999-01-01' GROUP BY id)", "prints"))
 def tape_store_range(spark, sf):
     root = f"{scratch_dir(spark)}/tape-{uuid.uuid4().hex}"
-    p = store.conform(tables.prints(spark, sf)).filter((F.col("timestamp") >= "1997-12-01") & (F.col("timestamp") < "1999-02-01"))
+    p = store.conform(tables.prints(spark, sf))
     store.append_tape(p, root)
     return store.read_range(spark, root, "1998-01-01", "1999-01-01").agg(F.count(F.lit(1)).alias("n"), F.min(S.ms("timestamp")).alias("first_t"), F.max(S.ms("timestamp")).alias("last_t"))
 
@@ -173,13 +173,14 @@ def stream_collected(spark, sf):
     return streams.collected_prints(spark, root, "id string, timestamp timestamp, value double, date date").select("id", S.ms("timestamp").alias("t"), "value")
 
 
-@query("stream_append_unseen", sql("SELECT count(*) AS n FROM (SELECT DISTINCT event_id FROM events)"))
+@query("stream_append_unseen", sql("SELECT event_id::VARCHAR AS id, epoch_us(min(ts))//1000 AS t FROM events GROUP BY event_id"))
 def stream_unseen(spark, sf):
+    """Two polls of the same rows: the second sees nothing new."""
     root = f"{scratch_dir(spark)}/unseen-{uuid.uuid4().hex}"
     e = _stream(spark, sf, "events").select(F.col("event_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("timestamp"), "value")
-    for k in (1, 2):  # the second poll sees nothing new
+    for k in (1, 2):
         streams.append_unseen(e, root, f"{root}-state{k}").awaitTermination()
-    return spark.read.schema("id string, timestamp timestamp, value double, date date").parquet(root).agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.schema("id string, timestamp timestamp, value double, date date").parquet(root).select("id", S.ms("timestamp").alias("t"))
 
 
 @query("stream_live_levels", sql("SELECT symbol, poc, vah, val, above_poc, under_poc, max_pain FROM plevels JOIN maxpain USING (market, symbol)", "plevels", "maxpain"))

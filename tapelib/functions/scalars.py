@@ -40,6 +40,11 @@ def from_ms(c) -> Column:
     return F.timestamp_millis(col(c))
 
 
+def is_synthetic(high="high", low="low") -> Column:
+    """A bar without a range of its own, as made from a single close."""
+    return col(high) == col(low)
+
+
 def finite(c) -> Column:
     """NULL instead of NaN or infinity."""
     c = col(c)

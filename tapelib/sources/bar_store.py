@@ -47,9 +47,10 @@ def server_bars_to_utc(rows: DataFrame, step_ms: int, now) -> DataFrame:
 
 # -- calendar -------------------------------------------------------------------------------------
 
-def read_calendar(spark: SparkSession, path: str) -> DataFrame:
-    """Columns found by name; rows without time or impact are dropped, negative impact is 0."""
-    d = spark.read.parquet(path)
+def read_calendar(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Columns found by name, Parquet or CSV with a header; rows without time or impact are dropped, negative impact is 0."""
+    d = spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.parquet(path)
+    d = d.withColumn("time", F.col("time").cast("timestamp"))
     opt = lambda c: F.col(c) if c in d.columns else F.lit(None).cast("string")
     d = d.select("time", opt("currency").alias("currency"), F.coalesce(opt("name"), F.lit("")).alias("name"), F.col("impact").cast("int").alias("impact"), opt("source").alias("source"))
     return d.na.drop(subset=["time", "impact"]).withColumn("impact", F.greatest("impact", F.lit(0)))
@@ -65,12 +66,18 @@ def _cell(i: int):
     return F.coalesce(F.get("c", F.lit(i)), F.lit(""))
 
 
-def _row(d: DataFrame, local, zone: str, currency: str, name, source: str) -> DataFrame:
-    return d.select(F.to_utc_timestamp(local, zone).alias("time"), F.lit(currency).alias("currency"), (name if not isinstance(name, str) else F.lit(name)).alias("name"),
-                    F.lit(3).alias("impact"), F.lit(source).alias("source")).filter(F.col("time").isNotNull())
+def _row(d: DataFrame, local, zone: str, currency: str, name, source: str, keep_undated: bool = False) -> DataFrame:
+    rows = d.select(F.to_utc_timestamp(local, zone).alias("time"), F.lit(currency).alias("currency"), (name if not isinstance(name, str) else F.lit(name)).alias("name"),
+                    F.lit(3).alias("impact"), F.lit(source).alias("source"))
+    return rows if keep_undated else rows.filter(F.col("time").isNotNull())
 
 
-def parse_fed(text: DataFrame) -> DataFrame:
+def dated(rows: DataFrame) -> DataFrame:
+    """(source, dated, undated): how many rows of a parser (``keep_undated=True``) have a time, and how many lines had none."""
+    return rows.groupBy("source").agg(F.count("time").alias("dated"), F.sum(F.col("time").isNull().cast("long")).alias("undated"))
+
+
+def parse_fed(text: DataFrame, keep_undated: bool = False) -> DataFrame:
     """month | days | type | statement | release header.  Scheduled meetings: last day 14:00 New York, a day
     range running backwards spills into the next month; unscheduled ones take the header's time or the date in
     the statement address at 14:00; cancelled entries are dropped."""
@@ -85,17 +92,17 @@ def parse_fed(text: DataFrame) -> DataFrame:
     stamp = F.concat(F.regexp_extract(_cell(4), head, 3), F.lit(" "), F.regexp_extract(_cell(4), head, 1), F.lit(" "), F.upper(F.regexp_extract(_cell(4), head, 2)), F.lit("M"))
     by_head = F.try_to_timestamp(stamp, F.lit("MMMM d, yyyy h:mm a"))
     by_address = two_pm(F.try_to_timestamp(F.regexp_extract(_cell(3), r"monetary(\d{8})", 1), F.lit("yyyyMMdd")).cast("date"))
-    return _row(d.filter(meet), two_pm(day), clock.NEW_YORK, "USD", "FOMC", "federalreserve").unionByName(
-        _row(d.filter(~meet), F.coalesce(by_head, by_address), clock.NEW_YORK, "USD", "FOMC (unscheduled)", "federalreserve"))
+    return _row(d.filter(meet), two_pm(day), clock.NEW_YORK, "USD", "FOMC", "federalreserve", keep_undated).unionByName(
+        _row(d.filter(~meet), F.coalesce(by_head, by_address), clock.NEW_YORK, "USD", "FOMC (unscheduled)", "federalreserve", keep_undated))
 
 
-def parse_bls(text: DataFrame) -> DataFrame:
+def parse_bls(text: DataFrame, keep_undated: bool = False) -> DataFrame:
     """name | reference | 'Month d, yyyy' (weekday allowed in front) | 'hh:mm AM'."""
     d = _lines(text)
     date = F.regexp_replace(_cell(2), r"^[A-Za-z]+,\s*", "")
     local = F.try_to_timestamp(F.concat(date, F.lit(" "), F.upper(_cell(3))), F.lit("MMMM d, yyyy h:mm a"))
     name = F.when(_cell(0).startswith("Consumer Price Index"), "US CPI").when(_cell(0).startswith("Employment Situation"), "US Employment Situation (NFP)")
-    return _row(d.filter(name.isNotNull()), local, clock.NEW_YORK, "USD", name, "bls")
+    return _row(d.filter(name.isNotNull()), local, clock.NEW_YORK, "USD", name, "bls", keep_undated)
 
 
 def parse_extra(text: DataFrame, label: str, currency: str, source: str) -> tuple[DataFrame, DataFrame]:
@@ -130,4 +137,4 @@ def merge_calendar(rows: DataFrame, new: DataFrame) -> DataFrame:
 
 def write_calendar(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
     d = assert_schema(rows.withColumn("impact", F.col("impact").cast("int")), CALENDAR).dropDuplicates(["time", "currency", "name"])
-    d.sortWithinPartitions("time").write.mode("overwrite").format(fmt).option("header", True).save(path)
+    d.sortWithinPartitions("time").write.mode("overwrite").format(fmt).option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").save(path)

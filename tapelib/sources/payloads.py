@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars as S
+from ..schema import PRINTS
 
 
 def columns_to_rows(df: DataFrame, arrays: list[str], keep: list[str] = []) -> DataFrame:
@@ -12,6 +13,23 @@ def columns_to_rows(df: DataFrame, arrays: list[str], keep: list[str] = []) -> D
     return df.select(*keep, F.inline(F.arrays_zip(*[F.col(a).alias(a) for a in arrays])))
 
 
+def tape_documents(prints: DataFrame, keys: list[Column]) -> DataFrame:
+    """One JSON line of parallel arrays, one for each column of the tape, for each value of ``keys``, which bound a document's
+    length; times in milliseconds."""
+    cols = [S.ms(f.name).alias(f.name) if f.dataType.simpleString() == "timestamp" else F.col(f.name) for f in PRINTS]
+    g = prints.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.collect_list(F.struct(*cols)).alias("r"))
+    arrays = [F.transform("r", (lambda n: lambda x: x[n])(f.name)).alias(f.name) for f in PRINTS]
+    return g.select(F.to_json(F.struct(*arrays), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def read_tape_documents(lines: DataFrame) -> DataFrame:
+    """The prints of such lines."""
+    kind = lambda f: "bigint" if f.dataType.simpleString() == "timestamp" else f.dataType.simpleString()
+    d = lines.select(F.from_json("value", ", ".join(f"`{f.name}` array<{kind(f)}>" for f in PRINTS)).alias("d")).select("d.*")
+    rows = columns_to_rows(d, [f.name for f in PRINTS])
+    return rows.select(*[(S.from_ms(f.name) if f.dataType.simpleString() == "timestamp" else F.col(f.name)).alias(f.name) for f in PRINTS])
+
+
 def seconds_or_ms(c) -> Column:
     c = S.col(c)
     return F.when(c > 1e12, c).otherwise(c * 1000).cast("long")

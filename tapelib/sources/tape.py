@@ -12,7 +12,10 @@ LABELS = ("LC", "LP", "SC", "SP", "UNKNOWN")
 
 
 def read_tape(spark: SparkSession, path: str) -> DataFrame:
-    d = spark.read.schema(PRINTS).parquet(path)
+    return _labelled(spark.read.schema(PRINTS).parquet(path))
+
+
+def _labelled(d: DataFrame) -> DataFrame:
     return d.withColumn("flow_class", F.when(F.col("flow_class").isin(*LABELS), F.col("flow_class")).otherwise("UNKNOWN"))
 
 
@@ -41,11 +44,16 @@ def read_range(spark: SparkSession, root: str, start, stop) -> DataFrame:
     """Prints in [start, stop): day directories are pruned, the first stored copy of an id wins, time order."""
     d = spark.read.schema(T.StructType([*PRINTS.fields, T.StructField("date", T.DateType())])).parquet(root)
     d = d.filter((F.col("date") >= F.to_date(F.lit(start))) & (F.col("date") <= F.to_date(F.lit(stop))) & (F.col("timestamp") >= F.lit(start).cast("timestamp")) & (F.col("timestamp") < F.lit(stop).cast("timestamp")))
+    return _first_of_id(d).orderBy("timestamp", "id")
+
+
+def _first_of_id(d: DataFrame) -> DataFrame:
     cols = [f.name for f in PRINTS if f.name not in ("id", "date")]
-    d = d.withColumn("_file", F.input_file_name())
+    d = _labelled(d.withColumn("_file", F.input_file_name()))
     d = d.groupBy("id").agg(F.min_by(F.struct(*cols), F.struct("date", "_file", "timestamp")).alias("p"))
-    return d.select("id", "p.*").orderBy("timestamp", "id")
+    return d.select("id", "p.*")
 
 
 def read_all(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(PRINTS).parquet(root)
+    """The whole store, one row an id as in :func:`read_range`, in no order."""
+    return _first_of_id(spark.read.schema(T.StructType([*PRINTS.fields, T.StructField("date", T.DateType())])).parquet(root))

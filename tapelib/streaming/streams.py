@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as S
 from ..operators import flow, profile
 from ..operators.bars import resample
-from ..plans.longseries import carry
+from ..plans.longseries import carry, materialize
 from ..sources.payloads import kline_events
 
 
@@ -20,24 +22,39 @@ def collect_prints(prints: DataFrame, root: str, checkpoint: str, every: str | N
 
 
 def collected_prints(spark: SparkSession, root: str, schema) -> DataFrame:
-    """The store with one row per id."""
-    return spark.read.schema(schema).parquet(root).dropDuplicates(["id"])
+    """The store with one row per id: of rows that differ, the earliest, then the least."""
+    d = spark.read.schema(schema).parquet(root)
+    cols = [c for c in d.columns if c != "id"]
+    first = ["timestamp", *[c for c in cols if c != "timestamp"]]
+    return d.groupBy("id").agg(F.min_by(F.struct(*cols), F.struct(*first)).alias("p")).select("id", "p.*").select(*d.columns)
+
+
+#: Folders of the index of ids; a batch reads those that its own ids fall in.
+ID_BUCKETS = 256
 
 
-def append_unseen(stream: DataFrame, root: str, checkpoint: str, days: int = 2, every: str | None = None):
-    """Rolling-window feed: each batch appends only ids not among the batch's days in the store."""
-    def write(batch: DataFrame, _: int):
-        spark = batch.sparkSession
-        b = batch.dropDuplicates(["id"]).withColumn("date", F.to_date("timestamp"))
+def append_unseen(stream: DataFrame, root: str, checkpoint: str, every: str | None = None):
+    """Rolling-window feed: each batch appends only ids that are not in the store, however long ago they came.
+
+    Digests of all ids are kept beside the store by hash buckets, so the store itself is not read.  A batch writes its rows and
+    digests under its own name and looks at those of other batches only: one that runs twice replaces itself."""
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+    index = root.rstrip("/") + "-ids"
+
+    def write(batch: DataFrame, number: int):
+        spark, name = batch.sparkSession, f"{run}-{number}"
+        cols = [c for c in batch.columns if c != "id"]
+        b = batch.groupBy("id").agg(F.min_by(F.struct(*cols), F.struct("timestamp", *[c for c in cols if c != "timestamp"])).alias("p")).select("id", "p.*")
+        b = b.withColumn("digest", F.md5("id")).withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(ID_BUCKETS)).cast("int"))
         try:
-            have = spark.read.schema(b.schema).parquet(root)
-            lo = b.agg(F.min("date")).first()[0]
-            if lo is not None:
-                b = b.join(have.filter(F.col("date") >= F.date_sub(F.lit(lo), days)).select("id"), "id", "left_anti")
-        except Exception as e:  # the store does not exist before the first batch
+            known = spark.read.schema("digest string, batch string, bucket int").parquet(index).filter(F.col("batch") != name)
+            b = b.join(known.select("bucket", "digest"), ["bucket", "digest"], "left_anti")
+        except Exception as e:  # the index does not exist before the first batch
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        b.select("id", *[c for c in b.columns if c != "id"]).write.partitionBy("date").mode("append").parquet(root)
+        b = materialize(b, "unseen")
+        b.select("digest", "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{index}/batch={name}")
+        b.drop("digest", "bucket").withColumn("date", F.to_date("timestamp")).write.partitionBy("date").mode("overwrite").parquet(f"{root}/batch={name}")
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
