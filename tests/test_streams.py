@@ -141,3 +141,18 @@ def test_collected_minutes_lose_no_late_quote(spark, tmp_path):
     for k, bar in closed.items():
         mids = [m for m, _ in bar]
         assert (got[k].open, got[k].high, got[k].low, got[k].close, got[k].ticks) == (mids[0], max(mids), min(mids), mids[-1], len(mids)), k
+
+
+def test_ids_seen_long_ago_are_not_stored_again(spark, tmp_path):
+    """An id comes again three months later, and twice with other values in one batch: the first row of each id stays."""
+    src = tmp_path / "src"
+    src.mkdir()
+    batches = [[("a", "2024-01-01 10:00:00", 1.0), ("b", "2024-01-01 11:00:00", 2.0)], [("a", "2024-04-01 10:00:00", 3.0), ("c", "2024-04-01 09:00:00", 5.0), ("c", "2024-04-01 08:00:00", 4.0)], [("b", "2024-04-02 10:00:00", 6.0)]]
+    for rows in batches:
+        spark.createDataFrame(rows, "id string, t string, value double").selectExpr("id", "cast(t as timestamp) timestamp", "value").coalesce(1).write.mode("append").parquet(str(src))
+    stream = spark.readStream.schema("id string, timestamp timestamp, value double").option("maxFilesPerTrigger", 1).parquet(str(src))
+    root = str(tmp_path / "store")
+    for k in range(2):  # the second run reads everything once more
+        streams.append_unseen(stream, root, f"{root}-state{k}").awaitTermination()
+    got = spark.read.schema("id string, timestamp timestamp, value double, date date").parquet(root).collect()
+    assert sorted((r.id, r.value) for r in got) == [("a", 1.0), ("b", 2.0), ("c", 4.0)]
