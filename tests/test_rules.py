@@ -288,3 +288,34 @@ def test_option_signals_read_their_own_market(spark):
     assert got == {("a", 1), ("b", -1)}
     with pytest.raises(ValueError, match="common column"):
         G.signals(d.drop("market"), cell, frames=frames)
+
+
+def test_sweep_chain_needs_four_bars_from_sweep_to_entry(spark):
+    """The planted setup without its quiet bar: the first touch comes three bars after the sweep, is spent, and none follows."""
+    px = [(100, 101, 99, 100)] * 8 + [(100, 100.2, 90, 91), (91, 91.5, 89, 90), (90, 90.5, 88, 89), (89, 89.5, 87, 88)] + [(88, 89, 87, 88)] * 4
+    px += [(88, 89, 87, 88), (88, 92, 88, 91), (91, 94, 90, 92), (92, 92.5, 90, 91), (91, 91.5, 89, 90), (90, 91, 89, 90)]
+    px += [(90, 95, 89.5, 92), (92, 92, 84, 85), (85, 85.5, 80, 81), (82, 88, 81, 84), (84, 88, 81, 84)]
+    rows = [("x", i, *map(float, v)) for i, v in enumerate(px)]
+    d = spark.createDataFrame(rows, "series string, idx long, open double, high double, low double, close double").withColumn("time", F.timestamp_seconds(F.col("idx") * 3600)).withColumn("volume", F.lit(1.0))
+    r = G.sweep_chain(d, 3_600_000, htfFactor=2, swingLeft=2, swingRight=2, pipSize=1.0, minHtfFvgPips=0.1, htfTolerancePips=50.0, minSweepPips=0.5, displacementMult=1.0, minBodyAtrRatio=0.1, minEntryFvgPips=0.1, slBufferPips=0.0, atrPeriod=3)
+    assert r.count() == 0
+
+
+def test_keyed_models_equal_single_fits(spark):
+    """Every key's own optimum, a key of one class and a constant column among them; folds that cannot be fitted are named."""
+    from tapelib.operators import model as ML
+    rnd = random.Random(11)
+    rows = [(k, i, x := rnd.gauss(0, 2), y := rnd.gauss(5, 1), 3.0, int(rnd.random() < 1 / (1 + math.exp(-(x * s + y - 5))))) for k, s in (("a", 1.0), ("b", -0.5)) for i in range(150)]
+    rows += [("one", i, float(i), 0.0, 3.0, 1) for i in range(12)]
+    d = spark.createDataFrame(rows, "k string, i long, x double, y double, z double, label int").withColumn("t", F.timestamp_seconds(F.col("i") * 86_400))
+    got = {r.k: r for r in ML.keyed_fit(d, ["k"], ["x", "y", "z"]).collect()}
+    assert all(r.gradient < 1e-6 for r in got.values()) and set(got) == {"a", "b", "one"}
+    for k in "ab":
+        scale, m = ML.fit(d.filter(F.col("k") == k), ["x", "y", "z"])
+        assert np.allclose([got[k].weights[0], *got[k].weights[1:]], [m.intercept, *m.coefficients.toArray()], atol=2e-4)
+        assert got[k].weights[3] == 0 and abs(got[k].mean[0] - scale["x"][0]) < 1e-9
+    x = ML.fold_table(d, "t", 3, ["k"], ["i"])
+    report = {(r.k, r.fold): r for r in ML.fold_report(x, folds=3, keys=["k"]).collect()}
+    assert {k for k, r in report.items() if r.skipped} == {("one", f) for f in (1, 2, 3)}
+    scored = ML.walk_forward(d, ["x", "y"], "t", 3, keys=["k"], tie=["i"]).collect()
+    assert {(r.k, r.fold) for r in scored} == {(k, f) for k in "ab" for f in (1, 2, 3)} and all(0 < r.p < 1 for r in scored)
