@@ -142,7 +142,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     windows = _windows_of(texts)
     first = windows.groupBy("window", "check").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("window", "check", "low")
     single = windows.select("window", "id").join(first, "window").filter("id > low").groupBy("id").agg(F.collect_set(F.col("window").bitwiseXOR(F.col("check"))).alias("windows"))
-    single = stored(single, "copied-windows")  # what was shuffled for it can go before the texts are dealt for the last time
     removal = whole.join(single, "id", "full_outer").select(F.col("id").alias("r_id"), "whole", "windows")
     return _without(docs.join(removal.hint("shuffle_hash"), F.col("id") == F.col("r_id"), "left").select("id", "text", "whole", "windows"))
 
