@@ -361,3 +361,13 @@ def test_bsd_2_beside_bsd_3(spark):
     three = [*two, licences.SENTENCES["bsd-endorse-org"]]
     d = frame(spark, [(1, ". ".join(three)), (2, ". ".join(three + two)), (3, ". ".join(three + three))])
     assert {r.doc_id: r.licences for r in licences.scan(d).select("doc.doc_id", "licences").collect()} == {1: ["BSD-3-Clause"], 2: ["BSD-2-Clause", "BSD-3-Clause"], 3: ["BSD-3-Clause"]}
+
+
+def test_licence_sentences_at_the_edges_of_a_text(spark, none):
+    """First and last sentences beside spaces, comment marks, brackets and quotes; SPDX lines; more notices."""
+    mit = "Licensed under the MIT License."
+    texts = [(1, mit), (2, "  " + mit), (3, "# " + mit), (4, "// " + mit + "\n"), (5, f"({mit})"), (6, f'"{mit}"'), (7, "/* " + mit + " */"), (8, "# SPDX-License-Identifier: Apache-2.0\n\nimport os"), (9, "SPDX-License-Identifier: MIT"),
+             (10, "Licensed under the MIT license (see LICENSE)."), (11, licences.SENTENCES["epl2"]), (12, ". ".join(licences.SENTENCES[k] for k in ("zlib-as-is", "zlib-grant")) + ":"), (13, "MIT"), (14, "  "), (15, "#")]
+    got = {r.doc_id: (list(r.licences), r.n_sentences) for r in licences.scan(frame(spark, texts)).select("doc.doc_id", "licences", "n_sentences").collect()}
+    assert {k: v[0] for k, v in got.items()} == {**dict.fromkeys(range(1, 8), ["MIT"]), 8: ["Apache-2.0"], 9: ["MIT"], 10: ["MIT"], 11: ["EPL-2.0"], 12: ["Zlib"], 13: [], 14: [], 15: []}
+    assert (got[2][1], got[14][1], got[15][1]) == (1, 0, 0)
