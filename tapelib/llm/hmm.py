@@ -25,10 +25,12 @@ STATES, WORDS, CLASSES = 8, 8192, 256
 HEAD = 65_536
 #: Added to every count.
 ADD = 0.1
-#: Training texts that the first guess is fitted to on the driver, and its rounds; then rounds over all training texts.
-GUESS_TEXTS, GUESS_ROUNDS, ROUNDS = 400, 15, 3
-#: Tokens that Baum-Welch takes as one sequence; longer texts are cut for training, never for scoring.
-SEGMENT = 128
+#: Training texts are dealt into this many shares; the model is renewed after each share of a pass over all of them.
+SHARES = 8
+#: Passes end when one gains less than this in natural log-likelihood per token.
+SETTLED = 0.002
+#: Tokens that forward and backward values are worked out for in one go; what stands before and after is carried over.
+SEGMENT = 512
 _TOKENS = 300_000  # of which forward and backward values are held at once
 
 
@@ -170,50 +172,110 @@ class Hmm:
     step: np.ndarray  # (states, states)
     emit: np.ndarray  # (symbols, states)
 
-    def counts(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, float]:
+    def counts(self, sequences: list[np.ndarray], segment: int = SEGMENT) -> tuple[np.ndarray, float]:
         """Expected counts of sequences: rows of emissions by symbol, then of steps by state, then of starts; and the
-        natural log-likelihood."""
+        natural log-likelihood.
+
+        Sequences above ``segment`` tokens are worked out in pieces, whose products of steps and emissions carry the exact
+        state before and after each piece over the cuts; so counts are the same for any ``segment``.
+        """
         m, k = self.emit.shape
         out, likelihood = np.zeros((m + k + 1, k)), 0.0
-        pieces = [s[i:i + SEGMENT] for s in sequences for i in range(0, len(s), SEGMENT)]
-        pieces.sort(key=len, reverse=True)
+        pieces = [s[i:i + segment] for s in sequences for i in range(0, len(s), segment)]
+        number = np.array([-(-len(s) // segment) for s in sequences], dtype=np.int64)
+        heads = np.cumsum(number) - number
+        first = np.zeros(len(pieces), dtype=bool)
+        first[heads[number > 0]] = True
+        before, after = np.zeros((len(pieces), k)), np.ones((len(pieces), k))
+        if number.max(initial=0) > 1:
+            self._carry(pieces, first, heads[number > 1], number[number > 1], before, after)
+        order = np.argsort([-len(p) for p in pieces], kind="stable") if pieces else np.empty(0, dtype=np.int64)
         i = 0
-        while i < len(pieces):
-            j = min(len(pieces), i + max(1, _TOKENS // max(1, len(pieces[i]))))
-            likelihood += self._expect(pieces[i:j], out)
+        while i < len(order):
+            j = min(len(order), i + max(1, _TOKENS // len(pieces[order[i]])))
+            at = order[i:j]
+            likelihood += self._expect([pieces[r] for r in at], first[at], before[at], after[at], out)
             i = j
         return out, likelihood
 
-    def _expect(self, pieces: list[np.ndarray], out: np.ndarray) -> float:
-        m, k = self.emit.shape
+    @staticmethod
+    def _columns(pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sizes, symbols by (place, piece), and how many pieces reach each place; ``pieces`` are sorted by falling size."""
         size = np.array([len(p) for p in pieces])
-        long = int(size[0])
-        live = np.searchsorted(-size, -np.arange(long), side="left")  # pieces longer than t, as they are sorted
-        at = np.zeros((long, len(pieces)), dtype=np.int64)
+        live = np.searchsorted(-size, -np.arange(size[0] + 1), side="left")
+        at = np.zeros((size[0], len(pieces)), dtype=np.int64)
         for r, p in enumerate(pieces):
             at[:len(p), r] = p
-        alphas, scales, a = [], [], None
+        return size, at, live
+
+    def _products(self, pieces: list[np.ndarray], first: np.ndarray) -> np.ndarray:
+        """Per piece the product of steps and emissions, up to a factor: state before the piece to state at its end.  A first
+        piece has no step before its first symbol."""
+        k = len(self.start)
+        _, at, live = self._columns(pieces)
+        out = np.where(first[:, None, None], np.eye(k), self.step)
+        for t in range(len(at)):
+            n = live[t]
+            a = out[:n] if t == 0 else (out[:n].reshape(n * k, k) @ self.step).reshape(n, k, k)
+            a = a * self.emit[at[t, :n]][:, None, :]
+            out[:n] = a / a.max(axis=(1, 2), keepdims=True) if t % 8 == 7 else a
+        return out / out.max(axis=(1, 2), keepdims=True)
+
+    def _carry(self, pieces, first, heads, number, before, after) -> None:
+        """Fill ``before`` (state at the last token before a piece, given all up to it) and ``after`` (likelihood of what
+        follows by state at its end, up to a factor) for the pieces of cut sequences."""
+        k = len(self.start)
+        mine = np.concatenate([np.arange(h, h + n) for h, n in zip(heads, number, strict=True)])
+        mine = mine[np.argsort([-len(pieces[r]) for r in mine], kind="stable")]
+        group = max(1, _TOKENS // len(pieces[mine[0]]))
+        product = np.empty((len(pieces), k, k))
+        for i in range(0, len(mine), group):
+            at = mine[i:i + group]
+            product[at] = self._products([pieces[r] for r in at], first[at])
+        order = np.argsort(-number, kind="stable")
+        heads, number = heads[order], number[order]
+        most = int(number[0])
+        live = np.searchsorted(-number, -np.arange(most), side="left")  # sequences with more than j pieces
+        state = np.tile(self.start, (len(heads), 1))
+        for j in range(most):
+            at = heads[:live[j]] + j
+            before[at] = state[:live[j]]
+            state = np.einsum("ni,nij->nj", state[:live[j]], product[at])
+            state /= state.sum(axis=1, keepdims=True)
+        rest = np.ones((len(heads), k))
+        for j in range(most - 1, -1, -1):
+            at = heads[:live[j]] + j
+            after[at] = rest[:live[j]]
+            back = np.einsum("nij,nj->ni", product[at], rest[:live[j]])
+            rest[:live[j]] = back / back.max(axis=1, keepdims=True)
+
+    def _expect(self, pieces: list[np.ndarray], first: np.ndarray, before: np.ndarray, after: np.ndarray, out: np.ndarray) -> float:
+        m, k = self.emit.shape
+        size, at, live = self._columns(pieces)
+        long = len(at)
+        values, scales, a, tail = [], [], None, np.empty((len(pieces), k))
         for t in range(long):
-            e = self.emit[at[t, :live[t]]]
-            a = (self.start if t == 0 else a[:live[t]] @ self.step) * e
+            prior = np.where(first[:, None], self.start, before @ self.step) if t == 0 else a[:live[t]] @ self.step
+            a = prior * self.emit[at[t, :live[t]]]
             s = a.sum(axis=1)
             a = a / s[:, None]
-            alphas.append(a)
+            tail[live[t + 1]:live[t]] = a[live[t + 1]:]  # of the pieces that end here
+            values.append(a)
             scales.append(s)
-        beta = np.ones((live[-1], k))
-        gammas = [None] * long
+        tail = after / (tail * after).sum(axis=1, keepdims=True)
+        beta = tail[:live[long - 1]]
         for t in range(long - 1, -1, -1):
-            gammas[t] = alphas[t] * beta
+            back = beta * self.emit[at[t, :live[t]]] / scales[t][:, None]
+            values[t] = values[t] * beta  # from here on: probability of each state given the whole sequence
             if t:
-                back = beta * self.emit[at[t, :live[t]]] / scales[t][:, None]
-                out[m:m + k] += self.step * (alphas[t - 1][:live[t]].T @ back)
-                beta = np.ones((live[t - 1], k))
+                out[m:m + k] += self.step * (values[t - 1][:live[t]].T @ back)
+                beta = tail[:live[t - 1]].copy()
                 beta[:live[t]] = back @ self.step.T
-        out[m + k] += gammas[0].sum(axis=0)
+        out[m:m + k] += self.step * (before[~first].T @ back[~first])
+        out[m + k] += values[0][first].sum(axis=0)
         symbols = np.concatenate([at[t, :live[t]] for t in range(long)])
-        gamma = np.concatenate(gammas)
         for state in range(k):
-            out[:m, state] += np.bincount(symbols, weights=gamma[:, state], minlength=m)
+            out[:m, state] += np.bincount(symbols, weights=np.concatenate([v[:, state] for v in values]), minlength=m)
         return float(sum(np.log(s).sum() for s in scales))
 
     @classmethod
@@ -248,31 +310,43 @@ def _sequences(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype="<u2") for x in column.to_pylist()]
 
 
-def train(encoded: DataFrame, unigram: np.ndarray) -> Hmm:
-    """A first guess from a bounded sample on the driver, then Baum-Welch over all rows of ``encoded`` (stored)."""
+def train(encoded: DataFrame, unigram: np.ndarray, tokens: int) -> Hmm:
+    """Baum-Welch over all rows of ``encoded`` (stored by ``share``; ``tokens`` in all), from seeded noise until it settles.
+
+    A pass takes one share after the other: the share's expected counts, summed over its partitions, replace those that it
+    gave in the pass before, and the model is renewed from the counts of all shares.  Each pass counts every row once.
+    """
     m, k = len(unigram), STATES
-    sample = _sequences(encoded.orderBy(F.xxhash64("key"), "key").select("symbols").limit(GUESS_TEXTS).toArrow().column("symbols").combine_chunks()) if not encoded.isEmpty() else []
     noise = np.random.default_rng(3).random((m, k)) + 0.5
     model = Hmm(np.full(k, 1 / k), np.full((k, k), 0.02 / (k - 1)) + np.eye(k) * (0.98 - 0.02 / (k - 1)), unigram[:, None] * noise / (unigram[:, None] * noise).sum(axis=0))
-    for _ in range(GUESS_ROUNDS if sample else 0):
-        model = Hmm.of_counts(model.counts(sample)[0], unigram)
     names = [f"s{i}" for i in range(k)]
-    for _ in range(ROUNDS if sample else 0):
-        shared = encoded.sparkSession.sparkContext.broadcast(model)  # (WORDS + CLASSES + 1) x STATES numbers
-
-        def expect(batches, shared=shared):
-            total = np.zeros((m + k + 1, k))
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1000):
-                    total += shared.value.counts(_sequences(batch.column("symbols").slice(at, 1000)))[0]
-            used = np.flatnonzero(total.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32))] + [pa.array(total[used, i]) for i in range(k)], ["row", *names])
-
-        sums = encoded.select("symbols").mapInArrow(expect, "row int, " + ", ".join(f"{n} double" for n in names)).groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
-        counts = np.zeros((m + k + 1, k))
-        counts[sums.row] = sums[names].to_numpy()
-        model = Hmm.of_counts(counts, unigram)
-        shared.unpersist()
+    shares = [np.zeros((m + k + 1, k)) for _ in range(SHARES)]  # WORDS + CLASSES + STATES + 2 rows each
+    last = -np.inf
+    while tokens:
+        likelihood = 0.0
+        for share in range(SHARES):
+            shared = encoded.sparkSession.sparkContext.broadcast(model)  # (WORDS + CLASSES + 1) x STATES numbers
+
+            def expect(batches, shared=shared):
+                total, log = np.zeros((m + k + 1, k)), 0.0
+                for batch in batches:
+                    found, more = shared.value.counts(_sequences(batch.column("symbols")))
+                    total += found
+                    log += more
+                used = np.flatnonzero(total.any(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1).astype(np.int32))] + [pa.array(np.append(total[used, i], log)) for i in range(k)], ["row", *names])
+
+            rows = encoded.filter(F.col("share") == share).select("symbols")
+            sums = rows.mapInArrow(expect, "row int, " + ", ".join(f"{n} double" for n in names)).groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+            likelihood += float(sums.loc[sums.row < 0, "s0"].sum())
+            sums = sums[sums.row >= 0]
+            shares[share] = np.zeros((m + k + 1, k))
+            shares[share][sums.row] = sums[names].to_numpy()
+            model = Hmm.of_counts(np.sum(shares, axis=0), unigram)
+            shared.unpersist()
+        if likelihood - last < SETTLED * tokens:
+            break
+        last = likelihood
     return model
 
 
@@ -281,7 +355,8 @@ def score(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
     which ``training`` (a Column over ``id``) is true.
 
     Null texts count as empty: the end alone.  Null ids are ids like any other (``training`` null counts as false).
-    Repeated rows get equal scores.  Without training rows every count is 0.
+    Repeated rows get equal scores.  Without training rows every count is 0; an empty table gives no rows.  Texts of any
+    length are counted and scored whole.  Other columns are not looked at.
 
     Plan: word counts of the whole corpus are summed and stored; counts of the most frequent words go to every task, those
     of all others are joined to the rows by word, where no word is frequent any more.
@@ -292,8 +367,8 @@ def score(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
     counts = stored(count_words(learning.select("text")), "word-counts")
     lex = lexicon(counts, learning.select("id").count())
     shared = spark.sparkContext.broadcast(lex)  # HEAD entries
-    encoded = stored(encode(docs, shared), "symbols")
-    model = spark.sparkContext.broadcast(train(encoded.filter("train"), lex.unigram()))
+    encoded = stored(encode(docs, shared).withColumn("share", F.pmod(F.xxhash64("key"), F.lit(SHARES)).cast("int")), "symbols", "share")
+    model = spark.sparkContext.broadcast(train(encoded.filter("train"), lex.unigram(), lex.tokens))
 
     def likelihood(batches):
         for batch in batches:
@@ -301,7 +376,7 @@ def score(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(model.value.log10(_sequences(batch.column("symbols"))))], [*names, "hmm"])
 
     kind = encoded.schema["id"].dataType.simpleString()
-    scored = encoded.mapInArrow(likelihood, f"id {kind}, train boolean, key long, n_tokens long, head_known long, head_log double, class_log double, hmm double")
+    scored = encoded.drop("share").mapInArrow(likelihood, f"id {kind}, train boolean, key long, n_tokens long, head_known long, head_log double, class_log double, hmm double")
     rare = rare_words(docs.select("id", "text"), shared).join(counts.select("word", "n"), "word", "left")
     rare = rare.groupBy("key").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + ADD)).alias("rare_log"), F.count("n").alias("rare_known"))
     copies = encoded.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))

@@ -29,11 +29,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later stages re-read files after a lost executor."""
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: later stages re-read files after a lost executor.  A filter on
+    the columns ``by`` reads the files of those values alone."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,6 +9,7 @@ import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from tapelib.llm import decontamination, exact_dedup, hmm, licences, near_dedup,
 from tapelib.llm.encode import Encoder  # noqa: E402
 from tapelib.llm.queries import BYTE_BPE, WORD_BPE, vocabulary  # noqa: E402
 from tapelib.llm.store import new_path, stored  # noqa: E402
+from tapelib.llm.text import SPACED, chunks  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -294,6 +296,96 @@ def test_hmm_scores(docs, none, rows):
     assert hmm.score(none, F.lit(True)).count() == 0
 
 
+def brute_hmm(rows, train, k):
+    """log10 probabilities by id, text by text and token by token: symbols, Baum-Welch until it settles, forward recursion."""
+    split = lambda t: [w.encode() for w in WORD.findall((t or "").translate(LOWER))]
+    c = collections.Counter(w for i, t in rows if train(i) for w in split(t))
+    texts = sum(1 for i, _ in rows if train(i))
+    hashes = {}
+    for w in c:
+        chunk, = chunks(pa.array([w.decode()]), SPACED, lower=True)
+        hashes[w] = int(chunk.hashes().view(np.int64)[0])
+    symbol = {w: r for r, w in enumerate(sorted(c, key=lambda w: (-c[w], hashes[w])))}
+    end, m = hmm.WORDS + hmm.CLASSES, hmm.WORDS + hmm.CLASSES + 1
+    assert len(symbol) <= hmm.WORDS  # so known words are symbols, and the classes hold one unknown word each
+    of = lambda w: symbol[w] if w in symbol else hmm.WORDS + (w[-1] * 31 + (w[-2] * 131 if len(w) > 1 else 0)) % hmm.CLASSES
+    sequences = [[of(w) for w in split(t)] + [end] for _, t in rows]
+    unigram = np.full(m, 0.1)
+    for w, n in c.items():
+        unigram[symbol[w]] += n
+    unigram[end] += texts
+    unigram /= unigram.sum()
+    emit = unigram[:, None] * (np.random.default_rng(3).random((m, k)) + 0.5)
+    emit /= emit.sum(axis=0)
+    start, step = np.full(k, 1 / k), np.where(np.eye(k), 0.98, 0.02 / (k - 1))
+    learning = [s for s, (i, _) in zip(sequences, rows) if train(i)]
+    tokens, last = sum(map(len, learning)), -np.inf
+    while True:
+        e, x, b, total = np.zeros((m, k)), np.zeros((k, k)), np.zeros(k), 0.0
+        for s in learning:
+            alphas, scales, a = [], [], None
+            for t, o in enumerate(s):
+                a = (start if t == 0 else a @ step) * emit[o]
+                scales.append(a.sum())
+                a = a / scales[-1]
+                alphas.append(a)
+            beta = np.ones(k)
+            for t in range(len(s) - 1, -1, -1):
+                e[s[t]] += alphas[t] * beta
+                if t:
+                    x += step * np.outer(alphas[t - 1], emit[s[t]] * beta) / scales[t]
+                    beta = step @ (emit[s[t]] * beta) / scales[t]
+            b += alphas[0] * beta
+            total += np.log(scales).sum()
+        e, x, b = e + unigram[:, None], x + 0.1, b + 0.1
+        emit, step, start = e / e.sum(axis=0), x / x.sum(axis=1, keepdims=True), b / b.sum()
+        if total - last < hmm.SETTLED * tokens:
+            break
+        last = total
+    out = []
+    for s in sequences:
+        log, a = 0.0, None
+        for t, o in enumerate(s):
+            a = (start if t == 0 else a @ step) * emit[o]
+            log += math.log10(a.sum())
+            a = a / a.sum()
+        out.append(log)
+    return out
+
+
+def test_hmm_score_equals_brute_force(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(hmm, "SHARES", 1)  # plain Baum-Welch: the model is renewed once a pass
+    monkeypatch.setattr(hmm, "STATES", 3)
+    train = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 != 0
+    got = sorted((-1 if r.id is None else r.id, r.n_tokens, r.score) for r in hmm.score(docs, F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(10)) != 0).collect())
+    want = sorted((-1 if i is None else i, len(WORD.findall(t or "")) + 1, s) for (i, t), s in zip(rows, brute_hmm(rows, train, 3)))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.allclose([g[2] for g in got], [w[2] for w in want], rtol=1e-9)
+
+
+def test_hmm_learns_from_all_shares(spark, docs):
+    """Renewing the model share by share ends at least as high as renewing it once a pass from the same start."""
+    totals = {}
+    for shares in (1, 8):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(hmm, "SHARES", shares)
+            totals[shares] = hmm.score(docs, F.lit(True)).agg(F.sum("score")).first()[0]
+    assert totals[8] > totals[1] * 1.01  # log-likelihoods are negative: at most 1 % lower
+
+
+def test_counts_carry_state_over_cuts():
+    rng = np.random.default_rng(8)
+    norm = lambda a, axis: a / a.sum(axis=axis, keepdims=True)
+    m = hmm.Hmm(norm(rng.random(3), 0), norm(rng.random((3, 3)), 1), norm(rng.random((50, 3)), 0))
+    seqs = [rng.integers(0, 50, n).astype("<u2") for n in (4, 1, 6, 700, 33, 8, 9, 16, 17, 0, 120)]
+    whole, likelihood = m.counts(seqs, 10**6)
+    assert whole[53].sum() == pytest.approx(10) and likelihood == pytest.approx(m.log10([s for s in seqs if len(s)]).sum() * math.log(10))
+    for segment in (1, 3, 8, 64, 128):
+        counts, log = m.counts(seqs, segment)
+        assert np.allclose(counts, whole, atol=1e-9) and log == pytest.approx(likelihood)
+    assert m.counts([])[0].sum() == 0
+
+
 def test_forward_recursion_sums_over_all_paths():
     import itertools
     rng = np.random.default_rng(8)
