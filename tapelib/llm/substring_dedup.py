@@ -138,12 +138,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = stored(copied.groupBy("id").agg(F.collect_set(F.col("path").bitwiseXOR(F.col("seed"))).alias("whole")), "copied-paths")
     # windows of one document for each compacted path
     own = compact.groupBy(F.col("low").alias("o_id")).agg(F.collect_list("path").alias("own"))
-    texts = docs.join(own.hint("shuffle_hash"), F.col("id") == F.col("o_id")).select("id", "text", "own")
+    texts = real.join(own.hint("shuffle_hash"), F.col("id") == F.col("o_id")).select("id", "text", "own")
     windows = _windows_of(texts)
     first = windows.groupBy("window", "check").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("window", "check", "low")
     single = windows.select("window", "id").join(first, "window").filter("id > low").groupBy("id").agg(F.collect_set(F.col("window").bitwiseXOR(F.col("check"))).alias("windows"))
     removal = whole.join(single, "id", "full_outer").select(F.col("id").alias("r_id"), "whole", "windows")
-    return _without(docs.join(removal.hint("shuffle_hash"), F.col("id") == F.col("r_id"), "left").select("id", "text", "whole", "windows"))
+    # texts are dealt by id as for the windows above, so Spark shuffles them once for both joins
+    marked = real.join(removal.hint("shuffle_hash"), F.col("id") == F.col("r_id"), "left").select("id", "text", "whole", "windows")
+    none = F.lit(None).cast("array<long>")
+    return _without(marked.union(docs.filter("id IS NULL").select("id", "text", none, none)))
 
 
 def _without(joined: DataFrame) -> DataFrame:
