@@ -57,7 +57,7 @@ def bias_label(ratio, t: dict = BIAS) -> Column:
 
 def summary_at(prints: DataFrame, window_ms: int, now: DataFrame) -> DataFrame:
     """Flow summary of each market inside [as_of - window, as_of]; ``now`` has one row per market."""
-    d = prints.join(now.select("market", "as_of"), "market")
+    d = prints.join(F.broadcast(now.select("market", "as_of")), "market")
     t, n = S.ms("timestamp"), S.ms("as_of")
     return flow_summary(d.filter((t <= n) & (t >= n - window_ms)), ["market"])
 
@@ -116,13 +116,19 @@ def top_contracts(prints: DataFrame, keep: int) -> DataFrame:
 
 
 def keep_top_contracts(prints: DataFrame, keep: int) -> DataFrame:
-    return prints.join(top_contracts(prints, keep).select(*CONTRACT), CONTRACT, "left_semi")
+    return prints.join(F.broadcast(top_contracts(prints, keep).select(*CONTRACT)), CONTRACT, "left_semi")
 
 
 def newest(df: DataFrame, keys: list[str], n: int, order=("timestamp", "sequence_id"), salts: int = 64) -> DataFrame:
-    """The last ``n`` rows of each key.  A salted first cut keeps a hot key out of a single task."""
+    """The last ``n`` rows of each key.  Counts of days give the day from which on a key has ``n`` rows or more; older rows go
+    before any is shuffled.  A salted first cut keeps what is left of a hot key out of a single task."""
     desc = [F.col(c).desc() for c in order]
-    d = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    day = F.floor(S.ms(order[0]) / 86_400_000)
+    later = Window.partitionBy(*keys).orderBy(F.col("_day").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    days = df.groupBy(*keys, day.alias("_day")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_later", F.coalesce(F.sum("_n").over(later), F.lit(0)))
+    since = days.filter(F.col("_later") < n).groupBy(*keys).agg(F.min("_day").alias("_since"))
+    d = df.join(F.broadcast(since), keys).filter(day.isNull() | (day >= F.col("_since"))).drop("_since")
+    d = d.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
     d = d.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*desc))).filter(F.col("_r") <= n)
     d = d.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*desc))).filter(F.col("_r") <= n)
     return d.drop("_salt").withColumnRenamed("_r", "newest_rank")
@@ -143,7 +149,7 @@ def is_big(threshold="threshold", cfg: BigPrints = BigPrints()) -> Column:
 
 def big_prints(prints: DataFrame, keys: list[str], cfg: BigPrints = BigPrints(), limited: bool = True) -> DataFrame:
     """Prints at or over the floor or the rolling percentile, newest ``cfg.limit`` per key."""
-    d = prints.join(percentile_threshold(prints, keys, cfg), keys).filter(is_big("threshold", cfg))
+    d = prints.join(F.broadcast(percentile_threshold(prints, keys, cfg)), keys).filter(is_big("threshold", cfg))
     return newest(d, keys, cfg.limit) if limited else d
 
 
@@ -181,7 +187,7 @@ def whale_levels(prints: DataFrame, spot: DataFrame, model: str = "net-long-whal
         put, call = F.col("put_net"), F.col("call_net")
         f = f.withColumn("_o", F.col("last_seen"))
     elif model == "largest-print":
-        b = big_prints(prints, keys, cfg, limited=False).join(spot, "market")
+        b = big_prints(prints, keys, cfg, limited=False).join(F.broadcast(spot), "market")
         f = b.withColumn("_o", F.struct("timestamp", "sequence_id"))
         put = F.when(F.col("option_type") == "PUT", F.col("premium_usd"))
         call = F.when(F.col("option_type") == "CALL", F.col("premium_usd"))

@@ -123,7 +123,7 @@ def snapshot(prints: DataFrame, s: Settings = Settings(), atr: float | None = No
     width = s.velocity_ms
     t, n = S.ms("timestamp"), S.ms("as_of")
     net = F.when(S.is_bull(), F.col("premium_usd")).when(S.is_bear(), -F.col("premium_usd")).otherwise(0.0)
-    velocity = prints.join(state, "market").groupBy("market").agg(
+    velocity = prints.join(F.broadcast(state), "market").groupBy("market").agg(
         F.sum(F.when((t <= n) & (t >= n - width), net).otherwise(0.0)).alias("current"),
         F.sum(F.when((t <= n - width) & (t >= n - 2 * width), net).otherwise(0.0)).alias("previous"))
     velocity = velocity.select("market", F.struct("current", "previous", (F.col("current") - F.col("previous"))

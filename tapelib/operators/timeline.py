@@ -24,9 +24,10 @@ NARROW = ["market", "symbol", "timestamp", "sequence_id", "expiration", "strike"
 
 
 def with_steps(prints: DataFrame, step_ms: int) -> DataFrame:
-    """Adds ``step`` and the number of the grid's last step, ``last_step``."""
+    """Adds ``step`` and the number of the grid's last step, ``last_step``.  The ends, a row per market, go to the prints: one market
+    may be the whole tape."""
     ends = prints.groupBy("market").agg(F.min(S.ms("timestamp")).alias("_t0"), F.max(S.ms("timestamp")).alias("_t1"))
-    d = prints.join(ends, "market").withColumn("step", F.ceil((S.ms("timestamp") - F.col("_t0")) / step_ms)).withColumn("last_step", F.floor((F.col("_t1") - F.col("_t0")) / step_ms))
+    d = prints.join(F.broadcast(ends), "market").withColumn("step", F.ceil((S.ms("timestamp") - F.col("_t0")) / step_ms)).withColumn("last_step", F.floor((F.col("_t1") - F.col("_t0")) / step_ms))
     return d.filter(F.col("step") <= F.col("last_step")).drop("_t0", "_t1")
 
 
@@ -143,7 +144,7 @@ def whale_steps(d: DataFrame, clock: DataFrame, cfg: flow.BigPrints) -> DataFram
     grid = grid.join(thr.select(*AT, "eff"), AT, "left").withColumn("eff", F.last("eff", True).over(w))
     grid = grid.withColumn("rank", F.array_position("_q", F.col("eff")).cast("int")).select(*AT, "rank")
     big = d if cfg.min_contracts is None else d.filter(F.col("contracts") >= cfg.min_contracts)
-    big = big.join(first.select(*SYM, "_q"), SYM).filter(F.col("premium_usd") >= F.get("_q", F.lit(0)))
+    big = big.join(F.broadcast(first.select(*SYM, "_q")), SYM).filter(F.col("premium_usd") >= F.get("_q", F.lit(0)))
     call, s = F.col("option_type") == "CALL", S.signed_contracts()
     cells = big.withColumn("over", F.size(F.filter("_q", lambda q: q <= F.col("premium_usd")))).groupBy(*SYM, "strike", F.col("step").alias("at"), "over").agg(
         F.sum(F.when(call, s).otherwise(0.0)).alias("call_net"), F.sum(F.when(call, 0.0).otherwise(s)).alias("put_net"), F.max(F.struct(S.ms("timestamp").alias("ms"), "sequence_id")).alias("seen"))
@@ -197,7 +198,7 @@ def big_imbalance(d: DataFrame, clock: DataFrame, cfg: flow.BigPrints, window_ms
     c = c.withColumn("_k", F.explode(F.sequence(F.floor((F.col("_n") - window_ms) / window_ms), F.floor(F.col("_n") / window_ms))))
     # only prints that pass the market's lowest threshold can count at any step
     least = c.groupBy("market").agg(F.min("threshold").alias("_least"))
-    p = d.join(least, "market").filter((F.col("premium_usd") >= cfg.min_premium) | (F.col("premium_usd") >= F.col("_least")))
+    p = d.join(F.broadcast(least), "market").filter((F.col("premium_usd") >= cfg.min_premium) | (F.col("premium_usd") >= F.col("_least")))
     p = p.select("market", S.ms("timestamp").alias("_t"), "premium_usd", "contracts", "flow_class").withColumn("_k", F.floor(F.col("_t") / window_ms))
     j = c.join(p, ["market", "_k"]).filter((F.col("_t") <= F.col("_n")) & (F.col("_t") >= F.col("_n") - window_ms) & flow.is_big("threshold", cfg))
     bull, bear = F.sum(F.when(S.is_bull(), F.col("premium_usd")).otherwise(0.0)), F.sum(F.when(S.is_bear(), F.col("premium_usd")).otherwise(0.0))
