@@ -40,7 +40,7 @@ def tape_store_all(spark, sf):
     for _ in range(2):
         store.append_tape(p, root)
     once = p.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n = 1")
-    d = store.read_all(spark, root).join(once, "id", "left")
+    d = store.read_all(spark, root, ["flow_class", "contracts"]).join(once, "id", "left")
     return d.agg(F.count(F.lit(1)).alias("n"), F.sum(((F.col("flow_class") == "UNKNOWN") & (F.col("contracts") >= 45) & F.col("n").isNotNull()).cast("long")).alias("unknown"))
 
 
@@ -49,7 +49,7 @@ def tape_json_columns(spark, sf):
     """Documents of 25 parallel arrays, one a symbol and month, written as JSON lines and read back as prints."""
     path = _path(spark, "tape-json")
     p = store.conform(tables.prints(spark, sf))
-    payloads.tape_documents(p, [F.col("symbol"), F.date_format("timestamp", "yyyy-MM")]).write.text(path)
+    payloads.tape_documents(p, [F.col("symbol"), F.date_format("timestamp", "yyyy-MM")]).write.option("compression", "gzip").text(path)
     d = payloads.read_tape_documents(spark.read.text(path))
     return d.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("premium_usd"), "premium"), r6(F.sum(F.col("strike") * F.col("contracts")), "weight"), F.min(S.ms("timestamp")).alias("first_t"), F.max("option_type").alias("option_type"))
 

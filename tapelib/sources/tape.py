@@ -47,13 +47,15 @@ def read_range(spark: SparkSession, root: str, start, stop) -> DataFrame:
     return _first_of_id(d).orderBy("timestamp", "id")
 
 
-def _first_of_id(d: DataFrame) -> DataFrame:
-    cols = [f.name for f in PRINTS if f.name not in ("id", "date")]
-    d = _labelled(d.withColumn("_file", F.input_file_name()))
+def _first_of_id(d: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    cols = cols or [f.name for f in PRINTS if f.name not in ("id", "date")]
+    # copies of one day differ in the file's own name only
+    d = _labelled(d.withColumn("_file", F.element_at(F.split(F.input_file_name(), "/"), -1)))
     d = d.groupBy("id").agg(F.min_by(F.struct(*cols), F.struct("date", "_file", "timestamp")).alias("p"))
     return d.select("id", "p.*")
 
 
-def read_all(spark: SparkSession, root: str) -> DataFrame:
-    """The whole store, one row an id as in :func:`read_range`, in no order."""
-    return _first_of_id(spark.read.schema(T.StructType([*PRINTS.fields, T.StructField("date", T.DateType())])).parquet(root))
+def read_all(spark: SparkSession, root: str, cols: list[str] | None = None) -> DataFrame:
+    """The whole store, one row an id as in :func:`read_range`, in no order; with ``cols`` only these columns beside the id, so that
+    no others are shuffled."""
+    return _first_of_id(spark.read.schema(T.StructType([*PRINTS.fields, T.StructField("date", T.DateType())])).parquet(root), cols)
