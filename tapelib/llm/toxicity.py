@@ -5,6 +5,8 @@ labelled texts count; what chance makes of rare ones is taken off by discounts a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
@@ -27,6 +29,8 @@ DISCOUNT = 0.75
 FOLDS = 4
 #: Log ratio above which a word counts as leaning to toxic.
 LEANING = 3.0
+#: Bytes of text that a worker looks at once: some sixty numbers a word are held meanwhile, beside the model's tables.
+AT_ONCE = 1 << 18
 
 
 def _expressions(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -42,7 +46,7 @@ def _counts(labelled: DataFrame) -> DataFrame:
     def count(batches):
         for batch in batches:
             toxic = batch.column("toxic").to_numpy()
-            for c in chunks(batch.column("text"), LETTERS, lower=True):
+            for c in chunks(batch.column("text"), LETTERS, lower=True, limit=AT_ONCE):
                 words, before, word, pair = _expressions(c)
                 of = toxic[c.first + c.row[1:][c.row[1:] == c.row[:-1]]] if len(words) else np.empty(0, dtype=np.int64)
                 found, first, back = np.unique(pair, return_index=True, return_inverse=True)
@@ -63,14 +67,23 @@ def _table(path: str, columns: list[str]) -> tuple[np.ndarray, ...]:
         fs, folder = open_fs(path)
         files = list(ds.dataset(folder, filesystem=fs, format="parquet").get_fragments())
         ends = np.cumsum([0, *(f.count_rows() for f in files)])
-        out = [np.empty(ends[-1], dtype=np.float32 if k else np.uint64) for k in range(len(columns))]
-        for f, start, end in zip(files, ends, ends[1:]):  # one file at a time, to hold little besides the columns
-            t = f.to_table(columns=columns)
-            for x, c in zip(out, columns):
-                x[start:end] = t.column(c).to_numpy().view(np.uint64) if x is out[0] else t.column(c).to_numpy()
-        order = np.argsort(out[0])
-        for k in range(len(out)):
-            out[k] = out[k][order]
+
+        def parts(c):  # one file at a time, to hold little besides the columns
+            for f, start, end in zip(files, ends, ends[1:]):
+                yield slice(start, end), f.to_table(columns=[c]).column(0).to_numpy()
+
+        keys = np.empty(ends[-1], dtype=np.uint64)
+        for at, x in parts(columns[0]):
+            keys[at] = x.view(np.uint64)
+        order = np.argsort(keys)
+        keys = keys[order]
+        place = np.empty(ends[-1], dtype=np.uint32)
+        place[order] = np.arange(ends[-1], dtype=np.uint32)
+        del order
+        out = [keys, *(np.empty(ends[-1], dtype=np.float32) for _ in columns[1:])]
+        for y, c in zip(out[1:], columns[1:]):
+            for at, x in parts(c):
+                y[place[at]] = x
         _read[path] = tuple(out)
         pa.default_memory_pool().release_unused()
     return _read[path]
@@ -223,7 +236,7 @@ def learn(df: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
 
     def features(batches):
         for batch in batches:
-            for c in chunks(batch.column("text"), LETTERS, lower=True):
+            for c in chunks(batch.column("text"), LETTERS, lower=True, limit=AT_ONCE):
                 x = model.features(c)
                 yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(c.first, c.rows), *(pa.array(x[:, k]) for k in range(model.WIDTH))], ["toxic", *kinds])
 
@@ -241,12 +254,11 @@ def learn(df: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
 
 def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Each row of ``df`` as the struct ``doc`` with ``score`` (0 to 1).  Null and empty texts have no words and get the
-    score of a text without any expression; repeated rows get equal scores."""
-    wrapped = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), F.col(text_col).alias("text"))
-
-    def rate(batches):
-        for batch in batches:
-            for c in chunks(batch.column("text"), LETTERS, lower=True):
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(c.first, c.rows), pa.array(model.score(model.features(c)))], ["doc", "score"])
-
-    return wrapped.mapInArrow(rate, f"doc {wrapped.schema['doc'].dataType.simpleString()}, score double")
+    score of a text without any expression; repeated rows get equal scores.  Workers get the texts alone, once, and give
+    back the scores alone."""
+    def rate(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            yield pa.array(np.concatenate([np.empty(0), *(model.score(model.features(c)) for c in chunks(batch, LETTERS, lower=True, limit=AT_ONCE))]))
+
+    rated = F.arrow_udf(rate, "double").asNondeterministic()  # so that a filter on the score does not rate twice
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), rated(F.col(text_col)).alias("score"))

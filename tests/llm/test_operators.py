@@ -6,10 +6,12 @@ import hashlib
 import math
 import re
 import textwrap
+import tracemalloc
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,6 +268,28 @@ def test_toxicity_finds_planted_words(spark, none):
     assert {r.score for r in toxicity.score(d, nothing).collect()} == {0.5}
 
 
+def test_toxicity_tables_are_sorted_in_little_memory(tmp_path):
+    rnd, n = np.random.default_rng(5), 400_000
+    keys = rnd.integers(-2**63, 2**63 - 1, n)
+    for k in range(4):
+        own = slice(k * n // 4, (k + 1) * n // 4)
+        pq.write_table(pa.table({"pair": keys[own], "toxic": np.arange(n)[own], "plain": keys[own] % 1000}), tmp_path / f"part-{k}.parquet")
+    tracemalloc.start()
+    found, toxic, plain = toxicity._table(str(tmp_path), ["pair", "toxic", "plain"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    order = np.argsort(keys.view(np.uint64))
+    assert (found == keys.view(np.uint64)[order]).all() and (toxic == order).all() and (plain == (keys % 1000)[order]).all()
+    assert peak < 27 * n, peak / n  # of which the result takes 16
+
+
+def test_toxicity_scores_get_the_texts_alone(spark):
+    d = spark.createDataFrame([(1, "a b", "x" * 50), (2, None, None)], "doc_id long, text string, other string")
+    scored = toxicity.score(d, toxicity.Model())
+    assert "MapInArrow" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert [(r.doc.doc_id, r.doc.other, r.score) for r in scored.orderBy("doc.doc_id").collect()] == [(1, "x" * 50, 0.5), (2, None, 0.5)]
+
+
 @pytest.mark.parametrize("phrase", ["waa gorm", "waa wbb"])
 def test_toxicity_finds_fixed_phrases(spark, phrase):
     """A word that only follows one other, and two ordinary words that stand together fewer than 50 times."""
