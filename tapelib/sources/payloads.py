@@ -13,6 +13,12 @@ def columns_to_rows(df: DataFrame, arrays: list[str], keep: list[str] = []) -> D
     return df.select(*keep, F.inline(F.arrays_zip(*[F.col(a).alias(a) for a in arrays])))
 
 
+def parsed(df: DataFrame, struct: Column, keep: list[str] = []) -> DataFrame:
+    """Fields of ``struct`` as columns, worked out once a row: a filter on them stays above, where it would else be pushed
+    below with a copy of the whole expression for each field it asks for."""
+    return df.select(*keep, struct.alias("_parsed")).select(*keep, F.inline(F.array("_parsed")))
+
+
 def tape_documents(prints: DataFrame, keys: list[Column]) -> DataFrame:
     """One JSON line of parallel arrays, one for each column of the tape, for each value of ``keys``, which bound a document's
     length; times in milliseconds."""
@@ -51,9 +57,11 @@ TRADE = "trade_id string, instrument_name string, timestamp double, price double
 
 def venue_trades(lines: DataFrame, source: str, value: str = "value") -> DataFrame:
     """Venue trade JSON to prints; rows without index, size or price are dropped; iv arrives in percent."""
-    t = lines.select(F.from_json(value, TRADE).alias("j")).select("j.*")
-    i = parse_instrument("instrument_name")
-    t = t.filter(F.col("index_price").isNotNull() & F.col("amount").isNotNull() & F.col("price").isNotNull() & i["strike"].isNotNull() & i["expiration"].isNotNull())
+    t = parsed(lines, F.from_json(value, TRADE))
+    t = t.filter(F.col("index_price").isNotNull() & F.col("amount").isNotNull() & F.col("price").isNotNull())
+    t = parsed(t, F.struct(*[c.alias(f"_{k}") for k, c in parse_instrument("instrument_name").items()]), t.columns)
+    i = {k: F.col(f"_{k}") for k in ("underlying", "symbol", "expiration", "strike", "option_type")}
+    t = t.filter(i["strike"].isNotNull() & i["expiration"].isNotNull())
     d = t.select(F.col("trade_id").alias("id"), S.from_ms(F.col("timestamp").cast("long")).alias("timestamp"), i["symbol"].alias("symbol"), F.col("instrument_name").alias("instrument"),
                  i["underlying"].alias("underlying"), i["expiration"].alias("expiration"), i["strike"].alias("strike"), i["option_type"].alias("option_type"), F.col("price").alias("trade_price"),
                  F.col("amount").alias("contracts"), S.aggressor("direction").alias("aggressor_side"), (F.col("iv") / 100.0).alias("implied_volatility"), F.col("index_price").alias("underlying_price"),
@@ -91,7 +99,7 @@ KLINE = "k struct<t: long, s: string, o: string, h: string, l: string, c: string
 
 def kline_events(lines: DataFrame, value: str = "value") -> DataFrame:
     """Stream messages to bars with a ``closed`` flag."""
-    k = lines.select(F.from_json(value, KLINE).alias("j")).select("j.k.*")
+    k = parsed(lines, F.from_json(value, KLINE)["k"])
     return k.select(F.col("s").alias("series"), S.from_ms("t").alias("time"), *[F.col(x).try_cast("double").alias(n) for x, n in (("o", "open"), ("h", "high"), ("l", "low"), ("c", "close"), ("v", "volume"))], F.col("x").alias("closed"))
 
 

@@ -93,6 +93,14 @@ def test_clusters_chain_and_score(spark):
     assert [x.low for x in r] == [10.0, 20.0] and math.isclose(r[0].score, 4 * 1.25 * 1.35) and math.isclose(r[0].center, 10.5)
 
 
+def test_venue_trades_parse_a_line_once(spark):
+    good = '{"trade_id":"a","instrument_name":"BTC-8SEP26-83000-C","timestamp":1,"price":0.1,"amount":2,"index_price":100,"iv":50,"direction":"buy"}'
+    lines = spark.createDataFrame([(good,), (good.replace("-C", "-X"),), (good.replace("8SEP", "31SEP"),), (good.replace('"amount":2,', ""),), ("no json",), (None,)], "value string")
+    d = payloads.venue_trades(lines, "v").select("id", "symbol", "strike", "option_type", "expiration", "premium_usd")
+    assert [tuple(r)[:4] for r in d.collect()] == [("a", "BTC-8SEP26", 83000.0, "CALL")]
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
 def test_content_ids_number_repeats(spark):
     d = spark.createDataFrame([("x", 1), ("x", 2), ("y", 3)], "v string, o int")
     ids = [r.content_id for r in flow.with_content_ids(d, ["v"], ["o"], F.floor(F.col("o") / 2)).orderBy("o").collect()]
