@@ -194,8 +194,8 @@ def inferred(spark, sf):
 def content_ids(spark, sf):
     p = tables.prints(spark, sf)
     d = flow.with_content_ids(p, ["timestamp", "symbol", "strike", "option_type", "contracts", "aggressor_side"], ["sequence_id"], F.substring("sequence_id", 1, 9))
-    return d.groupBy("symbol").agg(F.count(F.lit(1)).alias("prints"), F.countDistinct("content").alias("contents"),
-                                   F.sum(F.when(F.col("content") != F.col("content_id"), 1).otherwise(0)).alias("repeats"))
+    repeat = (F.col("content") != F.col("content_id")).cast("int")  # a content holds its symbol, so its first print stands for it
+    return d.groupBy("symbol").agg(F.count(F.lit(1)).alias("prints"), F.sum(1 - repeat).alias("contents"), F.sum(repeat).alias("repeats"))
 
 
 @query("lots_for_risk", sql(f"SELECT sequence_id, {R('greatest(floor((premium_usd*0.01)/(trade_price*100.0)/0.01)*0.01, 0.01)')} AS lots FROM prints", "prints"))

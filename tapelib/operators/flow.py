@@ -221,13 +221,27 @@ def inferred_aggressor(prints: DataFrame, keys: list[str] = CONTRACT) -> DataFra
     return d.withColumn("inferred", S.infer_aggressor("trade_price", "bid", "ask", "prev_price"))
 
 
+#: Contents are counted in so many shares; those of a share with more than ``LARGE_SHARE`` prints are numbered bucket by bucket.
+SHARES, LARGE_SHARE = 1 << 16, 500_000
+
+
 def with_content_ids(prints: DataFrame, cols: list[str], order: list[str], bucket: Column) -> DataFrame:
     """Equal content gives an equal id; the n-th repeat gets ``-n`` appended.
 
-    ``bucket`` is a coarse monotone function of the order: repeats are numbered per bucket and shifted by the
-    counts of earlier buckets, so a content that makes up a third of the tape is not one task."""
-    d = with_index(prints.withColumn("content", S.content_hash(*cols)), ["content"], order, bucket, "_n")
-    return d.withColumn("content_id", F.when(F.col("_n") > 0, F.concat_ws("-", "content", F.col("_n"))).otherwise(F.col("content"))).drop("_n")
+    ``bucket`` is a coarse monotone function of the order.  Prints are shuffled once, by the digest of their content; in large
+    shares also by the bucket, where repeats are numbered per bucket and shifted by the counts of earlier buckets, so a
+    content that makes up a third of the tape is not one task."""
+    share = F.pmod(F.xxhash64(S.content(*cols)), F.lit(SHARES))
+    large = F.broadcast(prints.groupBy(share.alias("_share")).agg(F.count(F.lit(1)).alias("_of")).filter(F.col("_of") > LARGE_SHARE).select("_share", F.lit(True).alias("_large")))
+    d = prints.withColumn("_share", share).join(large, "_share", "left").withColumn("_digest", F.unhex(S.content_hash(*cols)))
+    d = d.withColumn("_part", F.when(F.col("_large"), bucket)).drop("_share", "_large")
+    d = d.withColumn("_n", F.row_number().over(Window.partitionBy("_digest", "_part").orderBy(*order)) - 1)
+    counts = prints.withColumn("_share", share).join(large, "_share").groupBy(F.unhex(S.content_hash(*cols)).alias("_digest"), bucket.alias("_part")).agg(F.count(F.lit(1)).alias("_of"))
+    earlier = Window.partitionBy("_digest").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.join(counts.select("_digest", "_part", F.sum("_of").over(earlier).alias("_before")), ["_digest", "_part"], "left")
+    n = F.col("_n") + F.coalesce("_before", F.lit(0))
+    d = d.withColumn("content", F.lower(F.hex("_digest"))).withColumn("content_id", F.when(n > 0, F.concat_ws("-", "content", n)).otherwise(F.col("content")))
+    return d.select(*prints.columns, "content", "content_id")
 
 
 def dedupe_prints(prints: DataFrame, order: list[str]) -> DataFrame:

@@ -107,6 +107,23 @@ def test_content_ids_number_repeats(spark):
     assert ids[1] == ids[0] + "-1" and ids[2] != ids[0]
 
 
+def test_content_ids_shuffle_prints_once(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [(rnd.choice(["x", "x", "y", "z", None]), o) for o in range(300)]
+    d = spark.createDataFrame(rows, "v string, o int").repartition(3)
+    seen, want = {}, {}
+    for v, o in rows:
+        want[o] = n = seen.get(v, 0)
+        seen[v] = n + 1
+    for large in (0, 70, 500_000):  # all contents bucket by bucket, some, none
+        monkeypatch.setattr(flow, "LARGE_SHARE", large)
+        got = flow.with_content_ids(d, ["v"], ["o"], F.floor(F.col("o") / 7))
+        found = {r.o: r.content_id for r in got.collect()}
+        assert len(found) == 300 and {o: int(x.partition("-")[2] or 0) for o, x in found.items()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()  # 32 bytes a content, not its text of 64
+    assert "hashpartitioning(_digest#" in plan and "hashpartitioning(content#" not in plan
+
+
 def test_timeline_equals_a_rescan(spark, sf):
     from tapelib.operators.levels import Settings
     s = Settings(big=flow.BigPrints(min_premium=95_000.0, window=50), cluster_floor=0.05)
