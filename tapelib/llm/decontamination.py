@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tapelib.llm.store import new_path, open_fs, put_file
 from tapelib.llm.text import ALNUM, chunks
+from tapelib.llm.worker import kept
 
 #: Words in a phrase; a benchmark item of fewer words is one phrase.
 WINDOW = 13
@@ -227,6 +228,7 @@ def find_phrases(df: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     wrapped = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), F.col(text_col).alias("text"))
 
     def find(batches):
+        kept("decontamination")
         for batch in batches:
             for c in chunks(batch.column("text"), ALNUM, lower=True, limit=SHARD_BYTES):
                 hashes, bounds = c.hashes(), c.bounds()

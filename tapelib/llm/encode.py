@@ -9,6 +9,8 @@ import numpy as np
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import Split
 
+from tapelib.llm.worker import kept
+
 #: A single space before a character that no definition counts as white space: a byte-level tokenizer always cuts there.
 _CUT = re.compile(r" (?=[^\s\x1c-\x1f\x85])")
 #: Letters that every definition counts as letters and that no normalisation changes but for case, then ASCII marks
@@ -23,8 +25,6 @@ LONGEST = 48
 #: Characters of text encoded at once.
 CHUNK_CHARS = 400_000
 
-_encoders: dict[tuple[str, bool, int], "Encoder"] = {}
-
 
 class Encoder:
     """``spaced``: byte-level tokenizer in which a word carries the space before it; otherwise white space and case are dropped."""
@@ -124,8 +124,9 @@ class Encoder:
 
 
 def encoder(path: str, spaced: bool, pieces: int = CACHE_PIECES) -> Encoder:
-    """The worker's encoder of a vocabulary file; it lives as long as the Python worker.  ``pieces``: see ``CACHE_PIECES``."""
-    key = path, spaced, pieces
-    if key not in _encoders:
-        _encoders[key] = Encoder(path, spaced, pieces)
-    return _encoders[key]
+    """The worker's encoder of a vocabulary file; it lives until the Python worker gets other work.  ``pieces``: see
+    ``CACHE_PIECES``."""
+    encoders, key = kept("encode"), (path, spaced, pieces)
+    if key not in encoders:
+        encoders[key] = Encoder(path, spaced, pieces)
+    return encoders[key]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tapelib.llm.components import components
 from tapelib.llm.store import stored
 from tapelib.llm.text import SPACED, Chunk, chunks, gram_hashes, mix
+from tapelib.llm.worker import kept
 
 #: Two texts of similarity 0.8 share none of 32 bands of 5 registers with a probability of 3 in a million.
 BANDS, ROWS = 32, 5
@@ -63,6 +64,7 @@ def sketches(df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):
+        kept("near dedup")
         for batch in batches:
             for c in chunks(batch.column("text"), SPACED, lower=True):
                 shingles, bounds = _shingles(c, k)

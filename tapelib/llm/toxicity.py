@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tapelib.llm.store import new_path, open_fs, stored
 from tapelib.llm.text import LETTERS, Chunk, chunks, gram_hashes
+from tapelib.llm.worker import kept
 
 #: Labelled documents of each class that the models are learnt from: the smallest by a hash of the id.  The bound keeps
 #: the join with the documents a broadcast (24 bytes a row); labels beyond it only count in the share of each class.
@@ -44,6 +45,7 @@ def _expressions(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 def _counts(labelled: DataFrame) -> DataFrame:
     """Pairs of words in each class, summed within a batch before they are shuffled."""
     def count(batches):
+        kept("toxicity")
         for batch in batches:
             toxic = batch.column("toxic").to_numpy()
             for c in chunks(batch.column("text"), LETTERS, lower=True, limit=AT_ONCE):
@@ -57,13 +59,11 @@ def _counts(labelled: DataFrame) -> DataFrame:
     return rows.groupBy("pair", "before", "word").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
 
 
-#: Tables of the model that this worker has read last, by folder: many tasks, one reading.
-_read: dict[str, tuple[np.ndarray, ...]] = {}
-
-
 def _table(path: str, columns: list[str]) -> tuple[np.ndarray, ...]:
-    """Columns of a written table, sorted by the first; the first as 64-bit hashes, the others in 32 bits."""
-    if path not in _read:
+    """Columns of a written table, sorted by the first; the first as 64-bit hashes, the others in 32 bits.  The worker keeps
+    the tables of the last model: many tasks, one reading."""
+    read = kept("toxicity")
+    if path not in read:
         fs, folder = open_fs(path)
         files = list(ds.dataset(folder, filesystem=fs, format="parquet").get_fragments())
         ends = np.cumsum([0, *(f.count_rows() for f in files)])
@@ -84,9 +84,9 @@ def _table(path: str, columns: list[str]) -> tuple[np.ndarray, ...]:
         for y, c in zip(out[1:], columns[1:]):
             for at, x in parts(c):
                 y[place[at]] = x
-        _read[path] = tuple(out)
+        read[path] = tuple(out)
         pa.default_memory_pool().release_unused()
-    return _read[path]
+    return read[path]
 
 
 def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,8 +112,9 @@ class Model:
         backing off, and the kinds of evidence of the first two (0: the surest)."""
         words, before, _, pair = _expressions(c)
         second = np.flatnonzero(np.append(False, c.row[1:] == c.row[:-1]))
-        if any(path not in _read for path in self.tables):
-            _read.clear()
+        read = kept("toxicity")
+        if any(path not in read for path in self.tables):
+            read.clear()
         keys, *seen = _table(self.tables[0], ["word", "toxic", "plain"])
         at, known = _find(keys, words)
         lower, rest = [], []

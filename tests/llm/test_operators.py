@@ -7,6 +7,7 @@ import math
 import re
 import textwrap
 import tracemalloc
+import weakref
 import zlib
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from tapelib.llm import decontamination, exact_dedup, hmm, licences, near_dedup, packing, substring_dedup, token_files, toxicity, warc  # noqa: E402
-from tapelib.llm.encode import Encoder  # noqa: E402
+from tapelib.llm.encode import Encoder, encoder  # noqa: E402
 from tapelib.llm.queries import BYTE_BPE, WORD_BPE, vocabulary  # noqa: E402
 from tapelib.llm.store import new_path, stored  # noqa: E402
 from tapelib.llm.text import SPACED, chunks  # noqa: E402
@@ -283,6 +284,27 @@ def test_toxicity_tables_are_sorted_in_little_memory(tmp_path):
     assert peak < 27 * n, peak / n  # of which the result takes 16
 
 
+def test_a_worker_keeps_the_things_of_one_kind_of_work(tmp_path):
+    pq.write_table(pa.table({"pair": np.arange(9), "toxic": np.arange(9), "plain": np.arange(9)}), tmp_path / "part-0.parquet")
+    code = weakref.ref(encoder(vocabulary(WORD_BPE), False))
+    assert encoder(vocabulary(WORD_BPE), False) is code()
+    table = weakref.ref(toxicity._table(str(tmp_path), ["pair", "toxic", "plain"])[0])
+    assert code() is None and toxicity._table(str(tmp_path), ["pair", "toxic", "plain"])[0] is table()
+    encoder(vocabulary(WORD_BPE), False)
+    assert table() is None
+
+
+@pytest.mark.parametrize("stage", [lambda d: near_dedup.sketches(d, 5, "doc_id", "text"), lambda d: decontamination.find_phrases(d, d, item_id="doc_id")])
+def test_a_stage_drops_what_other_work_has_kept(spark, monkeypatch, stage):
+    d, run = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), []
+    plain = type(d).mapInArrow
+    monkeypatch.setattr(type(d), "mapInArrow", lambda self, f, *a, **b: run.append(f) or plain(self, f, *a, **b))
+    stage(d)
+    code = weakref.ref(encoder(vocabulary(WORD_BPE), False))
+    list(run[-1]([]))
+    assert code() is None
+
+
 def test_toxicity_scores_get_the_texts_alone(spark):
     d = spark.createDataFrame([(1, "a b", "x" * 50), (2, None, None)], "doc_id long, text string, other string")
     scored = toxicity.score(d, toxicity.Model())
