@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -63,10 +64,10 @@ def _bins(docs: DataFrame, vocabulary: str, spaced: bool, end_id: int, capacity:
             return pa.RecordBatch.from_arrays(arrays + ([pa.array(columns[10], pa.list_(pa.int32()))] if with_ids else []), names)
 
         for batch in batches:
-            kind = batch.column("id").type
+            kind, texts = batch.column("id").type, code.encode(batch.column("text"))
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                for key, tokens in zip(part.column("id").to_pylist(), code.encode(part.column("text").to_pylist()), strict=True):
+                for key, tokens in zip(part.column("id").to_pylist(), islice(texts, part.num_rows), strict=True):
                     tokens = np.append(tokens, code.kind.type(end_id)).astype("<u4")
                     total, start = len(tokens), 0
                     for n in [capacity] * (total // capacity) + by_rest[total % capacity]:

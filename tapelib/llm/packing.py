@@ -10,6 +10,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections import defaultdict
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -159,10 +160,11 @@ def token_pieces(df: DataFrame, vocabulary: str, spaced: bool, end_id: int, capa
     def cut(batches):
         code = encoder(vocabulary, spaced)
         for batch in batches:
+            texts = code.encode(batch.column("text"))
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 rows, pieces, starts, lengths, sums, ids = [], [], [], [], [], []
-                for row, tokens in enumerate(code.encode(part.column("text").to_pylist())):
+                for row, tokens in enumerate(islice(texts, part.num_rows)):
                     tokens = np.append(tokens, code.kind.type(end_id)).astype("<u4")
                     for k, lo in enumerate(range(0, len(tokens), capacity)):
                         one = tokens[lo:lo + capacity]

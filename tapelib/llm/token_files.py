@@ -18,6 +18,7 @@ import io
 import posixpath
 import uuid
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +103,7 @@ def write_token_files(df: DataFrame, folder: str, vocabulary: str, spaced: bool,
         shard = TaskContext.get().partitionId()
         fs, base = open_fs(folder)
         for batch in batches:
+            texts = code.encode(batch.column("text"))
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 if name is None:
@@ -111,7 +113,7 @@ def write_token_files(df: DataFrame, folder: str, vocabulary: str, spaced: bool,
                 end = np.array([end_id], dtype=code.kind).tobytes()
                 copies, places, counts = [], [], []
                 ids = part.column("id").to_pylist()
-                for key, tokens in zip(ids, code.encode(part.column("text").to_pylist()), strict=True):
+                for key, tokens in zip(ids, islice(texts, len(ids)), strict=True):
                     out.write(tokens.tobytes() + end)
                     copy = copy + 1 if key == last else 0
                     last = key
